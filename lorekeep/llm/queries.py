@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import quality, toxicity
+from lorekeep.llm import bpe, quality, toxicity
 from lorekeep.llm.common import read
 
 
@@ -18,8 +18,19 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def tokenizer_path() -> str:
+    """Where the tokenizer's file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op6_quality)}
+    return {f.__name__: f for f in (op2_toxicity, op6_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
