@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import bpe, quality, toxicity
+from lorekeep.llm import bpe, ngram_join, quality, toxicity
 from lorekeep.llm.common import read
 
 
@@ -29,8 +29,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op6_quality, op10_bpe)}
+    return {f.__name__: f for f in (op2_toxicity, op6_quality, op7_ngram_join, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
