@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import cut, small_batches
+from lorekeep.llm.common import counted, cut, hot_bound, small_batches
 
 #: Words whose ids are broadcast: a fixed bound at any size of the corpus.
 HOT_WORDS = 1 << 18
-#: Distinct words that a task counts before it hands them on.
-FLUSH = 300_000
 #: The characters of the property White_Space.
 SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -63,30 +60,13 @@ class Vocabulary:
         return words
 
 
-def _counted(batches, split):
-    """(word, n) of the words of texts; a word may come several times."""
-    seen: Counter = Counter()
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            seen.update(split(t))
-        if len(seen) > FLUSH:
-            yield out()
-            seen.clear()
-    if seen:
-        yield out()
-
-
 def word_table(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """word, n, ids (little-endian unsigned 32-bit) of every distinct word of documents.text, as a table."""
     spec, spark = vocabulary.spec, documents.sparkSession
     voc = spark.sparkContext.broadcast(vocabulary)
 
     def count(batches):
-        yield from _counted(batches, voc.value.splitter())
+        yield from counted(batches, voc.value.splitter())
 
     def encode(batches):
         from tokenizers import Tokenizer
@@ -102,18 +82,6 @@ def word_table(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return cut(words.mapInArrow(encode, "word string, n long, ids binary"), "bpe-words")
 
 
-def hot_bound(table: DataFrame, most: int) -> tuple[int, bool]:
-    """The least count from which on there are at most so many words, and whether rarer words exist."""
-    steps = table.groupBy(F.floor(F.log2("n") * 16).cast("int").alias("s")).agg(F.count("*").alias("c"), F.min("n").alias("least")).collect()
-    total, bound, rest = 0, 1 << 62, False
-    for r in sorted(steps, key=lambda r: -r.s):
-        if total + r.c > most:
-            rest = True
-            break
-        total, bound = total + r.c, r.least
-    return bound, rest
-
-
 def encode(documents: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit, binary), decoded (binary, UTF-8) of every row of documents.
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: bounds a Python worker's memory where texts are very long.
 BATCH_ROWS = "256"
+#: Distinct words that a task counts before it hands them on.
+FLUSH = 300_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,3 +74,32 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: d
     texts = documents.select(F.col("doc_id").alias("lk_id"), "text").where(F.col("text").isNotNull())
     found = texts.join(F.broadcast(picked), "lk_id").select("lk_id", "lk_y", "text").collect()
     return [(r.text, int(r.lk_y)) for r in sorted(found, key=lambda r: (r.lk_id, r.text))]
+
+
+def counted(batches, split, kind=pa.string()):
+    """(word, n) of the words of texts; a word may come several times."""
+    seen: Counter = Counter()
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), kind), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            seen.update(split(t))
+        if len(seen) > FLUSH:
+            yield out()
+            seen.clear()
+    if seen:
+        yield out()
+
+
+def hot_bound(table: DataFrame, most: int) -> tuple[int, bool]:
+    """The least count from which on there are at most so many words, and whether rarer words exist."""
+    steps = table.groupBy(F.floor(F.log2("n") * 16).cast("int").alias("s")).agg(F.count("*").alias("c"), F.min("n").alias("least")).collect()
+    total, bound, rest = 0, 1 << 62, False
+    for r in sorted(steps, key=lambda r: -r.s):
+        if total + r.c > most:
+            rest = True
+            break
+        total, bound = total + r.c, r.least
+    return bound, rest
