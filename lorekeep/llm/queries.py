@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import bpe, lm, ngram_join, quality, toxicity
+from lorekeep.llm import bpe, lm, ngram_join, quality, topk, toxicity, url_filters
 from lorekeep.llm.common import read
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.search(vectors.where("vec_id % 50 = 0"), vectors, k=5, scale=256)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -18,6 +23,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(read(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -38,7 +47,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_lm_scoring, op6_quality, op7_ngram_join, op10_bpe)}
+    return {f.__name__: f for f in (op1_topk_search, op2_toxicity, op4_lm_scoring, op5_url_filters, op6_quality, op7_ngram_join, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
