@@ -70,7 +70,7 @@ class Bands:
     """Sizes in bands such that linked sets lie in one band or in neighbours, and the number of parts for pairs up to a band."""
 
     def __init__(self, percent: int, largest: int):
-        self.percent, low = percent, [1]
+        self.percent, self.known, low = percent, {}, [1]
         while low[-1] <= largest:
             low.append(low[-1] * 100 // percent + 1)
         low.append(low[-1] * 100 // percent + 1)
@@ -79,10 +79,20 @@ class Bands:
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.low, n, "right")) - 1
 
-    def parts(self, band: int) -> int:
-        """One more than the elements by which two linked sets with sizes in this band or below differ."""
-        most = int(self.low[band + 1]) - 1
-        return 2 * most * (100 - self.percent) // (100 + self.percent) + 1
+    def parts(self, band: int) -> tuple[int, int]:
+        """Parts for pairs up to this band, and by how many at least they exceed the elements by which a linked pair can differ.
+
+        Linked sets agree on so many parts. The excess is above nearly any set's number of empty parts, so agreement
+        on empty ones alone is rare; sets for which it is possible give signatures of empty parts, too.
+        """
+        if band not in self.known:
+            least, most = int(self.low[band]) * self.percent // 100, int(self.low[band + 1]) - 1
+            differ, excess = 2 * most * (100 - self.percent) // (100 + self.percent), 1
+            for _ in range(8):
+                empty = (differ + excess) * np.exp(-max(least, 1) / (differ + excess))
+                excess = max(excess, int(np.ceil(empty + 4 * np.sqrt(empty))) if differ else 1)
+            self.known[band] = (differ + excess, excess)
+        return self.known[band]
 
 
 def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
@@ -90,14 +100,17 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
     out, band = [], bands.of(len(h))
     deal, value = mixed(h * M2 + M1) >> np.uint64(32), mixed(h * M1 + M2)
     for b in (band, band + 1):
-        k = bands.parts(b)
+        k, excess = bands.parts(b)
         part = ((deal * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         p = part[order]
         first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        total = np.zeros(k, np.uint64)
-        total[p[first]] = np.add.reduceat(value[order], first)
-        out.append(mixed(total * M1 + np.arange(k, dtype=np.uint64) * M2 + np.uint64(b)))
+        used, total = p[first], np.add.reduceat(value[order], first)
+        if k - len(used) >= excess:
+            every = np.zeros(k, np.uint64)
+            every[used] = total
+            used, total = np.arange(k), every
+        out.append(mixed(total * M1 + used.astype(np.uint64) * M2 + np.uint64(b)))
     return np.concatenate(out).view(np.int64)
 
 
