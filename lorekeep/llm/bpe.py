@@ -1,9 +1,11 @@
-"""Operator 10: byte-level BPE encoding and decoding through a distinct-word table.
-
-Texts are split into words in Spark, each distinct word is encoded once, and ids join back by position; decoding joins
-ids with their pieces. A word is a run of other characters than white space with the one space before it, or white
-space, so that the pattern of the pre-tokenizer never crosses its border. The most frequent words, of a fixed number,
-go to all executors; the ids of all others come by a shuffled join on the word.
+"""Operator 10: byte-level BPE encoding and decoding through distinct-word tables.
+
+Texts are split into words in Spark and each distinct word is encoded once: the most frequent ones, of a fixed number,
+for the whole corpus, in a table that goes to all executors; of the others each once in a task that meets them, in a
+table of bounded size. Ids join back by position; decoding joins ids with their pieces. A word is a run of other
+characters than white space with the one space before it, or white space, so that the pattern of the pre-tokenizer
+never crosses its border. (Rare words' ids by a shuffled join on the word cost more than encoding them again in the
+few tasks that meet them; see the README.)
 """
 
 from __future__ import annotations
@@ -14,14 +16,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import counted, cut, hot_bound, small_batches
+from lorekeep.llm.common import counted, cut, drop, hot_bound, small_batches
 
-#: Words whose ids are broadcast: a fixed bound at any size of the corpus.
-HOT_WORDS = 1 << 18
+#: Words whose ids are broadcast, and other words that a task keeps ids of: fixed bounds at any size of the corpus.
+HOT_WORDS, TASK_WORDS = 1 << 18, 300_000
 #: The characters of the property White_Space.
 SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -60,26 +61,35 @@ class Vocabulary:
         return words
 
 
-def word_table(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """word, n, ids (little-endian unsigned 32-bit) of every distinct word of documents.text, as a table."""
-    spec, spark = vocabulary.spec, documents.sparkSession
-    voc = spark.sparkContext.broadcast(vocabulary)
+def encoder(spec: str):
+    """From words to their ids as little-endian unsigned 32-bit integers."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(spec)
+
+    def encoded(words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for k in range(0, len(words), 4096) for e in tokenizer.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)]
+
+    return encoded
+
+
+def hot_table(documents: DataFrame, vocabulary: Vocabulary, most: int) -> tuple[list[str], list[bytes]]:
+    """The most frequent words of documents.text, at most so many, and their ids."""
+    spec, voc = vocabulary.spec, documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
         yield from counted(batches, voc.value.splitter())
 
     def encode(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(spec)
+        own = encoder(spec)
         for b in batches:
-            words = b.column(0).to_pylist()
-            for k in range(0, len(words), 4096):
-                ids = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[k : k + 4096], b.column(1)[k : k + 4096], pa.array(ids, pa.binary())], names=["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own(b.column(0).to_pylist()), pa.binary())], names=["word", "ids"])
 
     words = documents.where(F.col("text").isNotNull()).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return cut(words.mapInArrow(encode, "word string, n long, ids binary"), "bpe-words")
+    table = cut(words.where("n > 1"), "bpe-words")
+    hot = table.where(F.col("n") >= hot_bound(table, most)[0]).select("word").mapInArrow(encode, "word string, ids binary").toArrow()
+    drop(table)
+    return hot.column(0).to_pylist(), hot.column(1).to_pylist()
 
 
 def encode(documents: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
@@ -94,10 +104,7 @@ def _encoded(documents: DataFrame, path: str, hot_words: int, digests: bool) ->
     spark = documents.sparkSession
     small_batches(spark)
     vocabulary = Vocabulary(path)
-    table = word_table(documents, vocabulary)
-    bound, rest = hot_bound(table, hot_words)
-    hot = table.where(F.col("n") >= bound).select("word", "ids").toArrow()
-    sent = spark.sparkContext.broadcast((hot.column(0).to_pylist(), hot.column(1).to_pylist()))
+    sent = spark.sparkContext.broadcast(hot_table(documents, vocabulary, hot_words))
     voc = spark.sparkContext.broadcast(vocabulary)
     kind = dict(documents.dtypes)["doc_id"]
     shape = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else f"doc_id {kind}, ids binary, decoded binary"
@@ -116,75 +123,19 @@ def _encoded(documents: DataFrame, path: str, hot_words: int, digests: bool) ->
         return pa.RecordBatch.from_arrays([doc_ids, pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    if not rest:
-
-        def whole(batches):
-            known, split = dict(zip(*sent.value)), voc.value.splitter()
-            for b in batches:
-                yield finish(b.column(0), [b"".join([known[w] for w in split(t)]) for t in b.column(1).to_pylist()])
-
-        return rows.mapInArrow(whole, shape)
-
-    def parts(batches):
-        """Of each text a row with the ids of its frequent words, and a row for each other word: how many ids stand before it in that row."""
-        known, split = dict(zip(*sent.value)), voc.value.splitter()
-        for b in batches:
-            doc, key, place, before, word, ids = [], [], [], [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ws, h, n, got = split(t), xxhash.xxh3_128_digest(t.encode()), 0, []
-                found = [known.get(w) for w in ws]
-                first = len(doc)
-                doc.append(d), key.append(h), place.append(-1), before.append(0), word.append(None), ids.append(b"")
-                for i, x in enumerate(found):
-                    if x is None:
-                        doc.append(d), key.append(h), place.append(i), before.append(n), word.append(ws[i]), ids.append(None)
-                    else:
-                        got.append(x)
-                        n += len(x) >> 2
-                ids[first] = np.frombuffer(b"".join(got), "<u4").astype("<u2" if len(voc.value.pieces) <= 1 << 16 else "<u4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(doc, b.column(0).type), pa.array(key, pa.binary()), pa.array(place, pa.int32()), pa.array(before, pa.int32()), pa.array(word, pa.string()), pa.array(ids, pa.binary())], names=["doc_id", "key", "place", "before", "word", "ids"])
-
-    split_rows = rows.mapInArrow(parts, f"doc_id {kind}, key binary, place int, before int, word string, ids binary")
-    frequent = split_rows.where("word is null").drop("word")
-    others = split_rows.where("word is not null").drop("ids").join(table.where(F.col("n") < bound).select("word", "ids"), "word")
-    both = frequent.unionByName(others.drop("word"))
-    dealt = both.repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", "place")
-
-    def joined(batches):
-        kept = "<u2" if len(voc.value.pieces) <= 1 << 16 else "<u4"
-        now, base, at, more, copies, doc_type, last = None, None, [], [], 0, None, None
-        out_ids, out_docs, held = [], [], 0
-
-        def close():
-            nonlocal held
-            x = np.frombuffer(base, kept).astype("<u4")
-            if at:
-                own = [np.frombuffer(m, "<u4") for m in more]
-                x = np.insert(x, np.repeat(at, [len(o) for o in own]), np.concatenate(own))
-            out_ids.extend([x.tobytes()] * copies)
-            out_docs.extend([now[0]] * copies)
-            held += x.nbytes * copies
 
+    def run(batches):
+        known, split, own, more = dict(zip(*sent.value)), voc.value.splitter(), encoder(voc.value.spec), {}
         for b in batches:
-            doc_type = b.column(0).type
-            for d, key, place, before, ids in zip(*(c.to_pylist() for c in b.columns)):
-                if (d, key) != now:
-                    if now is not None:
-                        close()
-                        if held > 1 << 25:
-                            yield finish(pa.array(out_docs, doc_type), out_ids)
-                            out_ids, out_docs, held = [], [], 0
-                    now, at, more, copies, last = (d, key), [], [], 0, None
-                if place < 0:
-                    base, copies = ids, copies + 1
-                elif place != last:  # a repeated row has each of its words again
-                    at.append(before), more.append(ids)
-                    last = place
-        if now is not None:
-            close()
-            yield finish(pa.array(out_docs, doc_type), out_ids)
-
-    return dealt.mapInArrow(joined, shape)
+            docs = [split(t) for t in b.column(1).to_pylist()]
+            if len(more) > TASK_WORDS:
+                more = {}
+            new = list({w for d in docs for w in d if w not in known and w not in more})
+            more.update(zip(new, own(new)))
+            look = known.get
+            yield finish(b.column(0), [b"".join([look(w) or more[w] for w in d]) for d in docs])
+
+    return rows.mapInArrow(run, shape)
 
 
 def digests(documents: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
