@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import bpe, lm, ngram_join, quality, topk, toxicity, url_filters
+from lorekeep.llm import bpe, html_text, lm, ngram_join, quality, topk, toxicity, url_filters
 from lorekeep.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_toxicity, op4_lm_scoring, op5_url_filters, op6_quality, op7_ngram_join, op10_bpe)}
+    return {f.__name__: f for f in (op1_topk_search, op2_toxicity, op3_html_extraction, op4_lm_scoring, op5_url_filters, op6_quality, op7_ngram_join, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
