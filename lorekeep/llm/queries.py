@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import bpe, html_text, lm, ngram_join, quality, topk, toxicity, url_filters
+from lorekeep.llm import bpe, decontaminate, html_text, lm, ngram_join, pii, quality, topk, toxicity, url_filters
 from lorekeep.llm.common import read
 
 
@@ -35,6 +35,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("lk_text")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """Where the tokenizer's file is."""
     import public_tokenizers
@@ -51,7 +59,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_toxicity, op3_html_extraction, op4_lm_scoring, op5_url_filters, op6_quality, op7_ngram_join, op10_bpe)}
+    return {f.__name__: f for f in (op1_topk_search, op2_toxicity, op3_html_extraction, op4_lm_scoring, op5_url_filters, op6_quality, op7_ngram_join, op8_decontamination, op9_pii, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
