@@ -43,8 +43,9 @@ def _windows(df: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
     """keys, size, at and h of each window of df.t (words as hashes). The hashes alone are exploded."""
     parts = []
     for n in sizes:
-        each = F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.xxhash64(F.slice("t", i, n)))
-        parts.append(df.where(F.size("t") >= n).select(*keys, F.lit(n).alias("size"), F.posexplode(each).alias("at", "h")))
+        # a filter on the size would be pushed below, and make the words twice
+        each = F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.xxhash64(F.slice("t", i, n))))
+        parts.append(df.select(*keys, F.lit(n).alias("size"), F.posexplode(each).alias("at", "h")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
