@@ -19,7 +19,7 @@ from lorekeep.llm.common import cut, drop, small_batches
 from lorekeep.llm.graph import components
 
 #: A piece of a large candidate component has about so many sets and shingles.
-PIECE_SETS, PIECE_SHINGLES = 1000, 1_000_000
+PIECE_SETS, PIECE_SHINGLES = 4000, 2_000_000
 #: Candidates are sent to the executors, instead of shuffling the documents, up to so many.
 BROADCAST_IDS = 2_000_000
 #: Words whose hashes a task keeps.
@@ -82,15 +82,16 @@ class Bands:
     def parts(self, band: int) -> tuple[int, int]:
         """Parts for pairs up to this band, and by how many at least they exceed the elements by which a linked pair can differ.
 
-        Linked sets agree on so many parts. The excess is above nearly any set's number of empty parts, so agreement
-        on empty ones alone is rare; sets for which it is possible give signatures of empty parts, too.
+        Linked sets agree on so many parts. The excess is above nearly any set's number of weak parts, of no or one
+        element, so agreement on weak ones alone is rare; sets for which it is possible give signatures of these, too.
         """
         if band not in self.known:
             least, most = int(self.low[band]) * self.percent // 100, int(self.low[band + 1]) - 1
             differ, excess = 2 * most * (100 - self.percent) // (100 + self.percent), 1
-            for _ in range(8):
-                empty = (differ + excess) * np.exp(-max(least, 1) / (differ + excess))
-                excess = max(excess, int(np.ceil(empty + 4 * np.sqrt(empty))) if differ else 1)
+            for _ in range(12 if differ > 4 else 0):
+                load = max(least, 1) / (differ + excess)
+                weak = (differ + excess) * np.exp(-load) * (1 + load)
+                excess = min(max(excess, int(np.ceil(weak + 4 * np.sqrt(weak)))), differ // 4 + 1)
             self.known[band] = (differ + excess, excess)
         return self.known[band]
 
@@ -106,7 +107,10 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
         p = part[order]
         first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
         used, total = p[first], np.add.reduceat(value[order], first)
-        if k - len(used) >= excess:
+        strong = np.diff(np.append(first, len(p))) > 1
+        if k - strong.sum() < excess:
+            used, total = used[strong], total[strong]
+        else:
             every = np.zeros(k, np.uint64)
             every[used] = total
             used, total = np.arange(k), every
