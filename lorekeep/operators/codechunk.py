@@ -114,8 +114,8 @@ def _statements(text: str, start: int, end: int, line_comments: bool = True) ->
         elif ch in ")}]":
             depth = max(0, depth - 1)
             if ch == "}" and depth == 0 and begin is not None:
-                rest = re.compile(r"[ \t]*([;,).=]?)").match(text, at + 1)
-                if rest[1] in ("", ";"):
+                rest = re.compile(r"[ \t]*(;|[,).=]|from\b|while\b)?").match(text, at + 1)
+                if rest[1] in (None, ";"):
                     stop = rest.end() if rest[1] else at + 1
                     yield begin, min(stop, end), brace
                     begin, brace, at = None, -1, stop
@@ -345,7 +345,7 @@ def chunk_sources(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return out.select(F.concat_ws("_", "content_hash", "chunk_index").alias("id"), *(c for c in schemas.CODE.names if c not in ("id", "vector")))
 
 
-@F.udtf(returnType=", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.CODE_CHUNKS))
+@F.udtf(returnType=schemas.CODE_CHUNKS)
 class ChunkCode:
     """For SQL: SELECT ... FROM files, LATERAL chunk_code(content, language, path)."""
 

@@ -55,7 +55,7 @@ class Store:
             stream.close()
 
     def manifest(self) -> dict[str, str]:
-        """Table names and the folders of their versions; a corrupt manifest counts as none."""
+        """Table names and the folders of their versions; a manifest that is no JSON counts as none."""
         try:
             return json.loads(self._read("manifest.json") or "{}")
         except ValueError:

@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorekeep.functions.text import content_hash, strip, truncate
 
@@ -38,7 +39,7 @@ def _text(blocks: Column, plain: Column, sep: str = "\n") -> Column:
     return F.when(blocks.isNotNull(), F.array_join(F.filter(F.transform(blocks, piece), lambda x: x.isNotNull()), sep)).otherwise(F.coalesce(plain, F.lit("")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _dumps(text: pd.Series) -> pd.Series:
     """JSON in Python's spacing, with escapes for other characters than ASCII."""
     return text.map(lambda s: None if s is None else json.dumps(json.loads(s)))
