@@ -19,6 +19,8 @@ from lorekeep.llm.common import crc_mod, labelled_sample, small_batches
 ROWS_EACH = 2500
 BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 17, 8, 6, 32, 0.3
 SIZES = (2, 3, 4)
+#: A word that equals the one before it also counts as so many features of one more vector, which learns repetition.
+SAME = 8
 #: Words whose summed features a worker keeps.
 MEMO = 400_000
 
@@ -70,6 +72,11 @@ class Subwords:
         total = np.concatenate([np.zeros((1, 2)), np.cumsum(self.kept[flat], 0)])
         ends = np.cumsum(sizes)
         x = total[ends] - total[ends - sizes]
+        same = np.zeros(len(flat) + 1)
+        same[1:-1] = flat[1:] == flat[:-1]
+        same[ends - sizes] = 0
+        repeats = SAME * np.diff(np.concatenate([[0.0], np.cumsum(same)])[np.stack([ends - sizes, ends], 1)], axis=1)[:, 0]
+        x += repeats[:, None] * [[float(self.weights[BUCKETS]), 1.0]]
         return 1 / (1 + np.exp(-np.clip(x[:, 0] / np.maximum(x[:, 1], 1) + self.offset, -30, 30)))
 
 
@@ -77,17 +84,18 @@ def fit(sample: list[tuple[str, int]], seed: int = 7) -> Subwords:
     """Stochastic gradient descent with a step size for each bucket that shrinks with its past gradients."""
     y = np.array([k for _, k in sample], np.int64)
     if not 0 < y.sum() < len(y):
-        return Subwords(np.zeros(BUCKETS), np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+        return Subwords(np.zeros(BUCKETS + 1), np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     docs = []
     for text, _ in sample:
         ws = text.split()
         h = features(ws)[0] if ws else np.zeros(0, np.int64)
+        h = np.concatenate([h, np.full(SAME * sum(a == b for a, b in zip(ws, ws[1:])), BUCKETS)])
         keys, c = np.unique(h, return_counts=True)
         docs.append((keys, (c / max(len(h), 1)).astype(np.float32)))
     rng = np.random.default_rng(seed)
-    E = rng.uniform(-0.5, 0.5, (BUCKETS, DIM)).astype(np.float32) / DIM
+    E = rng.uniform(-0.5, 0.5, (BUCKETS + 1, DIM)).astype(np.float32) / DIM
     W, b = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    past_E, past_W, past_b = np.full(BUCKETS, 1e-8, np.float32), np.full_like(W, 1e-8), np.full_like(b, 1e-8)
+    past_E, past_W, past_b = np.full(BUCKETS + 1, 1e-8, np.float32), np.full_like(W, 1e-8), np.full_like(b, 1e-8)
     for epoch in range(EPOCHS):
         order = rng.permutation(len(docs))
         for k in range(0, len(order), BATCH):

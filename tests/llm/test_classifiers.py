@@ -78,3 +78,15 @@ def test_keeps_good(spark):
     d, lab, truth = corpus(spark, 3)
     kept = {r.doc_id for r in quality.keep_good(d, lab).collect()}
     assert None in kept and sum(truth[i] for i in truth if i in kept) > 0.95 * sum(truth.values())
+
+
+def test_scores_are_means_over_whole_texts():
+    r = np.random.default_rng(0)
+    m = quality.Subwords(r.standard_normal(quality.BUCKETS + 1), 0.3)
+    texts = ["a a a b", "", None, "c", "b b", "a", "x y x x x z"]
+    for t, s in zip(texts, m.scores(texts)):
+        ws = (t or "").split()
+        h = quality.features(ws)[0] if ws else np.zeros(0, int)
+        h = np.concatenate([h, np.full(quality.SAME * sum(a == b for a, b in zip(ws, ws[1:])), quality.BUCKETS)]).astype(int)
+        z = (m.weights[h].mean() if len(h) else 0.0) + 0.3
+        assert np.isclose(s, 1 / (1 + np.exp(-z)), atol=1e-5)
