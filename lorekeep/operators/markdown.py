@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import project_name, strip
 
 MARK = "\x00"
+#: Fixed value: the tag of notes made of sessions.
+SESSION_TAG = "claude-session"
 
 
 def front_matter(text: Column) -> Column:
@@ -87,7 +89,7 @@ def document(sessions: DataFrame) -> DataFrame:
     project, summary = project_name(F.col("cwd")), F.nullif(F.col("summary"), F.lit(""))
     fm = F.concat_ws(
         "\n", F.lit("---"), F.concat(F.lit("session_id: "), "session_id"), F.concat(F.lit("project: "), project), F.concat(F.lit("cwd: "), yaml(F.col("cwd"))), F.concat(F.lit("started: "), iso(F.col("started_at"))),
-        F.concat(F.lit("ended: "), iso(F.col("ended_at"))), F.concat(F.lit("tags: [claude-session, "), project, F.lit("]")), F.concat(F.lit("summary: "), yaml(summary)), F.lit("---"),
+        F.concat(F.lit("ended: "), iso(F.col("ended_at"))), F.concat(F.lit(f"tags: [{SESSION_TAG}, "), project, F.lit("]")), F.concat(F.lit("summary: "), yaml(summary)), F.lit("---"),
     )
     title = F.coalesce(summary, F.concat(F.lit("Session "), "session_id"))
     title = F.when(F.length(title) > 80, F.concat(F.left(title, F.lit(77)), F.lit("..."))).otherwise(title)
