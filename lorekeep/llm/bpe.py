@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import counted, cut, drop, hot_bound, small_batches
 
 #: Words whose ids are broadcast, and other words that a task keeps ids of: fixed bounds at any size of the corpus.
-HOT_WORDS, TASK_WORDS = 1 << 18, 300_000
+HOT_WORDS, TASK_WORDS = 1 << 17, 250_000
 #: The characters of the property White_Space.
 SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
