@@ -32,9 +32,8 @@ def words(text: str | None) -> list[bytes]:
 class KneserNey:
     """Log-likelihood ratio of toxic to ordinary text, as tables over known words and bigrams."""
 
-    def __init__(self, docs: list[list[bytes]], labels: list[int]):
-        vocab: dict[bytes, int] = {}
-        ids = [np.array([vocab.setdefault(w, len(vocab)) for w in d], np.int64) for d in docs]
+    def __init__(self, ids: list[np.ndarray], labels: list[int], vocab: dict[bytes, int]):
+        """ids: of the words of each document, by vocab; words of vocab that no document has count as unknown ones do."""
         self.vocab, n = vocab, len(vocab)
         self.v = n + 1  # id n: start of a text, and unknown words
         uni, pairs = np.zeros((2, n + 1)), []
@@ -65,11 +64,15 @@ class KneserNey:
         self.keys, self.pair = every, (seen[1] - seen[0]).astype(np.float32)
         self.w = np.zeros(3)
 
-    def ratios(self, docs: list[list[bytes]]) -> np.ndarray:
-        """For each document the log-likelihood ratio and the excess of its strong expressions, both a word; 0 without words."""
+    def ids(self, docs: list[list[bytes]]) -> list[np.ndarray]:
         n, get = self.v - 1, self.vocab.get
+        return [np.fromiter((get(w, n) for w in d), np.int32, len(d)) for d in docs]
+
+    def ratios(self, docs: list[np.ndarray]) -> np.ndarray:
+        """For each document the log-likelihood ratio and the excess of its strong expressions, both a word; 0 without words."""
+        n = self.v - 1
         sizes = np.array([len(d) for d in docs], np.int64)
-        flat = np.fromiter((get(w, n) for d in docs for w in d), np.int64, sizes.sum())
+        flat = np.concatenate([np.zeros(0, np.int64), *docs]).astype(np.int64)
         if not len(flat):
             return np.zeros((len(docs), 2))
         before = np.empty_like(flat)
@@ -84,7 +87,7 @@ class KneserNey:
         return (total[starts + sizes] - total[starts]) / np.maximum(sizes, 1)[:, None]
 
     def scores(self, docs: list[list[bytes]]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.ratios(docs) @ self.w[:2] + self.w[2], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.ratios(self.ids(docs)) @ self.w[:2] + self.w[2], -30, 30)))
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -122,14 +125,18 @@ def fit(sample: list[tuple[str, int]]) -> KneserNey:
 
     A sample without both labels gives a model that scores all texts alike.
     """
-    docs, y = [words(t) for t, _ in sample], np.array([k for _, k in sample], float)
-    model = KneserNey(docs, [int(k) for k in y])
-    fold = np.arange(len(y)) % 4 == 0
+    y, vocab, ids = np.array([k for _, k in sample], float), {}, []
+    for t, _ in sample:
+        ids.append(np.array([vocab.setdefault(w, len(vocab)) for w in words(t)], np.int32))
+    fold, w = np.arange(len(y)) % 4 == 0, np.zeros(3)
     if 0 < y[fold].sum() < fold.sum() and 0 < y[~fold].sum() < (~fold).sum():
-        part = KneserNey([d for d, f in zip(docs, fold) if not f], [int(k) for k in y[~fold]])
-        model.w = logistic(part.ratios([d for d, f in zip(docs, fold) if f]), y[fold])
+        part = KneserNey([d for d, f in zip(ids, fold) if not f], [int(k) for k in y[~fold]], vocab)
+        w = logistic(part.ratios([d for d, f in zip(ids, fold) if f]), y[fold])
+        del part
     else:
-        model.w[2] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+        w[2] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    model = KneserNey(ids, [int(k) for k in y], vocab)
+    model.w = w
     return model
 
 
