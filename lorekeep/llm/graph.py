@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import cut, drop
 
+#: A node's edges are joined with its least neighbour in so many parts, as a hub may have a third of all edges.
+SALTS = 12
+
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star round over edges (a, b), a > b."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = least.select("a", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    large = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least, ["a", "salt"]).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     least = large.groupBy("a").agg(F.min("b").alias("m"))
     small = large.join(least, "a")
     return small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
@@ -22,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root of every node with an edge; root is the least node of its component. edges: columns a and b of one type.
 
     Null ends and loops are left out. A hub's edges only meet in sums that are combined before the shuffle and in joins
-    that adaptive execution splits.
+    that are salted.
     """
     now = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
