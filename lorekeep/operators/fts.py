@@ -61,21 +61,15 @@ def bm25(df: DataFrame, query: str, key: str = "id", text: str = "text", conditi
     kind = dict(df.dtypes)[key]
     if not words:
         return spark.createDataFrame([], f"{key} {kind}, score double")
-    ws = terms(F.coalesce(F.col(text), F.lit("")))
-    rows = df.withColumn("lk_ws", ws).withColumn("lk_dl", F.size("lk_ws"))
-    for i, w in enumerate(words):
-        rows = rows.withColumn(f"lk_{i}", F.size("lk_ws") - F.size(F.array_remove("lk_ws", w)))
-    tf = [F.col(f"lk_{i}") for i in range(len(words))]
-    stats = rows.agg(F.count("*").alias("s_n"), F.avg("lk_dl").alias("s_avg"), *(F.count_if(c > 0).alias(f"s_{i}") for i, c in enumerate(tf)))
-    hits = rows if condition is None else rows.where(condition)
-    any_term = tf[0] > 0
-    for c in tf[1:]:
-        any_term = any_term | (c > 0)
-    joined = hits.where(any_term).crossJoin(F.broadcast(stats))  # one row of counts
-    total = F.lit(0.0)
-    for i, c in enumerate(tf):
-        total = total + F.when(c > 0, _score(c, F.col("lk_dl"), F.col(f"s_{i}"), F.col("s_n"), F.col("s_avg"))).otherwise(0.0)
-    return joined.select(key, total.alias("score"))
+    rows = df.select(key, (F.lit(True) if condition is None else condition).alias("ok"), terms(F.coalesce(F.col(text), F.lit(""))).alias("ws"))
+    tf = F.array(*(F.size("ws") - F.size(F.array_remove("ws", w)) for w in words))
+    rows = rows.select(key, "ok", F.size("ws").alias("dl"), tf.alias("tf"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.array(*(F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(words)))).alias("df"))
+    # a row that has no hit yields none here; a filter would be pushed below and split the text again
+    hit = F.when(F.coalesce("ok", F.lit(False)) & F.exists("tf", lambda x: x > 0), F.array(F.struct("dl", "tf")))
+    hits = rows.select(key, F.explode(hit).alias("h")).crossJoin(F.broadcast(stats))  # one row of counts
+    parts = [F.when(F.col("h.tf")[i] > 0, _score(F.col("h.tf")[i], F.col("h.dl"), F.col("df")[i], F.col("n"), F.col("avgdl"))).otherwise(0.0) for i in range(len(words))]
+    return hits.select(key, sum(parts, F.lit(0.0)).alias("score"))
 
 
 def search(index: Index, queries: DataFrame, key: str = "id") -> DataFrame:
