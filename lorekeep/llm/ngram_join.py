@@ -15,13 +15,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import cut, drop, small_batches
+from lorekeep.llm.common import cut, drop, hot_bound, small_batches
 from lorekeep.llm.graph import components
 
 #: A piece of a large candidate component has about so many sets and shingles.
 PIECE_SETS, PIECE_SHINGLES = 4000, 2_000_000
 #: Candidates are sent to the executors, instead of shuffling the documents, up to so many.
 BROADCAST_IDS = 2_000_000
+#: Frequent shingles, of which a fixed number share one part, and how a task finds them: shingles that it counts at a
+#: time, and occurrences among these from which on it reports one. They only steer how sets are dealt into parts.
+HOT_TERMS, COUNTED, REPORTED = 200_000, 4_000_000, 3
 #: Words whose hashes a task keeps.
 MEMO = 500_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -79,42 +82,67 @@ class Bands:
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.low, n, "right")) - 1
 
-    def parts(self, band: int) -> tuple[int, int]:
-        """Parts for pairs up to this band, and by how many at least they exceed the elements by which a linked pair can differ.
+    def parts(self, band: int) -> tuple[int, int, int]:
+        """Parts for pairs up to this band, by how many at least they exceed the elements by which a linked pair can differ, and elements of a strong part.
 
-        Linked sets agree on so many parts. The excess is above nearly any set's number of weak parts, of no or one
-        element, so agreement on weak ones alone is rare; sets for which it is possible give signatures of these, too.
+        Linked sets agree on so many parts. The excess is above nearly any set's number of weak parts, so agreement on
+        weak ones alone is rare; sets for which it is possible give signatures of these, too. Strong parts have two
+        elements if that leaves the excess below a quarter of the difference, else one.
         """
         if band not in self.known:
             least, most = int(self.low[band]) * self.percent // 100, int(self.low[band + 1]) - 1
-            differ, excess = 2 * most * (100 - self.percent) // (100 + self.percent), 1
-            for _ in range(12 if differ > 4 else 0):
-                load = max(least, 1) / (differ + excess)
-                weak = (differ + excess) * np.exp(-load) * (1 + load)
-                excess = min(max(excess, int(np.ceil(weak + 4 * np.sqrt(weak)))), differ // 4 + 1)
-            self.known[band] = (differ + excess, excess)
+            differ = 2 * most * (100 - self.percent) // (100 + self.percent)
+            for strong, limit in ((2, differ // 4), (1, differ // 2 + 1)):
+                excess, settled = 1, differ <= 4
+                while not settled and excess <= limit:
+                    load = max(least, 1) / (differ + excess)
+                    weak = (differ + excess) * np.exp(-load) * (1 + load * (strong > 1))
+                    wanted = int(np.ceil(weak + 4 * np.sqrt(weak)))
+                    settled = wanted <= excess
+                    excess = max(excess, wanted)
+                if settled:
+                    break
+            self.known[band] = (differ + min(excess, limit + 1), min(excess, limit + 1), strong)
         return self.known[band]
 
 
-def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """Hashes of the parts of a set, for its band and for the next one."""
+def _parts(h: np.ndarray, part: np.ndarray, value: np.ndarray, k: int, excess: int, least: int, tag: int, weak_too: bool) -> tuple[np.ndarray, bool]:
+    """Hashes of the strong parts (of all, if there may be no other agreement and weak_too), and whether there may be none."""
+    order = np.argsort(part, kind="stable")
+    p = part[order]
+    first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    used, total = p[first], np.add.reduceat(value[order], first)
+    strong = np.diff(np.append(first, len(p))) >= least
+    doubtful = k - strong.sum() >= excess
+    if doubtful and weak_too:
+        every = np.zeros(k, np.uint64)
+        every[used] = total
+        used, total = np.arange(k), every
+    else:
+        used, total = used[strong], total[strong]
+    return mixed(total * M1 + used.astype(np.uint64) * M2 + np.uint64(tag)), doubtful
+
+
+def signatures(h: np.ndarray, bands: Bands, hot: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the parts of a set, for its band and for the next one.
+
+    hot: sorted hashes of frequent shingles; they have a part of their own, so that they don't make the other parts of
+    unlike sets agree. A set for which that leaves too few strong parts is also dealt without regard to them.
+    """
     out, band = [], bands.of(len(h))
     deal, value = mixed(h * M2 + M1) >> np.uint64(32), mixed(h * M1 + M2)
+    frequent = None
+    if hot is not None and len(hot):
+        frequent = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
     for b in (band, band + 1):
-        k, excess = bands.parts(b)
+        k, excess, least = bands.parts(b)
         part = ((deal * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        p = part[order]
-        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        used, total = p[first], np.add.reduceat(value[order], first)
-        strong = np.diff(np.append(first, len(p))) > 1
-        if k - strong.sum() < excess:
-            used, total = used[strong], total[strong]
-        else:
-            every = np.zeros(k, np.uint64)
-            every[used] = total
-            used, total = np.arange(k), every
-        out.append(mixed(total * M1 + used.astype(np.uint64) * M2 + np.uint64(b)))
+        doubtful = True
+        if frequent is not None:
+            own, doubtful = _parts(h, np.where(frequent, k, part), value, k + 1, excess + 1, least, 2 * b + 1, False)
+            out.append(own)
+        if doubtful:
+            out.append(_parts(h, part, value, k, excess, least, 2 * b, True)[0])
     return np.concatenate(out).view(np.int64)
 
 
@@ -195,8 +223,36 @@ def linked(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None
     return [groups.root(i) for i in range(n)]
 
 
-def _sets_table(documents: DataFrame, words: int, percent: int) -> DataFrame:
+def _hot_terms(documents: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of the shingles that tasks meet often, at most HOT_TERMS."""
+
+    def run(batches):
+        shingler, held, n = Shingler(words), [], 0
+
+        def out():
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            often = c >= REPORTED
+            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names=["h", "n"])
+
+        for b in batches:
+            sets = shingler.sets(b.column(0).to_pylist())
+            held += sets
+            n += sum(map(len, sets))
+            if n > COUNTED:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
+
+    table = cut(documents.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * REPORTED), "frequent")
+    found = table.where(F.col("n") >= hot_bound(table, HOT_TERMS)[0]).select("h").toArrow()
+    drop(table)
+    return np.sort(np.array(found.column(0).to_pylist(), np.int64).view(np.uint64))
+
+
+def _sets_table(documents: DataFrame, words: int, percent: int, hot: np.ndarray | None = None) -> DataFrame:
     """doc_id, n, node (128-bit hash of the set; null if empty), key (its first half) and, once in a task for each node, signatures."""
+    sent = None if hot is None else documents.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         shingler, seen, bands = Shingler(words), set(), Bands(percent, 1 << 40)
@@ -211,7 +267,7 @@ def _sets_table(documents: DataFrame, words: int, percent: int) -> DataFrame:
                     sigs.append(None)
                 else:
                     seen.add(node)
-                    sigs.append(signatures(h, bands).tobytes())
+                    sigs.append(signatures(h, bands, None if sent is None else sent.value).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "node", "key", "sigs"])
 
     kind = dict(documents.dtypes)["doc_id"]
@@ -310,16 +366,19 @@ def _exact(documents: DataFrame, sets: DataFrame, candidates: DataFrame, words:
     return dealt.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(join, "a binary, b binary")
 
 
-def groups(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def groups(documents: DataFrame, words: int = 5, percent: int = 80, frequent: bool | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of documents.
 
     Words are lower-cased (A-Z) and split at ASCII white space; a set has the distinct shingles of so many words, or the
     whole text's words as one if there are fewer. Sets link when 100 * common >= percent * united; component_id is the
     least doc_id reachable. Texts without words, or null, have an empty set, link with nothing and keep their own id.
     Rows with a null id get the least id of their group, if any. Repeated rows are kept; extra columns are ignored.
+    frequent: whether frequent shingles get a part of their own, for a pass over the texts (default: below 85 percent,
+    where parts are small); the result is the same.
     """
     small_batches(documents.sparkSession)
-    sets = _sets_table(documents, words, percent)
+    hot = _hot_terms(documents, words) if (percent < 85 if frequent is None else frequent) else None
+    sets = _sets_table(documents, words, percent, hot)
     roots = components(_candidates(sets))
     links = components(_exact(documents, sets, roots, words, percent))
     classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"))

@@ -45,6 +45,7 @@ def corpus(seed, n):
 
 @pytest.mark.parametrize("words,percent,pieces", [(4, 85, 1000), (5, 80, 12)])
 def test_as_brute_force(spark, monkeypatch, words, percent, pieces):
+    monkeypatch.setattr(N, "HOT_TERMS", 400)
     monkeypatch.setattr(N, "PIECE_SETS", pieces)
     rows = corpus(words, 260)
     df = spark.createDataFrame([(d, t, d, "x") for d, t in rows], "doc_id long, text string, node long, key string").repartition(5)
@@ -65,3 +66,19 @@ def test_keeps_one_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 5), (2, "a b c d e f", 6), (3, None, 7), (4, "", 8), (3, None, 7)], "doc_id long, text string, n long")
     assert sorted(r.doc_id for r in N.one_of_each(df).collect()) == [1, 3, 3, 4]
     assert N.groups(df.limit(0)).count() == 0
+
+
+def test_linked_sets_share_a_signature():
+    r = np.random.default_rng(7)
+    for percent in (70, 80, 85):
+        bands = N.Bands(percent, 1 << 20)
+        for _ in range(150):
+            n = int(r.integers(1, 300))
+            a = r.integers(0, 1 << 62, n).astype(np.uint64)
+            k = int(r.integers(0, n * (100 - percent) // 100 + 1))
+            b = np.concatenate([a[k:], r.integers(0, 1 << 62, int(r.integers(0, k + 1))).astype(np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            hot = np.unique(np.concatenate([a[r.random(len(a)) < r.random()], b[r.random(len(b)) < 0.2]]))
+            if len(b) and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                for h in (None, hot):
+                    assert len(np.intersect1d(N.signatures(a, bands, h), N.signatures(b, bands, h)))
