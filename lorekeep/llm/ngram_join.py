@@ -167,7 +167,8 @@ def linked(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None
     sides: pairs on one side (0 or 1) are left out. T-occurrence search by DivideSkip: for each set, from small to
     large, over the inverted lists of those before it. A candidate that already is in the set's group is not probed.
     """
-    n, groups = len(sets), Union(len(sets))
+    n = len(sets)
+    groups, group = Union(n), np.arange(n)  # group: of each place in order, for whole lists at once
     size = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(size, kind="stable")
     flat = np.concatenate([sets[i] for i in order]) if n else np.zeros(0, np.uint64)
@@ -177,6 +178,12 @@ def linked(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None
     lists, begin = owner[by], np.cumsum(df) - df  # a term's list: positions in order, ascending
     ends, side = np.cumsum(size[order]), None if sides is None else sides[order]
     sizes = size[order]
+
+    def link(q: int, c: int) -> None:
+        groups.link(int(order[q]), int(order[c]))
+        if group[q] != group[c]:
+            group[group == group[c]] = group[q]
+
     for q in range(1, n):
         m = int(sizes[q])
         if not m:
@@ -194,15 +201,22 @@ def linked(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None
         long_ones = mine[len(mine) - (t_least - 1) :] if t_least > 1 else mine[:0]
         short = mine[: len(mine) - len(long_ones)]
         merged = np.concatenate([lists[begin[t] : begin[t] + df[t]] for t in short])
-        merged = np.sort(merged[(merged < q) & (merged >= lowest)], kind="stable")  # merges the sorted runs
+        merged = merged[(merged < q) & (merged >= lowest)]
+        if side is not None:
+            merged = merged[side[merged] != side[q]]
+        # a large group shows in most lists: one member that links spares the others
+        for c in merged[:: max(1, len(merged) // 4)][:4]:
+            if group[c] != group[q]:
+                common = len(np.intersect1d(sets[order[q]], sets[order[c]], assume_unique=True))
+                if 100 * common >= percent * (m + sizes[c] - common):
+                    link(q, c)
+        merged = np.sort(merged[group[merged] != group[q]], kind="stable")  # merges the sorted runs
         if not len(merged):
             continue
         first = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
         found, count = merged[first], np.diff(np.append(first, len(merged)))
         need = -(-percent * (m + sizes[found]) // (100 + percent))
         fits = count + len(long_ones) >= need
-        if side is not None:
-            fits &= side[found] != side[q]
         best = np.argsort(-(count[fits] / need[fits]), kind="stable")
         found, count, need = found[fits][best], count[fits][best], need[fits][best]
         step = 16
@@ -213,11 +227,10 @@ def linked(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None
                 at = np.searchsorted(one, some)
                 have += one[np.minimum(at, len(one) - 1)] == some
             for c in some[have >= need[:step]]:
-                groups.link(int(order[q]), int(order[c]))
+                link(q, c)
             found, count, need = found[step:], count[step:], need[step:]
             if len(found):
-                own = groups.root(int(order[q]))
-                open_ = np.array([groups.root(int(order[c])) != own for c in found])
+                open_ = group[found] != group[q]
                 found, count, need = found[open_], count[open_], need[open_]
             step = min(step * 2, 1024)
     return [groups.root(i) for i in range(n)]
