@@ -379,18 +379,17 @@ def _exact(documents: DataFrame, sets: DataFrame, candidates: DataFrame, words:
     return dealt.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(join, "a binary, b binary")
 
 
-def groups(documents: DataFrame, words: int = 5, percent: int = 80, frequent: bool | None = None) -> DataFrame:
+def groups(documents: DataFrame, words: int = 5, percent: int = 80, frequent: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of documents.
 
     Words are lower-cased (A-Z) and split at ASCII white space; a set has the distinct shingles of so many words, or the
     whole text's words as one if there are fewer. Sets link when 100 * common >= percent * united; component_id is the
     least doc_id reachable. Texts without words, or null, have an empty set, link with nothing and keep their own id.
     Rows with a null id get the least id of their group, if any. Repeated rows are kept; extra columns are ignored.
-    frequent: whether frequent shingles get a part of their own, for a pass over the texts (default: below 85 percent,
-    where parts are small); the result is the same.
+    frequent: whether frequent shingles get a part of their own, for a pass over the texts; the result is the same.
     """
     small_batches(documents.sparkSession)
-    hot = _hot_terms(documents, words) if (percent < 85 if frequent is None else frequent) else None
+    hot = _hot_terms(documents, words) if frequent else None
     sets = _sets_table(documents, words, percent, hot)
     roots = components(_candidates(sets))
     links = components(_exact(documents, sets, roots, words, percent))
