@@ -2,7 +2,7 @@
 
 Numbers, units after numbers and names become typed placeholders; windows of template words of the benchmark meet those
 of documents in a hash join. Values that fill the placeholders of matching windows must map one to one between an item
-and a document, so a re-parameterised question is caught and a chance likeness of form is not.
+and its occurrence in a document, so a re-parameterised question is caught and a chance likeness of form is not.
 """
 
 from __future__ import annotations
@@ -52,12 +52,41 @@ def _windows(df: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
     return out
 
 
+def _one_to_one(pairs: Column) -> Column:
+    n = F.size(pairs)
+    return (n == F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"])))) & (n == F.size(F.array_distinct(F.transform(pairs, lambda p: p["d"]))))
+
+
+def _occurrences(values: DataFrame, enough: int) -> DataFrame:
+    """doc_id, lk_text, item_id, n, pairs: the windows with slots of the best occurrence of an item, and its pairs of values.
+
+    Windows of one place (at - b_at) are one occurrence, left out unless its values map one to one. Where no place has
+    enough windows, as words were put in or left out, places whose values agree are taken together, those with most windows first.
+    """
+    keys = ["doc_id", "lk_text", "item_id"]
+    each = values.groupBy(*keys, "place").agg(F.array_sort(F.collect_set("b_at")).alias("at"), F.array_sort(F.collect_set("p")).alias("pairs")).where(_one_to_one(F.col("pairs")))
+    places = each.select(*keys, F.struct((-F.size("at")).alias("less"), "at", "pairs").alias("o"))
+    best = places.groupBy(*keys).agg(F.min("o").alias("o"), F.array_sort(F.collect_set("o")).alias("all"))
+    kept = lambda o: F.struct(o["at"].alias("at"), o["pairs"].alias("pairs"))
+
+    def step(acc, o):
+        agrees = lambda c: _one_to_one(F.array_union(c["pairs"], o["pairs"]))
+        both = lambda c: F.struct(F.array_union(c["at"], o["at"]).alias("at"), F.array_union(c["pairs"], o["pairs"]).alias("pairs"))
+        return F.when(F.exists(acc, agrees), F.transform(acc, lambda c: F.when(agrees(c), both(c)).otherwise(c))).otherwise(F.concat(acc, F.array(kept(o))))
+
+    groups = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.array(kept(F.col("o"))), step)
+    counts = lambda c: F.struct(F.size(c["at"]).alias("n"), F.size(c["pairs"]).alias("pairs"))
+    found = F.when(-F.col("o.less") >= enough, counts(F.col("o"))).otherwise(F.array_max(F.transform(groups, counts)))
+    return best.select(*keys, found.alias("f")).select(*keys, "f.n", "f.pairs")
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_windows: int = LEAST_WINDOWS) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, n_slots, lk_text (hash of the text): a row for each document and benchmark item with a leak.
 
-    A leak is at least so many windows of the item, or all of a shorter one, found with consistent slots. Items of fewer
-    words than a window are one window of their own length. Null or empty texts, and items or documents without words,
-    match nothing; null ids are kept; repeated rows count once; extra columns are ignored.
+    A leak is at least so many windows of the item, or all of a shorter one, found with slots consistent within an
+    occurrence; n_windows and n_slots are of the best one. Items of fewer words than a window are one window of their own
+    length. Null or empty texts, and items or documents without words, match nothing; null ids are kept; repeated rows
+    count once; extra columns are ignored.
     """
     literal = lambda ws: F.size(F.filter(ws, lambda w: ~w.isin(*SLOTS)))
     items = benchmark.where("text is not null").select("item_id", F.col("text").alias("b")).distinct()
@@ -90,12 +119,13 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
         full = met.where("has").join(hint(own.select("item_id", "b_at", "b_raw", "slot")), ["item_id", "b_at"])
         full = full.alias("f").join(raws.alias("r"), (F.col("f.doc_id").eqNullSafe(F.col("r.doc_id"))) & (F.col("f.lk_text") == F.col("r.lk_text")))
         pair = F.arrays_zip("slot", F.col("b_raw").alias("b"), F.slice("raw", F.col("at") + 1, F.col("size")).alias("d"))
-        values = full.select("f.doc_id", "f.lk_text", "item_id", F.explode(F.filter(pair, lambda p: p["slot"])).alias("p")).select("doc_id", "lk_text", "item_id", F.col("p.b").alias("b"), F.col("p.d").alias("d")).distinct()
-        check = values.groupBy("doc_id", "lk_text", "item_id").agg(F.count("*").alias("pairs"), F.countDistinct("b").alias("bs"), F.countDistinct("d").alias("ds"))
-        ok = check.select(F.col("doc_id").alias("c_doc"), F.col("lk_text").alias("c_text"), F.col("item_id").alias("c_item"), "pairs", ((F.col("pairs") == F.col("bs")) & (F.col("pairs") == F.col("ds"))).alias("ok"))
-        joined = met.join(ok, met.doc_id.eqNullSafe(F.col("c_doc")) & (met.lk_text == F.col("c_text")) & met.item_id.eqNullSafe(F.col("c_item")), "left")
-        good = joined.where(~F.col("has") | F.coalesce("ok", F.lit(False)))
-        fits = good.groupBy("doc_id", "lk_text", "item_id").agg(F.countDistinct("b_at").alias("n_windows"), F.max(F.when(F.col("ok"), F.col("pairs")).otherwise(0)).alias("n_slots"))
+        values = full.select("f.doc_id", "f.lk_text", "item_id", (F.col("at") - F.col("b_at")).alias("place"), "b_at", F.explode(F.filter(pair, lambda p: p["slot"])).alias("p"))
+        best = _occurrences(values.select("doc_id", "lk_text", "item_id", "place", "b_at", F.struct("p.b", "p.d").alias("p")), least_windows)
+        best = best.select(F.col("doc_id").alias("c_doc"), F.col("lk_text").alias("c_text"), F.col("item_id").alias("c_item"), "n", "pairs")
+        plain = met.groupBy("doc_id", "lk_text", "item_id").agg(F.countDistinct(F.when(~F.col("has"), F.col("b_at"))).alias("n_plain"))
+        joined = plain.join(best, plain.doc_id.eqNullSafe(F.col("c_doc")) & (plain.lk_text == F.col("c_text")) & plain.item_id.eqNullSafe(F.col("c_item")), "left")
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+        fits = joined.select("doc_id", "lk_text", "item_id", (F.col("n_plain") + zero("n")).alias("n_windows"), zero("pairs").alias("n_slots"))
     least = F.least(F.lit(least_windows), F.col("item_windows"))
     return fits.join(hint(counted), fits.item_id.eqNullSafe(counted.item_id)).where(F.col("n_windows") >= least).select("doc_id", fits.item_id, "n_windows", "item_windows", "n_slots", "lk_text")
 

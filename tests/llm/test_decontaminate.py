@@ -52,3 +52,14 @@ def test_plain_windows_as_brute_force(spark):
 
     want = sorted((str(d), i) for d, t in docs for i, b in items if sum(tuple(b.split()[k : k + 8]) in grams(t) for k in range(7)) >= 3)
     assert run(spark, docs, items)[0] == want and want
+
+
+def test_each_occurrence_is_checked_alone(spark):
+    variant = ITEM.replace("8", "9").replace("120", "300").replace("40", "77").replace("Anna", "Berta").replace("km", "m")
+    third = variant.replace("300", "500")
+    twice = "we know that the price of one apple here is 5 euros today and yet again we know that the price of one apple here is 6 euros today or so"
+    chance = ITEM + " Later on, " + "a bus stops at 5 and covers 9 km before lunch, then Olga leaves. " + "Well " * 30 + "rides 7 miles home with Paul and 3 friends in the old car."
+    split = lambda t, word: t.replace("lunch", f"{word} lunch").replace("home", f"{word} home")
+    docs = [(1, ITEM + " Or else. " + variant), (2, variant + " Or else. " + third), (3, "So " + twice), (4, chance), (5, split(ITEM, "late") + " Or else. " + split(variant, "big"))]
+    got, _ = run(spark, docs, [(100, ITEM), (101, twice)])
+    assert got == [("1", 100), ("2", 100), ("3", 101), ("4", 100), ("5", 100)]
