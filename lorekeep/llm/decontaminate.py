@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import cut, drop
 
-#: Template words of a window, windows that make a leak (or all of a shorter item), literal words that a window needs.
+#: Template words of a window, windows that make a leak (or all of a shorter item), literal words that a window needs to be met by its form.
 WINDOW, LEAST_WINDOWS, LEAST_LITERAL = 8, 3, 4
 #: Benchmark windows are broadcast up to so many; beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 1_000_000
@@ -84,7 +84,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
     """doc_id, item_id, n_windows, item_windows, n_slots, lk_text (hash of the text): a row for each document and benchmark item with a leak.
 
     A leak is at least so many windows of the item, or all of a shorter one, found with slots consistent within an
-    occurrence; n_windows and n_slots are of the best one. Items of fewer words than a window are one window of their own
+    occurrence; n_windows and n_slots are of the best one. Windows of fewer than four literal words count only where their
+    values are equal; a copy with other values needs so many, or all, of the other windows. Items of fewer words than a window are one window of their own
     length. Null or empty texts, and items or documents without words, match nothing; null ids are kept; repeated rows
     count once; extra columns are ignored.
     """
@@ -98,18 +99,27 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
         return documents.select("doc_id", F.lit(0).alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("item_windows"), F.lit(0).cast("long").alias("n_slots"), text).limit(0)
     own = _windows(items, ["item_id", "n", "w", "raw"], sizes).where("size = n")
     own = own.select("item_id", "size", F.col("at").alias("b_at"), "h", F.slice("w", F.col("at") + 1, F.col("size")).alias("ws"), F.slice("raw", F.col("at") + 1, F.col("size")).alias("b_raw"))
-    own = own.where(literal(F.col("ws")) >= F.least(F.lit(LEAST_LITERAL), F.col("size")))
-    own = cut(own.select("item_id", "size", "b_at", "h", "b_raw", F.transform("ws", lambda w: w.isin(*SLOTS)).alias("slot")), "windows")
-    counted = own.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    # windows of few literal words are common forms, so their values must be equal, too: they are met by their words as they stand
+    exact = literal(F.col("ws")) < F.least(F.lit(LEAST_LITERAL), F.col("size"))
+    own = own.withColumn("exact", exact).withColumn("h", F.when(F.col("exact"), F.xxhash64(F.transform("b_raw", lambda x: F.xxhash64(x)))).otherwise(F.col("h")))
+    own = cut(own.select("item_id", "size", "b_at", "h", "b_raw", "exact", F.transform("ws", lambda w: w.isin(*SLOTS)).alias("slot")), "windows")
+    counted = own.groupBy("item_id").agg(F.count("*").alias("item_windows"), F.count_if(~F.col("exact")).alias("form_windows"))
     small = own.count() <= BROADCAST_WINDOWS
     hint = F.broadcast if small else lambda df: df
     docs = documents.where("text is not null").select("doc_id", text, F.transform(_template(F.col("text")), lambda x: F.xxhash64(x)).alias("t"))
-    met = _windows(docs, ["doc_id", "lk_text"], sizes).join(hint(own.select("h", "size", "item_id", "b_at", F.exists("slot", lambda x: x).alias("has"))), ["h", "size"])
-    met = cut(met.select("doc_id", "lk_text", "item_id", "size", "at", "b_at", "has").distinct(), "met")
+    keys = own.select("h", "size", "item_id", "b_at", "exact", (~F.col("exact") & F.exists("slot", lambda x: x)).alias("has"))
+    met = _windows(docs, ["doc_id", "lk_text"], sizes).join(hint(keys.where(~F.col("exact"))), ["h", "size"])
+    lengths = [r.size for r in own.where("exact").select("size").distinct().collect()]
+    if lengths:
+        plain = documents.where("text is not null").select("doc_id", text, F.transform(_words(_joined_numbers(F.col("text"))), lambda x: F.xxhash64(x)).alias("t"))
+        met = met.unionByName(_windows(plain, ["doc_id", "lk_text"], lengths).join(hint(keys.where("exact")), ["h", "size"]))
+    met = cut(met.select("doc_id", "lk_text", "item_id", "size", "at", "b_at", "exact", "has").distinct(), "met")
     # values of slots, of the few documents with a match that has any
     some = met.where("has").select("doc_id", "lk_text").distinct()
+    number = lambda c: F.countDistinct(F.when(c, F.col("b_at")))
+    fits = met.groupBy("doc_id", "lk_text", "item_id").agg(number(~F.col("has") & ~F.col("exact")).alias("n_form"), number(F.col("exact")).alias("n_exact"))
     if some.isEmpty():
-        fits = met.groupBy("doc_id", "lk_text", "item_id").agg(F.countDistinct("b_at").alias("n_windows")).withColumn("n_slots", F.lit(0).cast("long"))
+        fits = fits.withColumn("n_slots", F.lit(0).cast("long"))
     else:
         few = some.count() <= BROADCAST_WINDOWS
         same = lambda a, b: (a["doc_id"].eqNullSafe(b["doc_id"])) & (a["lk_text"] == b["lk_text"])
@@ -122,12 +132,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
         values = full.select("f.doc_id", "f.lk_text", "item_id", (F.col("at") - F.col("b_at")).alias("place"), "b_at", F.explode(F.filter(pair, lambda p: p["slot"])).alias("p"))
         best = _occurrences(values.select("doc_id", "lk_text", "item_id", "place", "b_at", F.struct("p.b", "p.d").alias("p")), least_windows)
         best = best.select(F.col("doc_id").alias("c_doc"), F.col("lk_text").alias("c_text"), F.col("item_id").alias("c_item"), "n", "pairs")
-        plain = met.groupBy("doc_id", "lk_text", "item_id").agg(F.countDistinct(F.when(~F.col("has"), F.col("b_at"))).alias("n_plain"))
-        joined = plain.join(best, plain.doc_id.eqNullSafe(F.col("c_doc")) & (plain.lk_text == F.col("c_text")) & plain.item_id.eqNullSafe(F.col("c_item")), "left")
+        joined = fits.join(best, fits.doc_id.eqNullSafe(F.col("c_doc")) & (fits.lk_text == F.col("c_text")) & fits.item_id.eqNullSafe(F.col("c_item")), "left")
         zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-        fits = joined.select("doc_id", "lk_text", "item_id", (F.col("n_plain") + zero("n")).alias("n_windows"), zero("pairs").alias("n_slots"))
-    least = F.least(F.lit(least_windows), F.col("item_windows"))
-    return fits.join(hint(counted), fits.item_id.eqNullSafe(counted.item_id)).where(F.col("n_windows") >= least).select("doc_id", fits.item_id, "n_windows", "item_windows", "n_slots", "lk_text")
+        fits = joined.select("doc_id", "lk_text", "item_id", (F.col("n_form") + zero("n")).alias("n_form"), "n_exact", zero("pairs").alias("n_slots"))
+    # a changed copy can only be found by the windows that are met by form
+    enough = lambda n, of: (F.col(of) > 0) & (n >= F.least(F.lit(least_windows), F.col(of)))
+    found = F.col("n_form") + F.col("n_exact")
+    leak = enough(F.col("n_form"), "form_windows") | enough(found, "item_windows")
+    return fits.join(hint(counted), fits.item_id.eqNullSafe(counted.item_id)).where(leak).select("doc_id", fits.item_id, found.alias("n_windows"), "item_windows", "n_slots", "lk_text")
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -63,3 +63,14 @@ def test_each_occurrence_is_checked_alone(spark):
     docs = [(1, ITEM + " Or else. " + variant), (2, variant + " Or else. " + third), (3, "So " + twice), (4, chance), (5, split(ITEM, "late") + " Or else. " + split(variant, "big"))]
     got, _ = run(spark, docs, [(100, ITEM), (101, twice)])
     assert got == [("1", 100), ("2", 100), ("3", 101), ("4", 100), ("5", 100)]
+
+
+def test_windows_of_few_literal_words_match_exactly(spark):
+    table = "12 45 78 Rome 9 km and 31 44 7 euros 18 52"
+    mixed = "9 8 7 6 5 4 3 2 the wheel of fortune turned on"
+    items = [(100, "What is 12 times 3 plus 4"), (101, "Capital of France"), (102, table), (103, mixed)]
+    docs = [(1, "Say, what is 12 times 3 plus 4?"), (2, "What is 12 times 5 plus 4"), (3, "the capital of France."), (4, "the capital of Spain."), (5, "Row " + table + " end"), (6, table.replace("78", "79").replace("31", "32"))]
+    docs += [(7, mixed), (8, mixed.replace("4", "40").replace("3", "30").replace("2", "20"))]
+    got, kept = run(spark, docs, items)
+    assert got == [("1", 100), ("3", 101), ("5", 102), ("7", 103), ("8", 103)]
+    assert [k for k, _ in kept] == ["2", "4", "6"]
