@@ -55,22 +55,32 @@ def vector_search_batch(df: DataFrame, queries: DataFrame, top_k: int = 10, key:
         ids, q = sent.value
         best_d, best_i = np.full((len(ids), top_k), np.inf), np.full((len(ids), top_k), None, object)
         kind = None
+        unit = 8 * (q.shape[1] + 8) * np.finfo(np.float64).eps  # bounds the rounding of the expanded form, over both norms
         for b in batches:
             kind = b.column(0).type
             vs = b.column(1).to_pylist()
             ok = [i for i, v in enumerate(vs) if v is not None and len(v) == q.shape[1]]
             if not ok:
                 continue
-            keys, x = np.array(b.column(0).to_pylist(), object)[ok], np.array([vs[i] for i in ok], np.float64)
+            names = b.column(0).to_pylist()
+            ok.sort(key=lambda i: (names[i] is None, names[i]))  # so that a stable sort by distance leaves ties by key
+            keys, x = np.array(names, object)[ok], np.array([vs[i] for i in ok], np.float64)
+            x_norm, last = (x**2).sum(1), min(top_k, len(ok)) - 1
             for k in range(0, len(ids), block):
                 s = slice(k, k + block)
-                near = (q[s] ** 2).sum(1)[:, None] - 2 * q[s] @ x.T + (x**2).sum(1)[None, :]
-                some = np.argpartition(near, min(4 * top_k, near.shape[1] - 1), 1)[:, : 4 * top_k]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    near = (q[s] ** 2).sum(1)[:, None] - 2 * q[s] @ x.T + x_norm[None, :]
+                    slack = unit * ((q[s] ** 2).sum(1)[:, None] + x_norm[None, :])
+                    lower, kth = near - slack, np.partition(near + slack, last, 1)[:, last]
                 for r in range(near.shape[0]):
-                    c = some[r]
+                    # all rows that may be as near as the kth, ties included; where bounds are not numbers, all rows
+                    most = min(kth[r], best_d[k + r, -1] * (1 + unit)) if np.isfinite(kth[r]) else np.inf
+                    c = np.flatnonzero(~(lower[r] > most))
                     # differences squared, so that what is returned has no cancellation
-                    d = np.concatenate([best_d[k + r], ((x[c] - q[k + r]) ** 2).sum(1)])
-                    n = np.concatenate([best_i[k + r], keys[c]])
+                    d = ((x[c] - q[k + r]) ** 2).sum(1)
+                    nearest = np.argsort(d, kind="stable")[:top_k]
+                    d = np.concatenate([best_d[k + r], d[nearest]])
+                    n = np.concatenate([best_i[k + r], keys[c[nearest]]])
                     order = sorted(range(len(d)), key=lambda i: (d[i], n[i] is None, n[i]))[:top_k]
                     best_d[k + r], best_i[k + r] = d[order], n[order]
         if kind is None:

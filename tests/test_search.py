@@ -106,6 +106,15 @@ def test_batch_as_single(spark, notes):
         assert [got[row.query_id, k + 1] for k in range(2)] == [(x.id, round(x.score, 5)) for x in one]
 
 
+def test_batch_ties_and_near_copies(spark):
+    copies = [(i, [1.0, 2.0]) for i in range(1000)]
+    large = [(2000 + i, [1e8 + (999 - i) * 1e-3, -1e8]) for i in range(1000)]
+    df = spark.createDataFrame(copies + large, "id long, vector array<double>").coalesce(1)
+    q = spark.createDataFrame([(0, [1.0, 2.5]), (1, [1e8, -1e8])], "query_id long, vector array<double>")
+    rows = sorted((r.query_id, r["rank"], r.id) for r in search.vector_search_batch(df, q, 5).collect())
+    assert [i for _, _, i in rows] == [0, 1, 2, 3, 4, 2999, 2998, 2997, 2996, 2995]
+
+
 def test_plans(spark, tmp_path, notes):
     notes.write.mode("overwrite").parquet(str(tmp_path / "n"))
     df = spark.read.parquet(str(tmp_path / "n"))
