@@ -2,7 +2,7 @@
 
 The most frequent words are outputs of a softmax over classes and, within a class, over its words; all other words
 share one output and are told apart by their counts. Output offsets begin as the logarithms of corpus-wide counts, so
-that an untrained model is the smoothed unigram model. Training goes over a fixed fraction of the training documents,
+that an untrained model is the smoothed unigram model. Training goes once over all training documents, in rounds, each
 dealt into shards that grow in number with the corpus: each task runs truncated backpropagation over its shard, and
 the shards' weights are averaged in a tree. Scoring carries the state through whole documents, window by window.
 """
@@ -22,8 +22,8 @@ from lorekeep.llm.common import counted, crc_mod, cut, drop, hot_bound, small_ba
 #: Words of the softmax, its classes' size, words whose counts are broadcast: fixed bounds at any size of the corpus.
 KEPT, CLASS_SIZE, HOT_WORDS = 8_192, 90, 1 << 18
 HIDDEN, WINDOW, LANES = 16, 16, 128
-#: One in so many training documents takes part in a round of training; each round has others.
-SHARE, ROUNDS = 24, 2
+#: Rounds that the training documents are dealt over, so that each takes part in one.
+SHARE = 6
 #: Tokens of a shard, about, and shards whose weights a task averages.
 SHARD_TOKENS, FAN_IN = 400_000, 32
 RATE, DECAY, CLIP = 0.03, 0.99, 1.0
@@ -288,20 +288,22 @@ def _train(documents: DataFrame, model: Gru, known: list[bytes], n_tokens: int,
 
         shape = "shard long, block int, weight double, x binary"
         some = documents.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(share)) == r).select("text")
-        found = cut(some.repartition(shards).mapInArrow(train, shape), "shards")
+        found = made = cut(some.repartition(shards).mapInArrow(train, shape), "shards")
         n = shards
         while n > 1:
             found = found.withColumn("shard", F.floor(F.col("shard") / FAN_IN)).groupBy("block", "shard").applyInPandas(mean, shape)
             n = -(-n // FAN_IN)
         rows = sorted(found.select("block", "x").collect())
+        drop(made)
         if rows:
             model.unflat(np.concatenate([np.frombuffer(x.x, np.float32) for x in rows]))
 
 
-def score(documents: DataFrame, kept: int = KEPT, hot_words: int = HOT_WORDS, share: int = SHARE, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
+def score(documents: DataFrame, kept: int = KEPT, hot_words: int = HOT_WORDS, share: int = SHARE, rounds: int | None = None, seed: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of documents.
 
-    Learns from rows whose crc32 of the id as text, mod 7, is not 2 (a null id counts as empty text). A null or empty
+    Learns from all rows whose crc32 of the id as text, mod 7, is not 2 (a null id counts as empty text), dealt over so
+    many rounds as share says; fewer rounds leave some out. A null or empty
     text is one end token. Repeated rows are scored each, extra columns ignored. Without training rows both scores are
     those of one unseen word for each token.
     """
@@ -321,7 +323,7 @@ def score(documents: DataFrame, kept: int = KEPT, hot_words: int = HOT_WORDS, sh
     rare_total = N - ends - sum(n for n, _ in top) + (sums.v - len(top)) + 1
     counts = np.array([ends + 1, rare_total] + [n + 1 for n, _ in top], np.float64)
     model = Gru(counts, np.random.default_rng(seed))
-    _train(training, model, [w for _, w in top], N, share, rounds)
+    _train(training, model, [w for _, w in top], N, share, share if rounds is None else rounds)
     sent = spark.sparkContext.broadcast((model.dump(), [w for _, w in hot], np.array([n for n, _ in hot], np.int64)))
     log_z, log_rare = np.log10(N + V + 1.0), np.log10(float(rare_total))
     kind = dict(documents.dtypes)["doc_id"]

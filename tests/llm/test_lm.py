@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -75,3 +76,14 @@ def test_gradient():
 def test_empty_table(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert lm.score(df.limit(0)).count() == 0
+
+
+def test_all_training_documents_are_trained_on(spark):
+    r = random.Random(5)
+    docs = [(i, " ".join(r.choice("ab cd ef gh ij kl".split()) for _ in range(80))) for i in range(60)]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    far = {x.doc_id for x in make(docs).where("pmod(xxhash64(cast(doc_id AS string)), 24) > 1 AND crc32(cast(doc_id AS string)) % 7 <> 2").collect()}
+    # the same counts, so that only gradient steps can tell the corpora apart
+    other = [(i, " ".join(sorted(t.split())) if i in far else t) for i, t in docs]
+    a, b = ({x.doc_id: x.score for x in lm.score(make(rows)).where("held_out").collect()} for rows in (docs, other))
+    assert a and all(abs(a[i] - b[i]) > 1e-6 for i in a)
