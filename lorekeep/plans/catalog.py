@@ -296,6 +296,12 @@ def code_context(spark, d):
     return context.code_context(docs.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("source_file"), F.col("text").alias("content")), 2, 3, 1)
 
 
+@query()
+def code_context_all(spark, d):
+    docs = _t(spark, d, "documents")
+    return context.code_context(docs.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("source_file"), F.col("text").alias("content")), 2, 3, 1)
+
+
 # --- ledger and sessions ---
 
 

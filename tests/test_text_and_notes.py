@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.text import content_hash, project_name, strip, terms, truncate
 from lorekeep.operators import context, costs, markdown
+from lorekeep.plans import catalog
 
 
 def one(spark, col, **values):
@@ -66,6 +67,15 @@ def test_code_context(spark):
     assert [x.shown for x in r] == ["     1 | a", "→    2 | b", "→    3 | c", "     4 | d"]
 
 
+def test_code_context_of_all_documents(spark, tmp_path):
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    docs = list(enumerate((f"a{e}{e}b{e}c d{e}e{end}" for e in ends for end in ("", e)), 190))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.source_file, r.line_no, r.marked, r.shown) for r in catalog.code_context_all(spark, str(tmp_path)).collect())
+    want = [(f"f{n}", k, 2 <= k <= 3, f"{'→ ' if 2 <= k <= 3 else '  '}{k:4d} | {line}") for n, t in docs for k, line in enumerate(t.splitlines()[:4], 1)]
+    assert got == sorted(want)
+
+
 def test_costs(spark, tmp_path):
     p = str(tmp_path / "ledger")
     now = datetime(2026, 3, 5, 12)
