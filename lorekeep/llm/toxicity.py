@@ -18,9 +18,8 @@ from lorekeep.llm.common import crc_mod, labelled_sample, small_batches
 
 #: Labelled rows that are learnt from, at most.
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
-#: Discounts of word and of bigram counts: only what a class says very often in a context counts beyond its words, as
-#: near copies of a few documents would else make phrases of either class.
-D1, D2 = 0.75, 50.0
+#: Discounts of word counts, and of the number of documents with a bigram: phrases of up to three documents are left to their words.
+D1, D2 = 0.75, 3.0
 #: Expressions whose log ratio exceeds this also count on their own, as an excess over it.
 MARGIN = 2.5
 
@@ -41,8 +40,9 @@ class KneserNey:
             own = [x for x, y in zip(ids, labels) if y == k and len(x)]
             flat = np.concatenate([np.zeros(0, np.int64), *own])
             uni[k] = np.bincount(flat, minlength=n + 1)
-            before = np.concatenate([np.zeros(0, np.int64), *(np.concatenate([[n], x[:-1]]) for x in own)])
-            pairs.append(np.unique(before * self.v + flat, return_counts=True))
+            # once a document, so that what one repeats doesn't count as usage of the class
+            keys = [np.unique(np.concatenate([[n], x[:-1]]) * self.v + x) for x in own]
+            pairs.append(np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_counts=True))
         every = np.union1d(pairs[0][0], pairs[1][0])
         shared = np.bincount(every % self.v, minlength=n + 1) + 1.0  # continuation counts of both classes
         shared /= shared.sum()

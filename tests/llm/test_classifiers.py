@@ -69,6 +69,16 @@ def test_kneser_ney_by_hand():
     assert np.allclose(again.ratios(again.ids([[b"a", b"b", b"zz"]])), m.ratios([np.array([0, 1, 3])]))
 
 
+def test_expressions_of_ordinary_words_count():
+    x, y, z = 0, 1, 2
+    docs = [np.array([z, x, y, z])] * 10 + [np.array([z, y, x, z])] * 10
+    m = toxicity.KneserNey(docs, [1] * 10 + [0] * 10, {b"x": x, b"y": y, b"z": z})
+    toxic, ordinary = m.ratios([np.array([z, x, y, z]), np.array([z, y, x, z])])[:, 0]
+    assert toxic > 0.5 and ordinary < -0.5
+    once, often = (toxicity.KneserNey([np.array([x, y] * k), np.array([z])], [1, 0], {b"x": x, b"y": y, b"z": z}) for k in (1, 40))
+    assert all(np.allclose(m.pair[m.keys == x * m.v + y], (m.back[x] + m.uni[y])) for m in (once, often))
+
+
 def test_subword_features():
     h, n = quality.features(["ab", "abc", "ab"])
     assert n.tolist() == [1 + 3 + 2 + 1, 1 + 4 + 3 + 2, 7] and (h[:7] == h[-7:]).all()
