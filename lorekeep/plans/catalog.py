@@ -392,7 +392,7 @@ def html_chunks(spark, d):
 
 @query()
 def embed_hashing(spark, d):
-    return _t(spark, d, "benchmark").select("item_id", embed(HashingProvider(64), F.col("text")).alias("vector"))
+    return _t(spark, d, "documents").select("doc_id", embed(HashingProvider(64), F.col("text")).alias("vector"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -76,6 +76,12 @@ def test_code_context_of_all_documents(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_embed_hashing_takes_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "a b"), (2, "word " * 20_000)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: len(r.vector) for r in catalog.embed_hashing(spark, str(tmp_path)).collect()}
+    assert got == {1: 64, 2: 64}
+
+
 def test_costs(spark, tmp_path):
     p = str(tmp_path / "ledger")
     now = datetime(2026, 3, 5, 12)
