@@ -1,17 +1,18 @@
-"""Source code to chunks: top-level declarations, merged imports, and parts of declarations that are too large.
+"""Source code to chunks: spans of declarations that together cover the file.
 
-Parsers give trees of Node for each language: Python's by its own grammar, the others' by scanners that know strings,
-comments and brackets. Where a declaration is too large its parts are approximate: members and headers, not every token.
+An outline for each language names the spans worth a chunk of their own: Python's by its own grammar, the others' by
+scanners that know strings, comments and brackets. What lies between spans becomes a chunk, too, or goes with its
+neighbour. A span that is too large is cut at its members and, where it has none, at line ends, so that no text is lost.
 """
 
 from __future__ import annotations
 
 import ast
-import io
 import re
-import tokenize
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,69 +26,62 @@ MAX_BYTES = 1500
 
 
 @dataclass
-class Node:
-    type: str
+class Span:
+    """A range of text: what it is (class, function, imports or other), its symbol, whether it has a signature wherever it
+    stands, whether it only holds its members together, and what gives its members."""
+
     start: int
     end: int
+    what: str = "other"
     name: str = ""
-    inner: str = ""
-    children: list[Node] = field(default_factory=list)
-
-
-@dataclass(frozen=True)
-class Language:
-    """Kinds of nodes: those with signatures, those that merge, those whose members count as top-level."""
-
-    top: frozenset[str]
-    merge: frozenset[str]
-    context: frozenset[str] = frozenset()
-
-
-#: Kinds of nodes by language.
-_TS = Language(frozenset("class_declaration function_declaration lexical_declaration export_statement interface_declaration type_alias_declaration".split()), frozenset(["import_statement"]))
-KINDS = {
-    "python": Language(frozenset("class_definition function_definition decorated_definition".split()), frozenset("import_statement import_from_statement".split())),
-    "csharp": Language(frozenset("class_declaration struct_declaration interface_declaration enum_declaration record_declaration method_declaration property_declaration".split()), frozenset(["using_directive"]), frozenset(["namespace_declaration"])),
-    "typescript": _TS,
-    "tsx": _TS,
-    "html": Language(frozenset("element script_element style_element".split()), frozenset(["doctype"])),
-    "css": Language(frozenset("rule_set media_statement keyframes_statement".split()), frozenset("import_statement charset_statement".split())),
-}
-
-
-def parse_python(text: str) -> list[Node]:
-    lines = io.StringIO(text).readlines()
-    starts = [0]
-    for line in lines:
-        starts.append(starts[-1] + len(line))
-    cut = lambda row, col: starts[row - 1] + len(lines[row - 1].encode()[:col].decode("utf-8", "ignore"))
-
-    def node(s: ast.stmt) -> Node:
-        decorated = getattr(s, "decorator_list", [])
-        row, col = (decorated[0].lineno, decorated[0].col_offset) if decorated else (s.lineno, s.col_offset)
-        start = cut(row, col)
-        if decorated:
-            start = text.rfind("@", 0, start)
-        kind = {ast.ClassDef: "class_definition", ast.FunctionDef: "function_definition", ast.AsyncFunctionDef: "function_definition", ast.Import: "import_statement", ast.ImportFrom: "import_from_statement"}.get(type(s), "statement")
-        if isinstance(s, ast.ImportFrom) and s.module == "__future__":
-            kind = "future_import_statement"
-        out = Node("decorated_definition" if decorated else kind, start, cut(s.end_lineno, s.end_col_offset), getattr(s, "name", ""), kind if decorated else "")
-        body = getattr(s, "body", None)
-        if isinstance(body, list) and body:
-            inner = [node(x) for x in body] + [node(x) for k in ("orelse", "finalbody") for x in getattr(s, k, [])]
-            out.children = [Node("header", start, inner[0].start), *inner]
+    signed: bool = False
+    scope: bool = False
+    members: Callable[[], list[Span]] | None = None
+
+
+# --- Python ---
+
+
+def outline_python(text: str) -> list[Span]:
+    begins = [0, *(m.end() for m in re.finditer(r"\r\n|\r|\n", text))]
+    wide = not text.isascii()
+
+    def place(row: int, col: int) -> int:
+        at = begins[row - 1]
+        if not wide:
+            return at + col
+        line = text[at : begins[row] if row < len(begins) else len(text)]
+        return at + len(line.encode()[:col].decode("utf-8", "ignore"))
+
+    def inside(node: ast.AST) -> list[Span]:
+        found = []
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, ast.stmt):
+                found.append(span(child))
+            elif isinstance(child, (ast.ExceptHandler, ast.match_case)):
+                found += inside(child)
+        return found
+
+    def span(s: ast.stmt) -> Span:
+        start, marks = place(s.lineno, s.col_offset), getattr(s, "decorator_list", None)
+        if marks:
+            start = text.rfind("@", 0, place(marks[0].lineno, marks[0].col_offset))
+        out = Span(start, place(s.end_lineno, s.end_col_offset), name=getattr(s, "name", ""), members=lambda: inside(s))
+        if isinstance(s, ast.ClassDef):
+            out.what, out.signed = "class", True
+        elif isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            out.what, out.signed = "function", True
+        elif isinstance(s, ast.Import) or (isinstance(s, ast.ImportFrom) and s.module != "__future__"):
+            out.what = "imports"
         return out
 
-    nodes = [node(s) for s in ast.parse(text).body]
-    for t in tokenize.generate_tokens(io.StringIO(text).readline):
-        if t.type == tokenize.COMMENT and t.start[1] == 0:
-            at = cut(t.start[0], 0)
-            if not any(n.start <= at < n.end for n in nodes):
-                nodes.append(Node("comment", at, at + len(t.string)))
-    return sorted(nodes, key=lambda n: n.start)
+    return [span(s) for s in ast.parse(text).body]
+
 
+# --- languages with braces ---
 
 _SKIP = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?""", re.S)
+_GOES_ON = re.compile(r"[ \t]*(;|[,).=]|from\b|while\b)?")
 
 
 def _statements(text: str, start: int, end: int, line_comments: bool = True) -> Iterator[tuple[int, int, int]]:
@@ -114,7 +108,7 @@ def _statements(text: str, start: int, end: int, line_comments: bool = True) ->
         elif ch in ")}]":
             depth = max(0, depth - 1)
             if ch == "}" and depth == 0 and begin is not None:
-                rest = re.compile(r"[ \t]*(;|[,).=]|from\b|while\b)?").match(text, at + 1)
+                rest = _GOES_ON.match(text, at + 1)
                 if rest[1] in (None, ";"):
                     stop = rest.end() if rest[1] else at + 1
                     yield begin, min(stop, end), brace
@@ -128,206 +122,221 @@ def _statements(text: str, start: int, end: int, line_comments: bool = True) ->
         yield begin, end, brace
 
 
-_TS_HEAD = re.compile(r"(?P<export>export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?P<kw>class|function\*?|interface|type|enum|const|let|var|import|namespace)\b\s*(?P<name>[\w$]+)?")
-_TS_KIND = {"class": "class_declaration", "function": "function_declaration", "function*": "function_declaration", "interface": "interface_declaration", "type": "type_alias_declaration", "enum": "enum_declaration", "const": "lexical_declaration", "let": "lexical_declaration", "var": "variable_declaration", "import": "import_statement", "namespace": "internal_module"}
-_CS_HEAD = re.compile(r"(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|unsafe|new|override|virtual|async|file)\s+)*(?:(?P<kw>using|namespace|class|struct|interface|enum|record(?:\s+(?:class|struct))?)\s+(?P<name>[\w.]+)|(?P<type>[\w<>\[\],.? ]+?)\s+(?P<member>\w+)\s*(?P<open>[({;=]|=>))")
+def _braced(text: str, describe: Callable[[str, int, int, int, bool], dict], line_comments: bool = True) -> list[Span]:
+    """Statements as spans, whose members are the statements within their braces. describe: fields of a span from text, start, end, brace and whether it stands at the top."""
 
-
-def parse_ts(text: str) -> list[Node]:
-    def members(a: int, b: int) -> list[Node]:
+    def level(a: int, b: int, top: bool) -> list[Span]:
         out = []
-        for s, e, brace in _statements(text, a, b):
-            m = re.compile(r"(?:(?:public|private|protected|static|readonly|async|get|set|override)\s+)*([\w$]+)\s*(?:<[^>]*>)?\s*\(").match(text, s, e)
-            out.append(Node("method_definition" if m and brace >= 0 else "comment" if text[s : s + 2] in ("//", "/*") else "field", s, e, m[1] if m else ""))
+        for s, e, brace in _statements(text, a, b, line_comments):
+            how = {} if text.startswith(("//", "/*"), s) else describe(text, s, e, brace, top)
+            close = text.rfind("}", brace, e) if brace >= 0 else -1
+            inner = (lambda x=brace + 1, y=close if close > brace else e, t=how.get("scope", False): level(x, y, t)) if brace >= 0 else None
+            out.append(Span(s, e, members=inner, **how))
         return out
 
-    out = []
-    for s, e, brace in _statements(text, 0, len(text)):
-        if text[s : s + 2] in ("//", "/*"):
-            out.append(Node("comment", s, e))
-            continue
-        m = _TS_HEAD.match(text, s, e)
-        kind = _TS_KIND.get(m["kw"], "statement") if m else "export_statement" if text.startswith("export", s) else "statement"
-        name = (m["name"] or "") if m and kind not in ("lexical_declaration", "variable_declaration", "import_statement") else ""
-        n = Node("export_statement", s, e, name, kind) if m and m["export"] else Node(kind, s, e, name)
-        if brace >= 0:
-            close = text.rfind("}", brace, e)
-            n.children = [Node("header", s, brace + 1), *members(brace + 1, close if close > brace else e)]
-        out.append(n)
-    return out
-
-
-def parse_cs(text: str) -> list[Node]:
-    def level(a: int, b: int) -> list[Node]:
-        out = []
-        for s, e, brace in _statements(text, a, b):
-            if text[s : s + 2] in ("//", "/*"):
-                out.append(Node("comment", s, e))
-                continue
-            m = _CS_HEAD.match(text, s, e)
-            kind, name = "statement", ""
-            if m and m["kw"]:
-                word = m["kw"].split()[0]
-                kind, name = {"using": "using_directive", "namespace": "namespace_declaration"}.get(word, word + "_declaration"), m["name"]
-                if word == "namespace" and brace < 0:
-                    kind = "file_scoped_namespace_declaration"
-            elif m:
-                kind = {"(": "method_declaration", "{": "property_declaration", "=>": "property_declaration"}.get(m["open"], "field_declaration")
-                name = m["member"]
-            n = Node(kind, s, e, name if kind != "using_directive" else "")
-            if brace >= 0:
-                close = text.rfind("}", brace, e)
-                n.children = [Node("header", s, brace + 1), *(level(brace + 1, close if close > brace else e) if kind.endswith("_declaration") and kind not in ("method_declaration", "property_declaration", "enum_declaration") else [Node("block", brace + 1, close)])]
-            out.append(n)
-        return out
+    return level(0, len(text), True)
+
+
+_TS_HEAD = re.compile(r"(export\s+(?:default\s+)?)?(?:(?:declare|abstract|async)\s+)*(class|function|interface|type|const|let|enum|import)\b\*?\s*([\w$]+)?")
+_TS_MEMBER = re.compile(r"(?:(?:public|private|protected|static|readonly|async|get|set|override|abstract)\s+)*([\w$]+)\s*(?:<[^>]*>)?\s*\(")
+
+
+def _describe_ts(text: str, s: int, e: int, brace: int, top: bool) -> dict:
+    m = _TS_HEAD.match(text, s, e)
+    if m is None:
+        member = _TS_MEMBER.match(text, s, e) if brace >= 0 and not top else None
+        return {"what": "function", "name": member[1]} if member and member[1] not in ("if", "for", "while", "switch", "catch") else {"signed": text.startswith("export", s)}
+    word, name = m[2], m[3] or ""
+    if word == "import":
+        return {"what": "imports"}
+    what = {"class": "class", "interface": "class", "function": "function"}.get(word, "other")
+    return {"what": what, "name": "" if word in ("const", "let") else name, "signed": word != "enum" or m[1] is not None}
+
 
-    return level(0, len(text))
+_CS_WORDS = r"(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|unsafe|new|override|virtual|async|file)\s+)*"
+_CS_TYPE = re.compile(_CS_WORDS + r"(using|namespace|class|struct|interface|enum|record)\s+(?:(?:class|struct)\s+)?([\w.]+)")
+_CS_MEMBER = re.compile(_CS_WORDS + r"[\w<>\[\],.? ]+?\s+(\w+)\s*(\(|\{|=>)")
 
 
-def parse_css(text: str) -> list[Node]:
-    out = []
-    for s, e, brace in _statements(text, 0, len(text), line_comments=False):
-        head = text[s:e]
-        kind = next((k for p, k in (("@import", "import_statement"), ("@charset", "charset_statement"), ("@media", "media_statement"), ("@keyframes", "keyframes_statement"), ("@-webkit-keyframes", "keyframes_statement"), ("@", "at_rule"), ("/*", "comment")) if head.startswith(p)), "rule_set")
-        n = Node(kind, s, e)
-        if brace >= 0:
-            close = text.rfind("}", brace, e)
-            n.children = [Node("header", s, brace + 1), *(Node("rule_set", a, b) for a, b, _ in _statements(text, brace + 1, close if close > brace else e, line_comments=False))]
-        out.append(n)
-    return out
+def _describe_cs(text: str, s: int, e: int, brace: int, top: bool) -> dict:
+    if m := _CS_TYPE.match(text, s, e):
+        word, name = m[1], m[2]
+        if word == "using":
+            return {"what": "imports"}
+        if word == "namespace":
+            return {"name": name, "scope": brace >= 0}
+        return {"what": "class" if word in ("class", "struct", "interface") else "other", "name": name, "signed": True}
+    if m := _CS_MEMBER.match(text, s, e):
+        return {"what": "function" if m[2] == "(" else "other", "name": m[1], "signed": True}
+    return {}
 
 
-_HTML = re.compile(r"<!--.*?(?:-->|\Z)|<!doctype[^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_HTML_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+def _describe_css(text: str, s: int, e: int, brace: int, top: bool) -> dict:
+    if text.startswith(("@import", "@charset"), s):
+        return {"what": "imports"}
+    return {"signed": not text.startswith("@", s) or re.compile(r"@media|@(?:-\w+-)?keyframes").match(text, s) is not None}
 
 
-def parse_html(text: str) -> list[Node]:
-    root, at = Node("document", 0, len(text)), 0
-    stack = [root]
-    while m := _HTML.search(text, at):
-        if text[at : m.start()].strip():
-            stack[-1].children.append(Node("text", at, m.start()))
+# --- HTML ---
+
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!doctype[^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_NO_END = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style")}
+
+
+def outline_html(text: str) -> list[Span]:
+    """Elements; those without an end tag end where the one around them does."""
+    top: list[Span] = []
+    open_: list[tuple[str, Span, list[Span]]] = []  # tags, their spans and members
+    count: dict[str, int] = {}
+    at = 0
+    while m := _TAG.search(text, at):
         at = m.end()
-        if m[2] is None:
-            stack[-1].children.append(Node("comment" if m[0].startswith("<!--") else "doctype", m.start(), m.end()))
-        elif m[1]:
-            tag = m[2].lower()
-            if any(n.inner == tag for n in stack[1:]):
-                while True:
-                    n = stack.pop()
-                    n.end = m.end() if n.inner == tag else m.start()
-                    if n.inner == tag:
-                        break
-        else:
-            tag = m[2].lower()
-            n = Node({"script": "script_element", "style": "style_element"}.get(tag, "element"), m.start(), m.end(), "", tag)
-            stack[-1].children.append(n)
-            if tag in _HTML_VOID or m[3].endswith("/"):
-                continue
-            if tag in ("script", "style"):  # raw text: what looks like tags within is none
-                end = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
-                at = n.end = end.end() if end else len(text)
-                continue
-            n.children.append(Node("start_tag", m.start(), m.end()))
-            stack.append(n)
-    for n in stack[1:]:
-        n.end = len(text)
-    if text[at:].strip():
-        stack[-1].children.append(Node("text", at, len(text)))
+        tag = (m[2] or "").lower()
+        if m[1]:
+            while count.get(tag):
+                name, s, _ = open_.pop()
+                count[name] -= 1
+                s.end = at if name == tag else m.start()
+                if name == tag:
+                    break
+            continue
+        own: list[Span] = []
+        s = Span(m.start(), at, "other" if tag or m[0].startswith("<!--") else "imports", signed=bool(tag), members=lambda own=own: own)
+        (open_[-1][2] if open_ else top).append(s)
+        if tag in _RAW_END:  # what looks like tags within is none
+            end = _RAW_END[tag].search(text, at)
+            at = s.end = end.end() if end else len(text)
+        elif tag and tag not in _NO_END and not m[3].endswith("/"):
+            open_.append((tag, s, own))
+            count[tag] = count.get(tag, 0) + 1
+    for _, s, _ in open_:
+        s.end = len(text)
+    return top
+
+
+OUTLINES: dict[str, Callable[[str], list[Span]]] = {
+    "python": outline_python,
+    "typescript": lambda text: _braced(text, _describe_ts),
+    "tsx": lambda text: _braced(text, _describe_ts),
+    "csharp": lambda text: _braced(text, _describe_cs),
+    "css": lambda text: _braced(text, _describe_css, line_comments=False),
+    "html": outline_html,
+}
+
+
+def paragraphs(text: str) -> list[Span]:
+    """Runs of lines without blank ones, where a text can't be outlined."""
+    return [Span(m.start(), m.end()) for m in re.finditer(r"\S(?:.|\n(?!\s*\n))*", text)]
+
 
-    def plain(n: Node) -> Node:
-        n.inner = ""
-        for c in n.children:
-            plain(c)
-        return n
+def headline(code: str, lang: str) -> str:
+    """A declaration's signature: in Python its first line that ends with a colon, elsewhere all before its first brace; else its first line."""
+    found = re.search(r"^[^\S\n]*(\S.*?:)\\?[^\S\n]*$" if lang == "python" else r"\A\s*([^{]*?)\s*\{", code, re.M)
+    return found[1] if found else code.split("\n", 1)[0]
 
-    return plain(root).children
 
+_CLOSERS = re.compile(r"[\s)\]};,]*")
 
-PARSERS = {"python": parse_python, "typescript": parse_ts, "tsx": parse_ts, "csharp": parse_cs, "css": parse_css, "html": parse_html}
 
+class Cutter:
+    """Chunks of one text; sizes are in bytes of UTF-8."""
 
-def _parts(text: str) -> list[Node]:
-    """Runs of lines without blank ones, where a text can't be parsed."""
-    return [Node("statement", m.start(), m.end()) for m in re.finditer(r"\S(?:.|\n(?!\s*\n))*", text)]
+    def __init__(self, text: str, lang: str, path: str, most: int):
+        self.text, self.lang, self.path, self.most, self.rows = text, lang, path, most, []
+        self.newlines = [m.start() for m in re.finditer("\n", text)]
+        self.offset = range(len(text) + 1) if text.isascii() else [0, *accumulate(1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in text)]
 
+    def fits(self, start: int, end: int) -> bool:
+        return self.offset[end] - self.offset[start] <= self.most
 
-def signature(text: str, lang: str) -> str:
-    """Python: the first line that ends with a colon; else what stands before the first brace. Failing that, the first line."""
-    rows = text.splitlines()
-    if lang == "python":
-        return next((s.removesuffix("\\") for s in map(str.strip, rows) if s.endswith((":", ":\\"))), rows[0] if rows else "")
-    return text.partition("{")[0].strip() if "{" in text else (rows[0] if rows else "")
+    def row(self, what: str, name: str, parent: str, sig: str, start: int, end: int, text: str | None = None) -> None:
+        lines = [f"# {self.path}"] + [f"# in {parent}"] * bool(parent) + [sig] * bool(sig)
+        line = lambda at: bisect_right(self.newlines, at - 1) + 1
+        self.rows.append((self.lang, what, name, parent, sig, self.text[start:end] if text is None else text, "\n".join(lines), line(start), line(max(start, end - 1)), len(self.rows)))
 
+    def trimmed(self, start: int, end: int) -> tuple[int, int]:
+        part = self.text[start:end]
+        return start + len(part) - len(part.lstrip()), end - len(part) + len(part.rstrip())
 
-def kind_of(n: Node, spec: Language) -> str:
-    if n.type in spec.merge:
-        return "imports"
-    words = n.inner or n.type
-    for out, marks in (("class", ("class", "struct", "interface")), ("function", ("function", "method"))):
-        if any(m in words for m in marks):
-            return out
-    return "other"
+    def covered(self, spans: list[Span], start: int, end: int, top: bool) -> list[Span]:
+        """spans and what lies between them. Closing brackets go with the span before; other text is a span at the top and goes with the span after it elsewhere."""
+        out: list[Span] = []
+        at = start
+        for s in [*sorted(spans, key=lambda s: s.start), Span(end, end)]:
+            s.start, s.end = max(s.start, at), min(s.end, end)
+            a, b = self.trimmed(at, s.start)
+            if a < b and out and _CLOSERS.fullmatch(self.text, a, b) and self.fits(out[-1].start, b):
+                out[-1].end = b
+            elif a < b and not top and s.start < s.end:
+                s.start = a
+            elif a < b:
+                out.append(Span(a, b))
+            if s.start < s.end:
+                out.append(s)
+                at = s.end
+        return out
+
+    def lines(self, start: int, end: int) -> Iterator[tuple[int, int]]:
+        """Parts that fit, cut at line ends or, within a line that is too long, anywhere."""
+        at = start
+        while at < end:
+            stop = end
+            if not self.fits(at, end):
+                stop = bisect_right(self.offset, self.offset[at] + self.most) - 1
+                cut = self.text.rfind("\n", at, stop)
+                stop = cut + 1 if cut > at else max(stop, at + 1)
+            a, b = self.trimmed(at, stop)
+            if a < b:
+                yield a, b
+            at = stop
+
+    def imports(self, run: list[Span]) -> None:
+        if run:
+            self.row("imports", "", "", "", run[0].start, run[-1].end, "\n".join(self.text[s.start : s.end] for s in run))
+
+    def cut(self, spans: list[Span]) -> list[tuple]:
+        todo = [(s, "", True) for s in reversed(self.covered(spans, 0, len(self.text), True))]
+        run: list[Span] = []
+        while todo:
+            s, parent, top = todo.pop()
+            if s.what == "imports" and top and self.fits(s.start, s.end):
+                if sum(self.offset[x.end] - self.offset[x.start] for x in [*run, s]) > self.most:
+                    self.imports(run)
+                    run = []
+                run.append(s)
+                continue
+            self.imports(run)
+            run = []
+            if self.fits(s.start, s.end) and not s.scope:
+                sig = headline(self.text[s.start : s.end], self.lang) if s.signed or not top else ""
+                self.row(s.what, s.name, parent, sig, s.start, s.end)
+                continue
+            owner = s.name or parent
+            inner = [x for x in (s.members() if s.members else []) if s.start <= x.start < x.end <= s.end]
+            if not inner:
+                sig = headline(self.text[s.start : s.end][: self.most], self.lang) if s.signed or not top else ""
+                for a, b in self.lines(s.start, s.end):
+                    self.row(s.what, s.name, parent, sig, a, b)
+                continue
+            first = min(x.start for x in inner)
+            rest = self.covered(inner, first, s.end, s.scope)
+            todo += [(x, owner, s.scope) for x in reversed(rest)]
+            for a, b in self.lines(s.start, first):  # the head
+                self.row("other", "", owner, "" if s.scope else headline(self.text[a:b], self.lang), a, b)
+        self.imports(run)
+        return self.rows
 
 
 def chunk_text(text: str, lang: str, path: str, max_bytes: int = MAX_BYTES) -> list[tuple]:
-    """Rows of CODE_CHUNKS, in order; none for a language that is not known."""
-    spec = KINDS.get(lang)
-    if spec is None or not text.strip():
+    """Rows of CODE_CHUNKS, in order; none for a language that is not known. Together they hold all characters that aren't white space."""
+    if lang not in OUTLINES or not text.strip():
         return []
     try:
-        nodes = PARSERS[lang](text)
-    except (SyntaxError, ValueError, RecursionError, tokenize.TokenError):
-        nodes = _parts(text)
-    out: list[tuple] = []
-    size = lambda n: len(text[n.start : n.end].encode())
-    row = lambda at: text.count("\n", 0, at) + 1
-
-    def emit(n: Node, parent: str, signed: bool) -> None:
-        s = text[n.start : n.end]
-        sig = signature(s, lang) if signed else ""
-        header = "\n".join(x for x in (f"# {path}", f"# in {parent}" if parent else "", sig) if x)
-        out.append((lang, kind_of(n, spec), n.name, parent, sig, s, header, row(n.start), row(max(n.start, n.end - 1)), len(out)))
-
-    def split(n: Node, parent: str) -> None:
-        for c in n.children:
-            if text[c.start : c.end].strip():
-                if size(c) <= max_bytes:
-                    emit(c, parent, True)
-                else:
-                    split(c, c.name or parent)
-
-    def declarations(n: Node, parent: str) -> None:
-        for c in n.children:
-            if c.type in spec.context:
-                declarations(c, c.name)
-            elif c.type in spec.top:
-                emit(c, parent, True) if size(c) <= max_bytes else split(c, parent)
-
-    def merged(run: list[Node]) -> None:
-        if run:
-            out.append((lang, "imports", "", "", "", "\n".join(text[n.start : n.end] for n in run), f"# {path}", row(run[0].start), row(max(run[-1].start, run[-1].end - 1)), len(out)))
-
-    run: list[Node] = []
-    for n in nodes:
-        if not text[n.start : n.end].strip():
-            continue
-        if n.type in spec.merge:
-            if sum(map(size, run)) + size(n) > max_bytes:
-                merged(run)
-                run = []
-            run.append(n)
-            continue
-        merged(run)
-        run = []
-        if n.type in spec.context:
-            declarations(n, n.name)
-        elif size(n) <= max_bytes:
-            emit(n, "", n.type in spec.top)
-        else:
-            split(n, n.name)
-    merged(run)
-    return out
+        spans = OUTLINES[lang](text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        spans = paragraphs(text)
+    return Cutter(text, lang, path, max_bytes).cut(spans)
 
 
 def chunk_sources(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -353,4 +362,4 @@ class ChunkCode:
         yield from chunk_text(content or "", lang or "", path or "")
 
 
-assert set(LANGUAGES.values()) == set(KINDS)
+assert set(LANGUAGES.values()) == set(OUTLINES)

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lorekeep import schemas
 from lorekeep.functions.embed import HashingProvider
@@ -89,29 +91,67 @@ def test_patterns():
     assert files.wanted("x/a.md") and not files.wanted(".obsidian/a.md") and files.wanted(".obsidian/a/b.md") and not files.wanted("a.txt")
 
 
-PY = "import os\nimport sys\nfrom a import b\n\n# note\nclass Calc:\n    def add(self, a):\n        return a\n\n@staticmethod\ndef decorated(): pass\n\ndef standalone_function(a, b):\n    return a\n\nX = 1\n"
+PY = "import json\nfrom pathlib import Path\n\n# where letters lie\nclass Drawer:\n    def put(self, letter):\n        return letter\n\n@cache\ndef label(): pass\n\ndef sort_by_date(letters, newest):\n    return letters\n\nLIMIT = 40\n"
+SOURCES = {
+    "python": PY + "try:\n    pass\nexcept OSError as e:\n    raise\nelse:\n    x = 'é' * 3; y = 2\n",
+    "csharp": "using A;\nusing B.C;\nnamespace Post.Office {\n  // stamps\n  public class Stamp { public int Worth { get; set; }\n    public int Twice(int n) { return n * 2; } }\n  enum Colour { Red, Blue }\n}\n",
+    "typescript": "import { post } from './post';\nimport mail from 'mail';\n\nexport interface Letter { to: string }\nexport class Box {\n  open() { return '}'; }\n  private shut(n: number) { if (n) { return 1; } return 2; }\n}\nfunction send(n: number) { return n; }\nconst weigh = () => { return 1; };\nenum Size { S, L }\n",
+    "tsx": "export function Stamp() {\n  return <i>{'a'}</i>;\n}\n",
+    "css": "@import 'post.css';\n.stamp { color: red; }\n/* edge */\n@media print { .edge { top: 0; } .back { top: 1px; } }\n",
+    "html": "<!DOCTYPE html><html><style>p{}</style><body><p>Stamps<br>and <b>letters</p><!-- x --><script>var a = '</p>';</script></body></html> tail",
+}
 
 
 def test_python_chunks():
     rows = [(k, name, sig) for _, k, name, _, sig, *_ in chunk_text(PY, "python", "f.py")]
-    assert rows == [("imports", "", ""), ("other", "", ""), ("class", "Calc", "class Calc:"), ("function", "decorated", "@staticmethod"), ("function", "standalone_function", "def standalone_function(a, b):"), ("other", "", "")]
-    big = "class Big:\n" + "".join(f"    def m{i}(self):\n        return {i}\n\n" for i in range(50))
+    assert rows == [("imports", "", ""), ("other", "", ""), ("class", "Drawer", "class Drawer:"), ("function", "label", "@cache"), ("function", "sort_by_date", "def sort_by_date(letters, newest):"), ("other", "", "")]
+    big = "class Shelf:\n" + "".join(f"    def row{i}(self):\n        return {i}\n\n" for i in range(60))
     parts = chunk_text(big, "python", "f.py", 500)
-    assert len(parts) > 50 and {p[3] for p in parts} == {"Big"} and parts[1][2] == "m0"
+    assert len(parts) == 61 and {p[3] for p in parts} == {"Shelf"} and [p[2] for p in parts[1:]] == [f"row{i}" for i in range(60)] and parts[7][7:9] == (20, 21)
     assert chunk_text("", "python", "f") == [] and chunk_text("# T", "markdown", "f") == [] and len(chunk_text("def broken(:\n  x\n\ny", "python", "f")) == 2
 
 
 def test_other_languages():
-    cs = "using System;\nusing System.Linq;\nnamespace MyApp.Models {\n  public class User { public string Name { get; set; } }\n  enum Kind { A, B }\n}\n"
-    assert [(r[1], r[2], r[3]) for r in chunk_text(cs, "csharp", "f.cs")] == [("imports", "", ""), ("class", "User", "MyApp.Models"), ("other", "Kind", "MyApp.Models")]
-    ts = "import { a } from './a';\nimport b from 'b';\n\nexport interface Props { name: string }\nexport class Foo {\n  bar() { return '}'; }\n}\nfunction go(x: number) { return x; }\nconst y = () => { return 1; };\n"
-    assert [(r[1], r[2]) for r in chunk_text(ts, "typescript", "f.ts")] == [("imports", ""), ("class", "Props"), ("class", "Foo"), ("function", "go"), ("other", "")]
-    assert chunk_text("export function Greeting() {\n  return <div>{'a'}</div>;\n}\n", "tsx", "f.tsx")[0][2] == "Greeting"
-    css = "@import 'x.css';\n.container { color: red; }\n/* c */\n@media (max-width: 1px) { .a { b: c; } }\n"
-    assert [r[1] for r in chunk_text(css, "css", "f.css")] == ["imports", "other", "other", "other"]
-    html = "<!DOCTYPE html><html><style>p{}</style><body><p>Hello</p><script>var a = '</p>';</script></body></html>"
-    rows = chunk_text(html, "html", "f.html")
-    assert [r[1] for r in rows] == ["imports", "other"] and "Hello" in rows[1][5]
+    kinds = lambda lang, most=1500: [(r[1], r[2], r[3]) for r in chunk_text(SOURCES[lang], lang, "f", most)]
+    assert kinds("csharp") == [("imports", "", ""), ("other", "", "Post.Office"), ("other", "", "Post.Office"), ("class", "Stamp", "Post.Office"), ("other", "Colour", "Post.Office")]
+    assert [k for k in kinds("csharp", 60) if k[0] == "function"] == [("function", "Twice", "Stamp")]
+    assert kinds("typescript") == [("imports", "", ""), ("class", "Letter", ""), ("class", "Box", ""), ("function", "send", ""), ("other", "", ""), ("other", "Size", "")]
+    assert [k for k in kinds("typescript", 70) if k[0] == "function"] == [("function", "open", "Box"), ("function", "shut", "Box"), ("function", "send", "")]
+    assert kinds("tsx") == [("function", "Stamp", "")] and [k[0] for k in kinds("css")] == ["imports", "other", "other", "other"]
+    rows = chunk_text(SOURCES["html"], "html", "f.html")
+    assert [r[1] for r in rows] == ["imports", "other", "other"] and "Stamps" in rows[1][5] and rows[2][5] == "tail"
+
+
+def _bare(parts):
+    return "".join("".join(parts).split())
+
+
+PIECES = ["}", "{", "<p>", "</p>", "\n\n", "é" * 90, "'", "/*", "x = 1\n", "class Q:\n  def f(self):\n    pass\n", "\r\n", '"', "(", "@a\n", "<b", "🙂 "]
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.sampled_from(sorted(SOURCES)), st.lists(st.tuples(st.integers(0, 400), st.sampled_from(PIECES)), max_size=6), st.sampled_from([20, 80, 1500]))
+def test_no_text_is_lost(lang, more, most):
+    text = SOURCES[lang]
+    for at, piece in more:
+        text = text[:at] + piece + text[at:]
+    rows = chunk_text(text, lang, "f", most)
+    assert _bare(r[5] for r in rows) == _bare([text])
+    assert all(len(r[5].encode()) <= most + r[5].count("\n") for r in rows) and [r[9] for r in rows] == list(range(len(rows)))
+
+
+def test_large_leaves_are_cut():
+    ts = "class Long {\n  run() {\n" + "    call(1, 2, 3);\n" * 300 + "  }\n}\n"
+    py = "text = '" + "letters of a long literal " * 130 + "'\n"
+    deep = "<div>" * 4000 + "x" + "</div>" * 4000
+    for text, lang in ((ts, "typescript"), (py, "python"), (deep, "html"), ("x" * 9000, "css")):
+        rows = chunk_text(text, lang, "f")
+        assert len(rows) > 1 and _bare(r[5] for r in rows) == _bare([text]) and all(len(r[5]) <= 1500 for r in rows)
+
+
+def test_pages_keep_their_text(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        assert _bare(c[5] for c in chunk_text(r.html or "", "html", "f")) == _bare([r.html or ""])
 
 
 def test_notes_sink(spark, tmp_path):
