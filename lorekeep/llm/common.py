@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: bounds a Python worker's memory where texts are very long.
-BATCH_ROWS = "256"
+#: Rows and bytes of an Arrow batch: bound a Python worker's memory where texts are very long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 300_000
 
@@ -39,6 +39,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df if it only scans, filters and projects tables, so that each pass over it meets the same rows in the same order; else a table of it."""
+    plans = [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        p = plans.pop()
+        if p.nodeName().split(" ")[0] not in ("Project", "Filter", "LogicalRelation", "Relation", "DataSourceV2ScanRelation", "RelationV2", "LocalRelation", "Range") or not p.deterministic():
+            return cut(df, name)
+        plans += [p.children().apply(i) for i in range(p.children().size())]
+    return df
+
+
 def drop(*frames: DataFrame) -> None:
     """Deletes tables made by cut() that nothing reads any more."""
     for df in frames:
@@ -48,7 +59,8 @@ def drop(*frames: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
 
 
 def crc_mod(key: str, n: int) -> Column:
@@ -56,24 +68,36 @@ def crc_mod(key: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % n
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> list[tuple[str, int]]:
-    """(text, label) of labelled rows outside the held-out fifth: of each label value at most so many, those of the least hash of the id.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
+    """text, lk_y of labelled rows outside the held-out fifth: of each label value at most so many, those of the least hash of the id.
 
-    Null labels and null texts are left out; of several labels of one id the largest counts. Only ids meet in the
-    top-n; texts come by a join with at most sum(most) broadcast ids, so memory is bounded at any size of the corpus.
+    Null labels and null texts are left out; of several labels of one id the largest counts, of several texts the least.
+    Only ids meet in the top-n; texts come by a join with at most sum(most) broadcast ids. The rows lie in one partition,
+    by id, for a task to learn from.
     """
     rows = (
         labels.select(F.col("doc_id").alias("lk_id"), F.col(label).alias("lk_y"))
         .where(F.col("lk_id").isNotNull() & F.col("lk_y").isNotNull() & (crc_mod("lk_id", 5) != 0))
-        .groupBy("lk_id").agg(F.max("lk_y").alias("lk_y"))
+        .groupBy("lk_id").agg(F.max("lk_y").cast("int").alias("lk_y"))
     )
     picked = None
     for value, n in most.items():
         part = rows.where(F.col("lk_y") == value).orderBy(F.xxhash64(F.col("lk_id").cast("string")), "lk_id").limit(n)
         picked = part if picked is None else picked.unionByName(part)
     texts = documents.select(F.col("doc_id").alias("lk_id"), "text").where(F.col("text").isNotNull())
-    found = texts.join(F.broadcast(picked), "lk_id").select("lk_id", "lk_y", "text").collect()
-    return [(r.text, int(r.lk_y)) for r in sorted(found, key=lambda r: (r.lk_id, r.text))]
+    found = texts.join(F.broadcast(picked), "lk_id").groupBy("lk_id").agg(F.max("lk_y").alias("lk_y"), F.min("text").alias("text"))
+    return found.repartition(1).sortWithinPartitions("lk_id").select("text", "lk_y")
+
+
+def fitted(sample: DataFrame, fit) -> bytes:
+    """What fit, given (text, label) of a bounded sample one after the other, returns: it runs in one task, so the driver holds no text."""
+
+    def run(batches):
+        model = fit((t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    rows = sample.mapInArrow(run, "model binary").collect()
+    return bytes(rows[0].model) if rows else fit(iter(()))
 
 
 def counted(batches, split, kind=pa.string()):

@@ -7,13 +7,13 @@ vectors and output weights are learnt by stochastic gradient descent in numpy.
 from __future__ import annotations
 
 import io
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lorekeep.llm.common import crc_mod, labelled_sample, small_batches
+from lorekeep.llm.common import crc_mod, fitted, labelled_sample, small_batches
 
 #: Labelled rows of each label that are learnt from, at most.
 ROWS_EACH = 2500
@@ -58,6 +58,16 @@ class Subwords:
     def __init__(self, weights: np.ndarray, offset: float):
         self.weights, self.offset, self.memo, self.kept = weights.astype(np.float32), float(offset), {}, np.zeros((0, 2))
 
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, weights=self.weights, offset=self.offset)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> Subwords:
+        z = np.load(io.BytesIO(data))
+        return cls(z["weights"], z["offset"])
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         docs = [(t or "").split() for t in texts]
         if len(self.memo) > MEMO:
@@ -80,18 +90,19 @@ class Subwords:
         return 1 / (1 + np.exp(-np.clip(x[:, 0] / np.maximum(x[:, 1], 1) + self.offset, -30, 30)))
 
 
-def fit(sample: list[tuple[str, int]], seed: int = 7) -> Subwords:
+def fit(sample: Iterable[tuple[str, int]], seed: int = 7, same: int = SAME) -> Subwords:
     """Stochastic gradient descent with a step size for each bucket that shrinks with its past gradients."""
-    y = np.array([k for _, k in sample], np.int64)
-    if not 0 < y.sum() < len(y):
-        return Subwords(np.zeros(BUCKETS + 1), np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    docs = []
-    for text, _ in sample:
+    docs, labels = [], []
+    for text, label in sample:
         ws = text.split()
         h = features(ws)[0] if ws else np.zeros(0, np.int64)
-        h = np.concatenate([h, np.full(SAME * sum(a == b for a, b in zip(ws, ws[1:])), BUCKETS)])
+        h = np.concatenate([h, np.full(same * sum(a == b for a, b in zip(ws, ws[1:])), BUCKETS)])
         keys, c = np.unique(h, return_counts=True)
         docs.append((keys, (c / max(len(h), 1)).astype(np.float32)))
+        labels.append(label)
+    y = np.array(labels, np.int64)
+    if not 0 < y.sum() < len(y):
+        return Subwords(np.zeros(BUCKETS + 1), np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     rng = np.random.default_rng(seed)
     E = rng.uniform(-0.5, 0.5, (BUCKETS + 1, DIM)).astype(np.float32) / DIM
     W, b = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
@@ -123,6 +134,13 @@ def fit(sample: list[tuple[str, int]], seed: int = 7) -> Subwords:
     return Subwords(E @ (W[:, 1] - W[:, 0]), b[1] - b[0])
 
 
+def _model(documents: DataFrame, labels: DataFrame, label: str, rows_each: int):
+    """The fitted model as a broadcast of its bytes."""
+    small_batches(documents.sparkSession)
+    sample = labelled_sample(documents, labels, label, {0: rows_each, 1: rows_each})
+    return documents.sparkSession.sparkContext.broadcast(fitted(sample, lambda rows: fit(rows).dump()))
+
+
 def score(documents: DataFrame, labels: DataFrame, label: str = "quality", rows_each: int = ROWS_EACH, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of documents.
 
@@ -130,16 +148,10 @@ def score(documents: DataFrame, labels: DataFrame, label: str = "quality", rows_
     softmax of the offsets alone; a null doc_id counts as empty text in the fold; repeated rows are scored each; extra
     columns are ignored. Without labels every score is 0.5.
     """
-    spark = documents.sparkSession
-    small_batches(spark)
-    model = fit(labelled_sample(documents, labels, label, {0: rows_each, 1: rows_each}))
-    out = io.BytesIO()
-    np.savez(out, weights=model.weights, offset=model.offset)
-    sent = spark.sparkContext.broadcast(out.getvalue())
+    sent = _model(documents, labels, label, rows_each)
 
     def run(batches):
-        z = np.load(io.BytesIO(sent.value))
-        own = Subwords(z["weights"], z["offset"])
+        own = Subwords.load(sent.value)
         for b in batches:
             s = own.scores(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -148,7 +160,13 @@ def score(documents: DataFrame, labels: DataFrame, label: str = "quality", rows_
     return rows.mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 
-def keep_good(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of documents that score() does not reject, with their columns."""
-    bad = score(documents, labels, **how).where("predicted = 0").select(F.col("doc_id").alias("lk_bad")).distinct()
-    return documents.join(bad, F.col("doc_id") == F.col("lk_bad"), "left_anti")
+def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality", rows_each: int = ROWS_EACH, threshold: float = 0.3) -> DataFrame:
+    """The rows of documents that score() does not reject, with their columns; each row is judged by itself, in the pass that scores it."""
+    sent, at = _model(documents, labels, label, rows_each), documents.columns.index("text")
+
+    def run(batches):
+        own = Subwords.load(sent.value)
+        for b in batches:
+            yield b.filter(pa.array(own.scores(b.column(at).to_pylist()) >= threshold, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -8,13 +8,14 @@ score is a logistic function of its log-likelihood ratio a word, in whole and of
 from __future__ import annotations
 
 import io
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import crc_mod, labelled_sample, small_batches
+from lorekeep.llm.common import crc_mod, fitted, labelled_sample, small_batches
 
 #: Labelled rows that are learnt from, at most.
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
@@ -120,14 +121,16 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.append(w[:-1] / sd, w[-1] - (w[:-1] * mean / sd).sum())
 
 
-def fit(sample: list[tuple[str, int]]) -> KneserNey:
+def fit(sample: Iterable[tuple[str, int]]) -> KneserNey:
     """Counts of three quarters of the sample calibrate on the other quarter; the counts of all are then kept.
 
     A sample without both labels gives a model that scores all texts alike.
     """
-    y, vocab, ids = np.array([k for _, k in sample], float), {}, []
-    for t, _ in sample:
+    labels, vocab, ids = [], {}, []
+    for t, k in sample:
         ids.append(np.array([vocab.setdefault(w, len(vocab)) for w in words(t)], np.int32))
+        labels.append(k)
+    y = np.array(labels, float)
     fold, w = np.arange(len(y)) % 4 == 0, np.zeros(3)
     if 0 < y[fold].sum() < fold.sum() and 0 < y[~fold].sum() < (~fold).sum():
         part = KneserNey([d for d, f in zip(ids, fold) if not f], [int(k) for k in y[~fold]], vocab)
@@ -149,7 +152,8 @@ def score(documents: DataFrame, labels: DataFrame, label: str = "toxic", toxic_r
     """
     spark = documents.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(fit(labelled_sample(documents, labels, label, {1: toxic_rows, 0: ordinary_rows})).dump())
+    sample = labelled_sample(documents, labels, label, {1: toxic_rows, 0: ordinary_rows})
+    sent = spark.sparkContext.broadcast(fitted(sample, lambda rows: fit(rows).dump()))
 
     def run(batches):
         model = KneserNey.load(sent.value)
