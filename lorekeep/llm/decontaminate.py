@@ -16,6 +16,8 @@ from lorekeep.llm.common import cut, drop
 WINDOW, LEAST_WINDOWS, LEAST_LITERAL = 8, 3, 4
 #: Benchmark windows are broadcast up to so many; beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 1_000_000
+#: Leaks of which ids and hashes of texts are broadcast; beyond, documents are shuffled.
+BROADCAST_LEAKS = 500_000
 #: Units that may follow a number.
 UNITS = "km|m|cm|mm|kg|g|mg|l|ml|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|miles?|feet|foot|inch(?:es)?|pounds?|lbs?|ounces?|oz|dollars?|euros?|eur|usd|percent|degrees?|meters?|metres?|kilometers?|kilometres?|liters?|litres?|grams?|kilograms?|cents?|people|items?|points?|times"
 SLOTS = ("numslot", "unitslot", "nameslot")
@@ -144,8 +146,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of documents whose text has no leak, with their columns."""
-    bad = cut(leaks(documents, benchmark, **how).select(F.col("doc_id").alias("lk_doc"), "lk_text").distinct(), "leaks")
-    if bad.isEmpty():
+    bad = cut(leaks(documents, benchmark, **how).select("doc_id", "lk_text").distinct(), "leaks")
+    n = bad.count()
+    if not n:
         drop(bad)
         return documents
-    return documents.withColumn("lk_own", F.xxhash64("text")).join(bad, F.col("doc_id").eqNullSafe(F.col("lk_doc")) & (F.col("lk_own") == F.col("lk_text")), "left_anti").select(*documents.columns)
+    bad = F.broadcast(bad) if n <= BROADCAST_LEAKS else bad
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("d.text") == F.col("b.lk_text"))
+    return documents.alias("d").join(bad.alias("b"), same, "left_anti")

@@ -21,7 +21,7 @@ from lorekeep.llm.graph import components
 #: A piece of a large candidate component has about so many sets and shingles.
 PIECE_SETS, PIECE_SHINGLES = 4000, 2_000_000
 #: Candidates are sent to the executors, instead of shuffling the documents, up to so many.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS, BROADCAST_GONE = 2_000_000, 500_000
 #: Frequent shingles, of which a fixed number share one part, and how a task finds them: shingles that it counts at a
 #: time, and occurrences among these from which on it reports one. They only steer how sets are dealt into parts.
 HOT_TERMS, COUNTED, REPORTED = 200_000, 4_000_000, 3
@@ -379,6 +379,20 @@ def _exact(documents: DataFrame, sets: DataFrame, candidates: DataFrame, words:
     return dealt.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(join, "a binary, b binary")
 
 
+def _groups(documents: DataFrame, words: int, percent: int, frequent: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """What groups() returns, and the tables that it reads."""
+    small_batches(documents.sparkSession)
+    hot = _hot_terms(documents, words) if frequent else None
+    sets = _sets_table(documents, words, percent, hot)
+    roots = components(_candidates(sets))
+    links = components(_exact(documents, sets, roots, words, percent))
+    classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"))
+    joined = classes.join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = cut(joined.join(joined.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id"), "classes")
+    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "node").join(least, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out, [sets, least]
+
+
 def groups(documents: DataFrame, words: int = 5, percent: int = 80, frequent: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of documents.
 
@@ -388,18 +402,16 @@ def groups(documents: DataFrame, words: int = 5, percent: int = 80, frequent: bo
     Rows with a null id get the least id of their group, if any. Repeated rows are kept; extra columns are ignored.
     frequent: whether frequent shingles get a part of their own, for a pass over the texts; the result is the same.
     """
-    small_batches(documents.sparkSession)
-    hot = _hot_terms(documents, words) if frequent else None
-    sets = _sets_table(documents, words, percent, hot)
-    roots = components(_candidates(sets))
-    links = components(_exact(documents, sets, roots, words, percent))
-    classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"))
-    joined = classes.join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = cut(joined.join(joined.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id"), "classes")
-    return sets.select("doc_id", F.col("n").alias("n_shingles"), "node").join(least, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _groups(documents, words, percent, frequent)[0]
 
 
 def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of documents of which doc_id is the least of its group, with their columns; texts without words stay, as do rows with null ids."""
-    gone = groups(documents, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("lk_gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("lk_gone"), "left_anti")
+    """The rows of documents of which doc_id is the least of its group, with their columns; texts without words stay, as do rows with null ids.
+
+    The ids that go are broadcast up to BROADCAST_GONE; beyond, documents are shuffled by id.
+    """
+    found, tables = _groups(documents, words, percent, True)
+    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    drop(*tables)
+    hint = F.broadcast if gone.count() <= BROADCAST_GONE else lambda df: df
+    return documents.alias("d").join(hint(gone).alias("g"), F.col("d.doc_id") == F.col("g.doc_id"), "left_anti")

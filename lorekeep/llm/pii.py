@@ -28,8 +28,8 @@ BASE = {
 #: Generators of the further kinds.
 _TOKEN = "[A-Za-z0-9_+/-]"
 MORE = {
-    "secret": rf"(?<!{_TOKEN})(?=[^\s0-9]{{0,200}}+[0-9]){_TOKEN}{{12,512}}+={{0,2}}(?!{_TOKEN})",
-    "contact": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63}+){1,4}+",
+    "secret": rf"(?<!{_TOKEN})(?=[A-Za-z_+/-]*+[0-9]){_TOKEN}{{12,}}+={{0,2}}",
+    "contact": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?(?i:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?i:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++)++",
     "number": r"(?<![A-Za-z0-9+.-])\(?[0-9]{2,4}\)?(?:[\x20.-]{1,2}[0-9]{2,4}){2,4}+(?![A-Za-z0-9-])",
 }
 KINDS = [*BASE, *MORE]
@@ -146,6 +146,15 @@ def _column(tree, names: list[str]) -> Column:
 class Model:
     """Boosted trees, slope and offset of the calibration, and each further kind's threshold of probability."""
 
+    _made: Model | None = None
+
+    @classmethod
+    def made(cls, spark: SparkSession) -> Model:
+        """The model of the standard examples, which are the same each time: it is fitted once."""
+        if cls._made is None:
+            cls._made = cls(spark)
+        return cls._made
+
     def __init__(self, spark: SparkSession, examples: int = EXAMPLES, seed: int = 5):
         rows = _made_up(examples, seed)
         data = json.dumps([{"kind": k, "m": m, "before": b, "after": a, "y": y} for k, m, b, a, y in rows])
@@ -190,12 +199,15 @@ def _found(text: Column, kind: str, pattern: str, gate: Column) -> Column:
     return F.when(gate, gaps).alias(f"g_{kind}"), F.when(gate, each)
 
 
-def candidates(documents: DataFrame, keys: tuple[Column, ...] = ()) -> DataFrame:
-    """row, doc_id, keys and a candidate (kind, start, stop, m, before, after) of each generator, or one row without; as a table."""
+def candidates(documents: DataFrame, model: Model, keys: tuple[Column, ...] = ()) -> DataFrame:
+    """row, doc_id, keys and, in each generator's order, what it proposes: kind, i, gap, chars and p, or one row without; as a table.
+
+    p is 2 for base kinds that pass their check and the probability, from the kind's threshold on, for others; else null.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", *keys, text.alias("text"))
     base = base.withColumn("has_digits", F.col("text").rlike("[0-9]"))
-    gates = {"email": F.col("text").contains("@"), "contact": F.col("text").contains("dot"), "phone": F.col("has_digits") & F.col("text").contains("+")}
+    gates = {"email": F.col("text").contains("@"), "contact": F.col("text").rlike("(?i)dot[)\\] ]"), "phone": F.col("has_digits") & F.col("text").contains("+")}
     parts = {k: _found(F.col("text"), k, p, gates.get(k, F.col("has_digits"))) for k, p in (BASE | MORE).items()}
     base = base.select("*", *(g for g, _ in parts.values()))
     none = F.array().cast("array<struct<kind:string,i:int,m:string,gap:int,before:string,after:string>>")
@@ -203,45 +215,46 @@ def candidates(documents: DataFrame, keys: tuple[Column, ...] = ()) -> DataFrame
     # a number of one digit, and numbers that can't be cards, are no candidates but count as length before the next
     names = [c for c in base.columns if c not in ("text", "has_digits") and not c.startswith("g_")]
     rows = base.select(*names, F.explode_outer(every).alias("c")).select(*names, "c.*")
-    return cut(rows, "candidates")
-
-
-def _placed(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("row", "kind").orderBy("i")
-    stop = F.sum(F.col("gap") + F.length("m")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.where("kind is not null").withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("m"))
+    # judged before any exchange: the trees are a large expression, which plans of several stages would make again for each
+    cols = _features(F.col("kind"), F.col("m"), F.col("before"), F.col("after"))
+    rows = rows.select(*names, F.col("kind").alias("name"), "i", "gap", "m", *(c.alias(n) for n, c in cols.items()))
+    limit = F.create_map(*(x for k, t in model.thresholds.items() for x in (F.lit(k), F.lit(t))))
+    rows = rows.select(*names, F.col("name").alias("kind"), "i", "gap", F.length("m").alias("chars"), F.when(F.col("name").isin(*BASE), F.when(_valid(F.col("name"), F.col("m")), 2.0)).otherwise(model.probability()).alias("p"))
+    return cut(rows.withColumn("p", F.when(F.col("kind").isin(*BASE) | (F.col("p") >= limit[F.col("kind")]), F.col("p"))), "candidates")
 
 
-def _valid() -> Column:
+def _valid(kind: Column, m: Column) -> Column:
     """Whether a base candidate passes its kind's check."""
-    digits = F.regexp_replace("m", "[^0-9]", "")
+    digits = F.regexp_replace(m, "[^0-9]", "")
     n = F.length(digits)
-    parts = F.transform(F.split("m", r"\."), lambda p: F.regexp_replace(p, r"\A0+(?=[0-9])", ""))
+    parts = F.transform(F.split(m, r"\."), lambda p: F.regexp_replace(p, r"\A0+(?=[0-9])", ""))
     ip = F.forall(parts, lambda p: (F.length(p) <= 3) & (F.coalesce(F.expr("cast(null as int)"), F.try_to_number(p, F.lit("999"))) <= 255))
     doubled = lambda d: F.when(d > 4, d * 2 - 9).otherwise(d * 2)
     luhn = F.aggregate(F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 1, doubled(d.cast("int"))).otherwise(d.cast("int"))), F.lit(0), lambda a, d: a + d)
     card = F.when((n >= 14) & (n <= 19), luhn % 10 == 0).otherwise(False)
-    return F.when(F.col("kind") == "email", True).when(F.col("kind") == "ip", ip).when(F.col("kind") == "card", card).when(F.col("kind") == "phone", (n >= 10) & (n <= 15)).otherwise(False)
+    return F.when(kind == "email", True).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", (n >= 10) & (n <= 15)).otherwise(False)
 
 
-def spans(rows: DataFrame, model: Model) -> DataFrame:
+def spans(rows: DataFrame) -> DataFrame:
     """row, kind, start, stop, base of all chosen spans of a table of candidates(): base ones that pass, and of the further
-    kinds those over their threshold that overlap no base span; of overlapping ones the likeliest (ties: the first, then the longest)."""
-    placed = _placed(rows)
-    base = placed.where(F.col("kind").isin(*BASE)).where(_valid()).select("row", "kind", "start", "stop", F.lit(2.0).alias("p"))
-    cols = _features(F.col("kind"), F.col("m"), F.col("before"), F.col("after"))
-    scored = placed.where(F.col("kind").isin(*MORE)).select("row", F.col("kind").alias("name"), "start", "stop", *(c.alias(n) for n, c in cols.items()))
-    limit = F.create_map(*(x for k, t in model.thresholds.items() for x in (F.lit(k), F.lit(t))))
-    more = scored.select("row", F.col("name").alias("kind"), "start", "stop", model.probability().alias("p")).where(F.col("p") >= limit[F.col("kind")])
-    both = base.unionByName(more)
+    kinds, from the likeliest on (ties: the first, then the longest), those that overlap no chosen span."""
+    order = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.where("kind is not null").select("row", "kind", "chars", "p", F.sum(F.col("gap") + F.col("chars")).over(order).alias("stop"))
+    both = placed.where("p is not null").select("row", "kind", (F.col("stop") - F.col("chars")).alias("start"), "stop", "p")
     # islands of overlapping spans: one begins where no span before reaches
     order = Window.partitionBy("row").orderBy("start", "stop", "kind")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     isle = F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    own = Window.partitionBy("row", "isle")
-    best = F.row_number().over(own.orderBy(F.desc("p"), "start", F.desc("stop"), "kind"))
-    ranked = both.withColumn("reach", reach).withColumn("isle", isle).withColumn("best", best)
-    return ranked.where((F.col("p") == 2.0) | (F.col("best") == 1)).select("row", "kind", "start", "stop", (F.col("p") == 2.0).alias("base"))
+    isles = both.withColumn("reach", reach).withColumn("isle", isle)
+    one = F.struct((-F.col("p")).alias("less"), "start", (-F.col("stop")).alias("last"), "kind")
+    isles = isles.groupBy("row", "isle").agg(F.array_sort(F.collect_list(one)).alias("own"))
+
+    def step(taken, s):
+        clash = F.exists(taken, lambda t: (t["start"] < -s["last"]) & (s["start"] < -t["last"]))
+        return F.when((s["less"] == -2.0) | ~clash, F.concat(taken, F.array(s))).otherwise(taken)
+
+    chosen = F.when(F.size("own") == 1, F.col("own")).otherwise(F.aggregate("own", F.slice("own", 1, 0), step))
+    return isles.select("row", F.explode(chosen).alias("s")).select("row", "s.kind", "s.start", (-F.col("s.last")).alias("stop"), (F.col("s.less") == -2.0).alias("base"))
 
 
 def _joined(own: Column) -> Column:
@@ -256,10 +269,10 @@ def find(documents: DataFrame) -> DataFrame:
     columns are ignored.
     """
     spark = documents.sparkSession
-    rows = candidates(documents)
+    rows = candidates(documents, Model.made(spark))
     rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
     one = F.struct("start", rank.alias("rank"), "kind", "stop")
-    chosen = spans(rows, Model(spark)).groupBy("row").agg(F.collect_list(F.when(F.col("base"), one)).alias("base"), F.collect_list(one).alias("every"), *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in BASE))
+    chosen = spans(rows).groupBy("row").agg(F.collect_list(F.when(F.col("base"), one)).alias("base"), F.collect_list(one).alias("every"), *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in BASE))
     texts = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"))
     out = texts.join(chosen, "row", "left")
     listed = lambda c: F.coalesce(_joined(F.col(c)), F.lit(""))
@@ -270,12 +283,12 @@ def redact(documents: DataFrame) -> DataFrame:
     """The rows of documents with each chosen span replaced by its kind in brackets; overlapping spans are replaced together, under the first's kind. n_chars, if there is one, counts the new text."""
     spark = documents.sparkSession
     key = (F.xxhash64("text").alias("lk_a"), F.xxhash64(F.lit(1), F.reverse("text")).alias("lk_b"))
-    rows = candidates(documents.where(F.col("text").isNotNull()), key)
-    chosen = spans(rows, Model(spark)).join(rows.groupBy("row").agg(F.first("lk_a").alias("lk_a"), F.first("lk_b").alias("lk_b")), "row")
-    marks = chosen.groupBy("row").agg(F.first("lk_a").alias("lk_a"), F.first("lk_b").alias("lk_b"), F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias("lk_marks"))
-    marks = cut(marks.groupBy("lk_a", "lk_b").agg(F.first("lk_marks").alias("lk_marks")), "marks")
+    rows = candidates(documents.where(F.col("text").isNotNull()), Model.made(spark), key)
+    chosen = spans(rows).join(rows.groupBy("row").agg(F.first("lk_a").alias("lk_a"), F.first("lk_b").alias("lk_b")), "row")
+    marks = chosen.groupBy("row").agg(F.first("lk_a").alias("lk_a"), F.first("lk_b").alias("lk_b"), F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias("marks"))
+    marks = cut(marks.groupBy("lk_a", "lk_b").agg(F.first("marks").alias("marks")), "marks")
     drop(rows)
-    text = F.col("text")
+    text, found = F.col("d.text"), F.col("m.marks")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("done"))
 
     def step(acc, s):
@@ -283,8 +296,9 @@ def redact(documents: DataFrame) -> DataFrame:
         within = F.struct(F.greatest(acc["at"], s["stop"].cast("long")).alias("at"), acc["done"].alias("done"))
         return F.when(s["start"] < acc["at"], within).otherwise(F.struct(s["stop"].cast("long").alias("at"), ahead.alias("done")))
 
-    new = F.aggregate("lk_marks", start, step, lambda acc: F.concat(acc["done"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    out = documents.withColumns({"lk_a": key[0], "lk_b": key[1]}).join(marks, ["lk_a", "lk_b"], "left").withColumn("text", F.when(F.col("lk_marks").isNull(), text).otherwise(new))
+    new = F.aggregate(found, start, step, lambda acc: F.concat(acc["done"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    changed = {"text": F.when(found.isNull(), text).otherwise(new)}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("lk_marks").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(documents.dtypes)["n_chars"]))
-    return out.select(*documents.columns)
+        changed["n_chars"] = F.when(found.isNull(), F.col("d.n_chars")).otherwise(F.length(changed["text"])).cast(dict(documents.dtypes)["n_chars"])
+    same = (F.xxhash64("d.text") == F.col("m.lk_a")) & (F.xxhash64(F.lit(1), F.reverse("d.text")) == F.col("m.lk_b"))
+    return documents.alias("d").join(marks.alias("m"), same, "left").select(*(changed.get(c, F.col(f"d.`{c}`")).alias(c) for c in documents.columns))
