@@ -5,10 +5,14 @@ share one output and are told apart by their counts. Output offsets begin as the
 that an untrained model is the smoothed unigram model. Training goes once over all training documents, in rounds, each
 dealt into shards that grow in number with the corpus: each task runs truncated backpropagation over its shard, and
 the shards' weights are averaged in a tree. Scoring carries the state through whole documents, window by window.
+
+Texts are read twice, for the counts and for a table of each document as ids; training and scoring read that table.
+Rounds, shards and the order within one follow from ids and texts alone, not from how the table lies in partitions.
 """
 
 from __future__ import annotations
 
+import heapq
 import io
 
 import numpy as np
@@ -19,24 +23,33 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import counted, crc_mod, cut, drop, hot_bound, small_batches
 
-#: Words of the softmax, its classes' size, words whose counts are broadcast: fixed bounds at any size of the corpus.
-KEPT, CLASS_SIZE, HOT_WORDS = 8_192, 90, 1 << 18
-HIDDEN, WINDOW, LANES = 16, 16, 128
+#: Words of the softmax, a class's words at most, words whose counts are broadcast: fixed bounds at any size of the corpus.
+KEPT, CLASS_SIZE, HOT_WORDS = 8_192, 512, 1 << 18
+HIDDEN, WINDOW, LANES = 16, 16, 1024
 #: Rounds that the training documents are dealt over, so that each takes part in one.
 SHARE = 6
 #: Tokens of a shard, about, and shards whose weights a task averages.
-SHARD_TOKENS, FAN_IN = 400_000, 32
-RATE, DECAY, CLIP = 0.03, 0.99, 1.0
+SHARD_TOKENS, FAN_IN = 1_200_000, 32
+RATE, DECAY, CLIP = 0.03, 0.95, 1.0
 #: Scoring: tokens in memory, documents side by side, steps of a window.
-BUFFER, SCORE_LANES, SCORE_WINDOW = 1_500_000, 512, 64
+BUFFER, SCORE_LANES, SCORE_WINDOW = 4_000_000, 512, 32
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def classes(counts: np.ndarray) -> np.ndarray:
+    """Edges of classes over counts in falling order. A word of probability p lies in a class of about 1 / sqrt(p) words,
+    which makes the terms of both softmaxes together fewest on average."""
+    edges, p = [0], counts / counts.sum()
+    while edges[-1] < len(p):
+        edges.append(min(len(p), edges[-1] + int(min(CLASS_SIZE, max(1, round(p[edges[-1]] ** -0.5))))))
+    return np.array(edges)
+
+
 class Gru:
-    """Ids: 0 the end, 1 any rare word, then the kept words by falling count. Weights by name in p."""
+    """Ids: 0 the end, 1 any rare word, then the kept words by falling count. Weights by name in p; those of outputs, O and o, lie by place."""
 
     NAMES = ("E", "Wx", "U", "b", "C", "c", "O", "o")
 
@@ -48,15 +61,17 @@ class Gru:
         self.p = {"E": n(k, h) * 2, "Wx": n(h, 3 * h) * 2, "U": n(h, 3 * h) * 2, "b": np.zeros(3 * h, np.float32), "C": np.zeros((h, self.n_classes), np.float32), "O": np.zeros((k, h), np.float32)}
         total = np.bincount(self.cls, weights=counts, minlength=self.n_classes)
         self.p["c"] = np.log(total / total.sum()).astype(np.float32)
-        self.p["o"] = np.log(counts / total[self.cls]).astype(np.float32)
+        self.p["o"] = np.empty(k, np.float32)
+        self.p["o"][self.place] = np.log(counts / total[self.cls])
 
     def order_classes(self, counts: np.ndarray) -> None:
-        """Classes hold words of like counts; ids get places such that a class is a range of places."""
+        """Ids get places by falling count, such that a class is a range of places."""
         by = np.argsort(-counts, kind="stable")
-        self.place = np.empty(len(counts), np.int64)
+        self.place = np.empty(len(counts), np.int32)
         self.place[by] = np.arange(len(counts))
-        self.cls = self.place // CLASS_SIZE
-        self.n_classes = int(self.cls.max()) + 1
+        self.edges = classes(counts[by])
+        self.cls = (np.searchsorted(self.edges, self.place, "right") - 1).astype(np.uint16)
+        self.n_classes = len(self.edges) - 1
         self.counts = counts
 
     def dump(self) -> bytes:
@@ -80,164 +95,168 @@ class Gru:
             self.p[k] = x[at : at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
             at += self.p[k].size
 
-    def outputs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None, weight: np.ndarray | None = None):
+    def safe(self) -> bool:
+        """Whether no output before the exponential can overflow; states lie within -1 and 1."""
+        p = self.p
+        return max(float((abs(p["C"]).sum(0) + abs(p["c"])).max()), float((abs(p["O"]).sum(1) + abs(p["o"])).max())) < 60
+
+    def outputs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None, weight: np.ndarray | None = None, safe: bool = False):
         """Natural log-probabilities of ids y after states h; with grads, their gradients are added and that of h returned."""
-        p, cls, place = self.p, self.cls[y], self.place[y]
-        z = h @ p["C"] + p["c"]
-        if self.reach_C > 60:
+        p, cls = self.p, self.cls[y]
+        order = np.argsort(cls, kind="stable")  # by class, so that each is a slice
+        h, cls, place = h[order], cls[order], self.place[y][order]
+        z = h @ p["C"]
+        z += p["c"]
+        if not safe:
             z -= z.max(1, keepdims=True)
         rows = np.arange(len(y))
-        logp = z[rows, cls].copy()
+        logp = z[rows, cls]
         np.exp(z, out=z)
         total = z.sum(1)
-        logp -= np.log(total)
         dh = None
         if grads is not None:
-            z /= total[:, None]
-            z[rows, cls] -= 1
-            z *= weight[:, None]
+            weight = weight[order]
+            z *= (weight / total)[:, None]
+            z[rows, cls] -= weight
             grads["C"] += h.T @ z
             grads["c"] += z.sum(0)
             dh = z @ p["C"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
-        for k in np.unique(cls):
-            at = order[ends[k] : ends[k + 1]]
-            ids = slice(k * CLASS_SIZE, min((k + 1) * CLASS_SIZE, len(self.place)))
-            own, off = self.O_sorted[ids], self.o_sorted[ids]
-            z = h[at] @ own.T + off
-            if self.reach_O > 60 or grads is not None:
+        ends = np.searchsorted(cls, np.arange(self.n_classes + 1))
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            at, ids = slice(ends[k], ends[k + 1]), slice(self.edges[k], self.edges[k + 1])
+            if ids.stop - ids.start == 1:
+                continue  # the class is the word
+            own, hk = p["O"][ids], h[at]
+            z = hk @ own.T
+            z += p["o"][ids]
+            if not safe:
                 z -= z.max(1, keepdims=True)
-            r, c = np.arange(len(at)), place[at] - k * CLASS_SIZE
-            lp = z[r, c].copy()
+            r, c = rows[: len(hk)], place[at] - ids.start
+            logp[at] += z[r, c]
             np.exp(z, out=z)
-            total = z.sum(1)
-            logp[at] += lp - np.log(total)
+            sums = z.sum(1)
+            total[at] *= sums
             if grads is not None:
-                z /= total[:, None]
-                z[r, c] -= 1
-                z *= weight[at][:, None]
-                grads["O"][ids] += z.T @ h[at]
+                w = weight[at]
+                z *= (w / sums)[:, None]
+                z[r, c] -= w
+                grads["O"][ids] += z.T @ hk
                 grads["o"][ids] += z.sum(0)
                 dh[at] += z @ own
-        return logp, dh
-
-    def sort_outputs(self) -> None:
-        """Output weights by place."""
-        by = np.argsort(self.place)
-        self.O_sorted, self.o_sorted = np.ascontiguousarray(self.p["O"][by]), self.p["o"][by]
-        # states lie within -1 and 1, so these bound the outputs before the exponential
-        self.reach_C = float((abs(self.p["C"]).sum(0) + abs(self.p["c"])).max())
-        self.reach_O = float((abs(self.O_sorted).sum(1) + abs(self.o_sorted)).max())
-
-    def unsort_outputs(self) -> None:
-        self.p["O"], self.p["o"] = np.ascontiguousarray(self.O_sorted[self.place]), self.o_sorted[self.place]
-
-    def train(self, docs: list[np.ndarray]) -> None:
-        """One pass of truncated backpropagation; docs: ids, each ending with 0. The state is carried from window to window and cleared at a document's end."""
-        if not docs:
+        logp -= np.log(total)
+        out = np.empty_like(logp)
+        out[order] = logp
+        if dh is not None:
+            back = np.empty_like(dh)
+            back[order] = dh
+            dh = back
+        return out, dh
+
+    def train(self, flat: np.ndarray, rate: float = RATE) -> None:
+        """One pass of truncated backpropagation over ids of documents, each ending with 0. The state is carried from window to window and cleared at a document's end."""
+        if not len(flat):
             return
-        self.sort_outputs()
-        self.reach_C = np.inf
         p, H = self.p, self.p["U"].shape[0]
-        flat = np.concatenate(docs)
         lanes = max(1, min(LANES, len(flat) // (4 * WINDOW)))
-        steps = len(flat) // lanes
-        y_all = flat[: steps * lanes].reshape(lanes, steps).T
-        x_all = np.concatenate([np.zeros((1, lanes), np.int64), y_all[:-1]])
-        past = {k: None for k in self.NAMES}
+        steps = -(-len(flat) // lanes)
+        y_all, real = np.zeros(steps * lanes, np.int32), np.zeros(steps * lanes, np.float32)
+        y_all[: len(flat)], real[: len(flat)] = flat, 1  # what fills up the last lane has no weight
+        y_all, real = y_all.reshape(lanes, steps).T, real.reshape(lanes, steps).T
+        x_all = np.concatenate([np.zeros((1, lanes), np.int32), y_all[:-1]])
+        x_all[0, 1:] = y_all[-1, :-1]  # a lane goes on where the one before ends
+        past = {k: np.full(p[k].shape, 1e-6, np.float32) for k in self.NAMES}
         h0 = np.zeros((lanes, H), np.float32)
-        sig = lambda a: 0.5 * (np.tanh(0.5 * a) + 1)
         windows = -(-steps // WINDOW)
         for w in range(windows):
-            x, y = x_all[w * WINDOW : (w + 1) * WINDOW], y_all[w * WINDOW : (w + 1) * WINDOW]
+            at = slice(w * WINDOW, (w + 1) * WINDOW)
+            x, y, weight = x_all[at], y_all[at], real[at]
             T = len(x)
-            xs = p["E"][x]
-            proj = xs @ p["Wx"] + p["b"]
-            hs, zs, rs, ns, us, keep = np.empty((T + 1, lanes, H), np.float32), [], [], [], [], (x != 0).astype(np.float32)[..., None]
-            hs[0] = h0
-            prev = []
+            xs = np.take(p["E"], x, 0)
+            proj = xs.reshape(-1, H) @ p["Wx"]
+            proj += p["b"]
+            proj = proj.reshape(T, lanes, 3 * H)
+            keep = (x != 0).astype(np.float32)[..., None]
+            prev, zr, n, un, hs = (np.empty((T, lanes, k), np.float32) for k in (H, 2 * H, H, H, H))
+            h = h0
             for t in range(T):
-                hp = hs[t] * keep[t]
-                prev.append(hp)
-                u = hp @ p["U"]
-                zr = sig(proj[t][:, : 2 * H] + u[:, : 2 * H])
-                z, r = zr[:, :H], zr[:, H:]
-                n = np.tanh(proj[t][:, 2 * H :] + r * u[:, 2 * H :])
-                hs[t + 1] = z * hp + (1 - z) * n
-                zs.append(z), rs.append(r), ns.append(n), us.append(u[:, 2 * H :])
-            h0 = hs[T]
-            g = {"E": None, "Wx": 0, "U": np.zeros_like(p["U"]), "b": 0, "C": np.zeros_like(p["C"]), "c": np.zeros_like(p["c"]), "O": np.zeros_like(self.O_sorted), "o": np.zeros_like(self.o_sorted)}
-            weight = np.full(T * lanes, 1 / (T * lanes), np.float32)
-            _, dh_out = self.outputs(hs[1:].reshape(-1, H), y.ravel(), g, weight)
+                np.multiply(h, keep[t], out=prev[t])
+                u = prev[t] @ p["U"]
+                g = u[:, : 2 * H]
+                g += proj[t][:, : 2 * H]
+                g *= 0.5
+                np.tanh(g, out=g)
+                g += 1
+                np.multiply(g, 0.5, out=zr[t])
+                un[t] = u[:, 2 * H :]
+                a = zr[t][:, H:] * un[t]
+                a += proj[t][:, 2 * H :]
+                np.tanh(a, out=n[t])
+                np.subtract(prev[t], n[t], out=a)
+                a *= zr[t][:, :H]
+                h = np.add(a, n[t], out=hs[t])
+            h0 = hs[-1].copy()
+            g = {k: np.zeros_like(p[k]) for k in ("C", "c", "O", "o")}
+            share = (weight / max(weight.sum(), 1)).ravel()
+            _, dh_out = self.outputs(hs.reshape(-1, H), y.ravel(), g, share)
             dh_out = dh_out.reshape(T, lanes, H)
-            dproj, dh = np.empty((T, lanes, 3 * H), np.float32), np.zeros((lanes, H), np.float32)
+            z, r = zr[..., :H], zr[..., H:]
+            by_z, by_n = (prev - n) * z * (1 - z), (1 - z) * (1 - n * n)
+            by_r = un * r * (1 - r)
+            d, du = np.empty((T, lanes, 3 * H), np.float32), np.empty((T, lanes, 3 * H), np.float32)
+            dh, back = np.zeros((lanes, H), np.float32), np.ascontiguousarray(p["U"].T)
             for t in reversed(range(T)):
-                dh = dh + dh_out[t]
-                z, r, n = zs[t], rs[t], ns[t]
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (prev[t] - n) * z * (1 - z)
-                dr = dn * us[t] * r * (1 - r)
-                du = np.concatenate([dz, dr, dn * r], 1)
-                dproj[t] = np.concatenate([dz, dr, dn], 1)
-                g["U"] += prev[t].T @ du
-                dh = (dh * z + du @ p["U"].T) * keep[t]
-            d = dproj.reshape(-1, 3 * H)
-            g["Wx"], g["b"] = xs.reshape(-1, H).T @ d, d.sum(0)
-            dx, (ids, inv) = d @ p["Wx"].T, np.unique(x.ravel(), return_inverse=True)
-            gE = np.stack([np.bincount(inv, dx[:, i], len(ids)) for i in range(H)], 1).astype(np.float32)
-            norm = np.sqrt(sum(float((v * v).sum()) for k, v in g.items() if k != "E") + float((gE * gE).sum()))
-            scale, rate = min(1.0, CLIP / (norm + 1e-9)), RATE * (1 - 0.9 * w / windows)
+                dh += dh_out[t]
+                dn = np.multiply(dh, by_n[t], out=d[t][:, 2 * H :])
+                np.multiply(dh, by_z[t], out=d[t][:, :H])
+                np.multiply(dn, by_r[t], out=d[t][:, H : 2 * H])
+                du[t][:, : 2 * H] = d[t][:, : 2 * H]
+                np.multiply(dn, r[t], out=du[t][:, 2 * H :])
+                dh *= z[t]
+                dh += du[t] @ back
+                dh *= keep[t]
+            d, du = d.reshape(-1, 3 * H), du.reshape(-1, 3 * H)
+            g["U"], g["Wx"], g["b"] = prev.reshape(-1, H).T @ du, xs.reshape(-1, H).T @ d, d.sum(0)
+            order = np.argsort(x.ravel().astype(np.uint16) if len(self.counts) <= 1 << 16 else x.ravel(), kind="stable")
+            own = x.ravel()[order]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            ids, gE = own[first], np.add.reduceat((d @ p["Wx"].T)[order], first, axis=0)
+            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()) + float((gE * gE).sum()))
+            scale, step = min(1.0, CLIP / (norm + 1e-9)), rate * (1 - 0.9 * w / windows)
             for k in self.NAMES:
-                grad = (gE if k == "E" else g[k]) * scale
-                value = self.O_sorted if k == "O" else self.o_sorted if k == "o" else p[k]
-                if past[k] is None:
-                    past[k] = np.full(value.shape, 1e-6, np.float32)
-                at = ids if k == "E" else slice(None)
-                past[k][at] = DECAY * past[k][at] + (1 - DECAY) * grad * grad
-                value[at] -= rate * grad / (np.sqrt(past[k][at]) + 1e-4)
-        self.unsort_outputs()
+                grad = (gE if k == "E" else g[k]) * np.float32(scale)
+                rows = ids if k == "E" else slice(None)
+                past[k][rows] = DECAY * past[k][rows] + (1 - DECAY) * grad * grad
+                p[k][rows] -= step * grad / (np.sqrt(past[k][rows]) + 1e-4)
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Natural log-probability of each document of ids that ends with 0, over its whole length."""
-        self.sort_outputs()
-        p, H = self.p, self.p["U"].shape[0]
+        """Natural log-probability of each document of ids that ends with 0, over its whole length. Memory is that of all ids and of a window."""
         if not docs:
             return np.zeros(0)
+        p, H, safe = self.p, self.p["U"].shape[0], self.safe()
         table = (p["E"] @ p["Wx"] + p["b"]).astype(np.float32)
         size = np.array([len(d) for d in docs])
         # documents go to lanes, longest first, each to the shortest lane
-        n_lanes = min(SCORE_LANES, len(docs))
-        lanes, filled = [[] for _ in range(n_lanes)], np.zeros(n_lanes, np.int64)
-        goal = max(int(size.max()), -(-int(size.sum()) // n_lanes))
-        lane = 0
-        for i in np.argsort(-size, kind="stable"):
-            tries = 0
-            while filled[lane] + size[i] > goal and tries < n_lanes:
-                lane, tries = (lane + 1) % n_lanes, tries + 1
-            if tries == n_lanes:
-                lane = int(filled.argmin())
-            lanes[lane].append(i)
-            filled[lane] += size[i]
-            lane = (lane + 1) % n_lanes
-        order = np.argsort(-filled, kind="stable")
-        steps = int(filled.max())
-        y, owner = np.zeros((steps, n_lanes), np.int32), np.zeros((steps, n_lanes), np.int32)
-        for c, k in enumerate(order):
-            if lanes[k]:
-                y[: filled[k], c] = np.concatenate([docs[i] for i in lanes[k]])
-                owner[: filled[k], c] = np.repeat(lanes[k], size[lanes[k]])
-        active = (np.sort(filled)[::-1][None, :] > np.arange(steps)[:, None]).sum(1) if steps < 100_000 else np.array([(filled > t).sum() for t in range(steps)])
-        total, h = np.zeros(len(docs)), np.zeros((n_lanes, H), np.float32)
-        before, U = np.zeros(n_lanes, np.int32), p["U"]
+        heap = [(0, k) for k in range(min(SCORE_LANES, len(docs)))]
+        lanes: list[list[int]] = [[] for _ in heap]
+        for i in np.argsort(-size, kind="stable").tolist():
+            n, k = heap[0]
+            lanes[k].append(i)
+            heapq.heapreplace(heap, (n + int(size[i]), k))
+        lanes.sort(key=lambda own: -int(size[own].sum()))
+        order = np.concatenate(lanes)
+        flat = np.concatenate([docs[i] for i in order])
+        filled = np.array([int(size[own].sum()) for own in lanes])
+        begin, steps = np.cumsum(filled) - filled, int(filled[0])
+        active = len(lanes) - np.searchsorted(filled[::-1], np.arange(steps), "right")
+        logp, h = np.empty(len(flat), np.float32), np.zeros((len(lanes), H), np.float32)
+        before, U = np.zeros(len(lanes), np.int32), p["U"]
         for w in range(0, steps, SCORE_WINDOW):
-            states, ys, owners = [], [], []
+            states, places = [], []
             for t in range(w, min(w + SCORE_WINDOW, steps)):
                 a = int(active[t])
-                x = before[:a]
-                hp = h[:a]
+                x, hp, at = before[:a], h[:a], begin[:a] + t
                 hp[x == 0] = 0
-                u, e = hp @ U, table[x]
+                u, e = hp @ U, np.take(table, x, 0)
                 zr = e[:, : 2 * H]
                 zr += u[:, : 2 * H]
                 zr *= 0.5
@@ -248,50 +267,52 @@ class Gru:
                 n *= zr[:, H:]
                 n += e[:, 2 * H :]
                 np.tanh(n, out=n)
-                z = zr[:, :H]
-                hp = n + z * (hp - n)
-                h[:a] = hp
-                states.append(hp), ys.append(y[t, :a]), owners.append(owner[t, :a])
-                before[:a] = y[t, :a]
-            logp, _ = self.outputs(np.concatenate(states), np.concatenate(ys))
-            total += np.bincount(np.concatenate(owners), logp, len(docs))
+                hp -= n
+                hp *= zr[:, :H]
+                hp += n
+                states.append(hp.copy()), places.append(at)
+                before[:a] = flat[at]
+            places = np.concatenate(places)
+            logp[places] = self.outputs(np.concatenate(states), flat[places], safe=safe)[0]
+        own = size[order]
+        total = np.empty(len(docs))
+        total[order] = np.add.reduceat(logp.astype(np.float64), np.cumsum(own) - own)
         return total
 
 
-def _train(documents: DataFrame, model: Gru, known: list[bytes], n_tokens: int, share: int, rounds: int) -> None:
-    """Rounds of training in tasks; each starts from the mean of the last round's weights."""
-    spark = documents.sparkSession
+def _train(table: DataFrame, model: Gru, n_tokens: int, share: int, rounds: int) -> None:
+    """Rounds of training in tasks over the table's training rows; each starts from the mean of the last round's weights."""
+    spark = table.sparkSession
     shards = max(1, n_tokens // share // SHARD_TOKENS)
-    words = spark.sparkContext.broadcast(known)
     block = 1 << 14
     for r in range(rounds):
         start = spark.sparkContext.broadcast(model.dump())
 
-        def train(batches):
-            docs, own = [], Gru.load(start.value)
-            ids = {w: i + 2 for i, w in enumerate(words.value)}
-            for b in batches:
-                docs += [np.array([ids.get(w, 1) for w in tokens(t)] + [0], np.int32) for t in b.column(0).to_pylist()]
+        def train(batches, rate=RATE * (1 - 0.8 * r / share)):
+            docs, own = [np.frombuffer(x, "<u4") for b in batches for x in b.column(0).to_pylist()], Gru.load(start.value)
             if not docs:
                 return
-            own.train(docs)
-            x, weight = own.flat(), float(sum(map(len, docs)))
+            flat = np.concatenate(docs).astype(np.int32)
+            del docs
+            own.train(flat, rate)
+            x, weight = own.flat(), float(len(flat))
             n, shard = -(-len(x) // block), TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([weight] * n), pa.array([x[i * block : (i + 1) * block].tobytes() for i in range(n)], pa.binary())], names=["shard", "block", "weight", "x"])
 
         def mean(key, pdf):
             import pandas as pd
 
-            total = pdf["weight"].sum()
+            total, pdf = pdf["weight"].sum(), pdf.sort_values("shard")
             x = sum(np.frombuffer(v, np.float32).astype(np.float64) * w for v, w in zip(pdf["x"], pdf["weight"])) / total
             return pd.DataFrame({"shard": [key[1]], "block": [key[0]], "weight": [total], "x": [x.astype(np.float32).tobytes()]})
 
         shape = "shard long, block int, weight double, x binary"
-        some = documents.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(share)) == r).select("text")
-        found = made = cut(some.repartition(shards).mapInArrow(train, shape), "shards")
+        some = table.where(~F.col("held_out") & (F.pmod(F.shiftright("key", 8), F.lit(share)) == r)).select("key", "ids")
+        found = made = cut(some.repartition(shards, "key").sortWithinPartitions("key").select("ids").mapInArrow(train, shape), "shards")
         n = shards
         while n > 1:
-            found = found.withColumn("shard", F.floor(F.col("shard") / FAN_IN)).groupBy("block", "shard").applyInPandas(mean, shape)
+            group = F.floor(F.col("shard") / FAN_IN).alias("up")
+            found = found.withColumn("up", group).groupBy("block", "up").applyInPandas(mean, shape)
             n = -(-n // FAN_IN)
         rows = sorted(found.select("block", "x").collect())
         drop(made)
@@ -314,53 +335,67 @@ def score(documents: DataFrame, kept: int = KEPT, hot_words: int = HOT_WORDS, sh
     def count(batches):
         yield from counted(batches, tokens, pa.binary())
 
-    table = cut(training.where(F.col("text").isNotNull()).select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    sums, ends = table.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first(), training.count()
+    words = cut(training.where(F.col("text").isNotNull()).select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    sums, ends = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first(), training.count()
     N, V = (sums.n or 0) + ends, sums.v + (ends > 0)
-    bound, _ = hot_bound(table, hot_words)
-    hot = sorted(((r.n, bytes(r.word)) for r in table.where(F.col("n") >= bound).collect()), key=lambda r: (-r[0], r[1]))
+    bound, _ = hot_bound(words, hot_words)
+    hot = sorted(((r.n, bytes(r.word)) for r in words.where(F.col("n") >= bound).collect()), key=lambda r: (-r[0], r[1]))
     top = hot[:kept]
     rare_total = N - ends - sum(n for n, _ in top) + (sums.v - len(top)) + 1
     counts = np.array([ends + 1, rare_total] + [n + 1 for n, _ in top], np.float64)
-    model = Gru(counts, np.random.default_rng(seed))
-    _train(training, model, [w for _, w in top], N, share, share if rounds is None else rounds)
-    sent = spark.sparkContext.broadcast((model.dump(), [w for _, w in hot], np.array([n for n, _ in hot], np.int64)))
-    log_z, log_rare = np.log10(N + V + 1.0), np.log10(float(rare_total))
+    known = spark.sparkContext.broadcast(([w for _, w in hot], np.array([n for n, _ in hot], np.int64)))
+    log_z, log_rare, n_top = np.log10(N + V + 1.0), np.log10(float(rare_total)), len(top)
     kind = dict(documents.dtypes)["doc_id"]
 
-    def run(batches):
-        data, words, n = sent.value
-        own, index, n_top = Gru.load(data), dict(zip(words, range(2, len(words) + 2))), len(top)
-        log_n = np.concatenate([[np.log10(ends + 1.0), 0.0], np.log10(n + 1.0)])
-        part, serial = TaskContext.get().partitionId() << 36, 0
-        rows, ids, held = [], [], 0
-
-        def flush():
-            s = own.score(ids) / np.log(10)
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], doc_type), pa.array(cols[2]), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.float64()), pa.array(np.array(cols[6]) + s), pa.array(cols[7], pa.list_(pa.binary()))], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "others"])
-
+    def tell(batches):
+        ws, n = known.value
+        index, log_n = dict(zip(ws, range(2, len(ws) + 2))), np.concatenate([[np.log10(ends + 1.0), 0.0], np.log10(n + 1.0)])
+        serial = TaskContext.get().partitionId() << 36
         for b in batches:
-            doc_type = b.column(0).type
-            for d, out, t in zip(*(c.to_pylist() for c in b.columns)):
+            cols: list[list] = [[] for _ in range(7)]
+            for t in b.column(3).to_pylist():
                 ws = tokens(t)
-                x = np.fromiter((index.get(w, 1) for w in ws), np.int32, len(ws))
+                x = np.fromiter([index.get(w, 1) for w in ws], np.int32, len(ws))
                 others = [ws[i] for i in np.flatnonzero(x == 1)]
                 rare = x > n_top + 1
-                base = log_n[x].sum() + log_n[0] - log_z * (len(ws) + 1)
-                rows.append((part + serial, d, out, len(ws) + 1, len(ws) - len(others) + (ends > 0), base, log_n[x[rare]].sum() - log_rare * (rare.sum() + len(others)), others))
+                base, shared = log_n[x].sum() + log_n[0] - log_z * (len(ws) + 1), log_n[x[rare]].sum() - log_rare * (rare.sum() + len(others))
                 x[rare] = 1
-                ids.append(np.append(x, np.int32(0)))
-                serial, held = serial + 1, held + len(x) + 1
-                if held > BUFFER:
-                    yield from flush()
-                    rows, ids, held = [], [], 0
-        if rows:
+                for c, v in zip(cols, (serial, len(ws) + 1, len(ws) - len(others) + (ends > 0), base, shared, others, np.append(x, np.int32(0)).astype("<u4").tobytes())):
+                    c.append(v)
+                serial += 1
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.binary())
+            made = [pa.array(c, k) for c, k in zip(cols, kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *made], names=["doc_id", "held_out", "key", "row", "n_tokens", "n_known", "base", "shared", "others", "ids"])
+
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("key")
+    rows = documents.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), key, "text")
+    table = cut(rows.mapInArrow(tell, f"doc_id {kind}, held_out boolean, key long, row long, n_tokens long, n_known long, base double, shared double, others array<binary>, ids binary"), "lm-ids")
+    model = Gru(counts, np.random.default_rng(seed))
+    _train(table, model, N, share, share if rounds is None else rounds)
+    sent = spark.sparkContext.broadcast(model.dump())
+
+    def run(batches):
+        own, held, ids, n = Gru.load(sent.value), [], [], 0
+
+        def flush():
+            s, at = own.score(ids) / np.log(10), 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s[at : at + b.num_rows])], names=["row", "s"])
+                at += b.num_rows
+
+        for b in batches:
+            ids += [np.frombuffer(x, "<u4").astype(np.uint16 if n_top < 60_000 else np.uint32) for x in b.column(1).to_pylist()]
+            held.append(b.select([0]))
+            n += sum(map(len, ids[-b.num_rows :])) if b.num_rows else 0
+            if n > BUFFER:
+                yield from flush()
+                held, ids, n = [], [], 0
+        if ids:
             yield from flush()
 
-    shape = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, others array<binary>"
-    scored = cut(documents.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "text").mapInArrow(run, shape), "lm-scored")
-    rest = scored.select("row", F.explode("others").alias("word")).join(table.where(F.col("n") < bound), "word")
-    more = rest.groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("n") + 1)).alias("s"))
+    scored = cut(table.select("row", "ids").mapInArrow(run, "row long, s double"), "lm-scored")
+    rest = table.select("row", F.explode("others").alias("word")).join(words.where(F.col("n") < bound), "word")
+    more = rest.groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("n") + 1)).alias("more"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return scored.drop("others").join(more, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), (F.col("base") + zero("s")).alias("base_score"), (F.col("score") + zero("s")).alias("score"))
+    out = table.select("doc_id", "held_out", "n_tokens", "n_known", "base", "shared", "row").join(scored, "row").join(more, "row", "left")
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), (F.col("base") + zero("more")).alias("base_score"), (F.col("s") + F.col("shared") + zero("more")).alias("score"))
