@@ -264,14 +264,14 @@ def _hot_terms(documents: DataFrame, words: int) -> np.ndarray:
 
 
 def _sets_table(documents: DataFrame, words: int, percent: int, hot: np.ndarray | None = None) -> DataFrame:
-    """doc_id, n, node (128-bit hash of the set; null if empty), key (its first half) and, once in a task for each node, signatures."""
+    """doc_id, alike, n, node (128-bit hash of the set; null if empty), key (its first half) and, once in a task for each node, signatures. alike tells rows without an id apart."""
     sent = None if hot is None else documents.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         shingler, seen, bands = Shingler(words), set(), Bands(percent, 1 << 40)
         for b in batches:
             size, nodes, keys, sigs = [], [], [], []
-            for h in shingler.sets(b.column(1).to_pylist()):
+            for h in shingler.sets(b.column(2).to_pylist()):
                 size.append(len(h))
                 node = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
                 nodes.append(node)
@@ -281,10 +281,15 @@ def _sets_table(documents: DataFrame, words: int, percent: int, hot: np.ndarray
                 else:
                     seen.add(node)
                     sigs.append(signatures(h, bands, None if sent is None else sent.value).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "node", "key", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "alike", "n", "node", "key", "sigs"])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return cut(documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node binary, key long, sigs binary"), "sets")
+    return cut(documents.select("doc_id", _alike(), "text").mapInArrow(run, f"doc_id {kind}, alike long, n long, node binary, key long, sigs binary"), "sets")
+
+
+def _alike():
+    """0, or the text's hash where there is no id."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("alike")
 
 
 def _candidates(sets: DataFrame) -> DataFrame:
@@ -325,24 +330,29 @@ def _candidates(sets: DataFrame) -> DataFrame:
 def _exact(documents: DataFrame, sets: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b (128-bit classes): links that join all classes which links join within each task's piece."""
     spark = documents.sparkSession
-    chosen = sets.where("node is not null").join(candidates.withColumnRenamed("node", "key"), "key").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("root").alias("root"), F.first("n").alias("n"))
-    chosen = cut(chosen, "chosen")
+    # a row of each class: one with an id, if there is any
+    who = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "alike")).alias("who")
+    chosen = sets.where("node is not null").join(candidates.withColumnRenamed("node", "key"), "key").groupBy("node").agg(who, F.first("root").alias("root"), F.first("n").alias("n"))
+    chosen = cut(chosen.select("node", F.col("who.doc_id").alias("id"), F.col("who.alike").alias("alike"), "root", "n"), "chosen")
     totals = chosen.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
     pieces = F.greatest(F.ceil(F.col("m") / PIECE_SETS), F.ceil(F.col("total") / PIECE_SHINGLES)).cast("int")
     plan = chosen.join(totals.select("root", pieces.alias("k")), "root")
     few = chosen.count() <= BROADCAST_IDS
-    ids = plan.select("id", F.col("node").alias("want"), "root", "k")
+    ids = plan.select("id", F.col("alike").alias("same"), F.col("node").alias("want"), "root", "k")
 
     def texts(batches):
-        shingler = Shingler(words)
+        shingler, seen = Shingler(words), set()
         for b in batches:
-            hs = shingler.sets(b.column(0).to_pylist())
-            ok = [bool(len(h)) and xxhash.xxh3_128_digest(h.tobytes()) == w for h, w in zip(hs, b.column(1).to_pylist())]
+            hs, ok = shingler.sets(b.column(0).to_pylist()), []
+            for h, w in zip(hs, b.column(1).to_pylist()):
+                ok.append(bool(len(h)) and w not in seen and xxhash.xxh3_128_digest(h.tobytes()) == w)
+                if ok[-1]:
+                    seen.add(w)
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(1).filter(keep), b.column(2).filter(keep), b.column(3).filter(keep), pa.array([h.tobytes() for h, o in zip(hs, ok) if o], pa.binary())], names=["node", "root", "k", "h"])
 
-    docs = documents.select(F.col("doc_id").alias("id"), "text").where("text is not null")
-    full = docs.join(F.broadcast(ids) if few else ids, "id").select("text", "want", "root", "k").mapInArrow(texts, "node binary, root long, k int, h binary")
+    docs = documents.select("doc_id", _alike(), "text").where("text is not null")
+    full = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("alike") == F.col("same"))).select("text", "want", "root", "k").mapInArrow(texts, "node binary, root long, k int, h binary")
     piece = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     other = F.explode(F.expr("sequence(0, k - 1)"))
     dealt = full.withColumn("p", piece).withColumn("o", other).select("root", "k", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "node", "h")

@@ -68,6 +68,15 @@ def test_keeps_one_and_empty(spark):
     assert N.groups(df.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_link(spark):
+    """1 - null - 2 is a chain; the null row gets the least id. Two null rows that link with each other alone have none."""
+    w, x, y = ([f"{c}{i}" for i in range(n)] for c, n in (("t", 200), ("x", 12), ("y", 12)))
+    rows = [(1, w), (None, w[:188] + x), (2, w[:176] + y + x), (None, ["q"] * 3 + ["r"] * 9), (None, ["q"] * 3 + ["r"] * 9)]
+    df = spark.createDataFrame([(d, " ".join(t), "z") for d, t in rows], "doc_id long, text string, alike string").repartition(3)
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in N.groups(df, 4, 80).collect()) == [("1", "1"), ("2", "1"), ("None", "1"), ("None", "None"), ("None", "None")]
+    assert brute([(1, " ".join(w)), (2, " ".join(rows[2][1]))], 4, 80)[1][2] == 2
+
+
 def test_linked_sets_share_a_signature():
     r = np.random.default_rng(7)
     for percent in (70, 80, 85):
