@@ -87,7 +87,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
 
     A leak is at least so many windows of the item, or all of a shorter one, found with slots consistent within an
     occurrence; n_windows and n_slots are of the best one. Windows of fewer than four literal words count only where their
-    values are equal; a copy with other values needs so many, or all, of the other windows. Items of fewer words than a window are one window of their own
+    values are equal; a copy with other values needs so many, or all, of the other windows. Windows with names are also
+    met by their words as they stand, whatever their case. Items of fewer words than a window are one window of their own
     length. Null or empty texts, and items or documents without words, match nothing; null ids are kept; repeated rows
     count once; extra columns are ignored.
     """
@@ -101,25 +102,30 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
         return documents.select("doc_id", F.lit(0).alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("item_windows"), F.lit(0).cast("long").alias("n_slots"), text).limit(0)
     own = _windows(items, ["item_id", "n", "w", "raw"], sizes).where("size = n")
     own = own.select("item_id", "size", F.col("at").alias("b_at"), "h", F.slice("w", F.col("at") + 1, F.col("size")).alias("ws"), F.slice("raw", F.col("at") + 1, F.col("size")).alias("b_raw"))
-    # windows of few literal words are common forms, so their values must be equal, too: they are met by their words as they stand
-    exact = literal(F.col("ws")) < F.least(F.lit(LEAST_LITERAL), F.col("size"))
-    own = own.withColumn("exact", exact).withColumn("h", F.when(F.col("exact"), F.xxhash64(F.transform("b_raw", lambda x: F.xxhash64(x)))).otherwise(F.col("h")))
-    own = cut(own.select("item_id", "size", "b_at", "h", "b_raw", "exact", F.transform("ws", lambda w: w.isin(*SLOTS)).alias("slot")), "windows")
-    counted = own.groupBy("item_id").agg(F.count("*").alias("item_windows"), F.count_if(~F.col("exact")).alias("form_windows"))
+    # windows of few literal words are common forms, so their values must be equal, too: they are met by their words as
+    # they stand; so are those with names, which the template of a text in lower case does not show
+    own = own.withColumns({"few": literal(F.col("ws")) < F.least(F.lit(LEAST_LITERAL), F.col("size")), "raw_h": F.xxhash64(F.transform("b_raw", lambda x: F.xxhash64(x)))})
+    own = own.withColumn("plain", F.col("few") | F.array_contains("ws", SLOTS[2]))
+    own = cut(own.select("item_id", "size", "b_at", "h", "raw_h", "b_raw", "few", "plain", F.transform("ws", lambda w: w.isin(*SLOTS)).alias("slot")), "windows")
+    counted = own.groupBy("item_id").agg(F.count("*").alias("item_windows"), F.count_if(~F.col("few")).alias("form_windows"))
     small = own.count() <= BROADCAST_WINDOWS
     hint = F.broadcast if small else lambda df: df
     docs = documents.where("text is not null").select("doc_id", text, F.transform(_template(F.col("text")), lambda x: F.xxhash64(x)).alias("t"))
-    keys = own.select("h", "size", "item_id", "b_at", "exact", (~F.col("exact") & F.exists("slot", lambda x: x)).alias("has"))
-    met = _windows(docs, ["doc_id", "lk_text"], sizes).join(hint(keys.where(~F.col("exact"))), ["h", "size"])
-    lengths = [r.size for r in own.where("exact").select("size").distinct().collect()]
+    keys = own.where(~F.col("few")).select("h", "size", "item_id", "b_at", "few", F.exists("slot", lambda x: x).alias("has"))
+    met = _windows(docs, ["doc_id", "lk_text"], sizes).join(hint(keys), ["h", "size"])
+    lengths = [r.size for r in own.where("plain").select("size").distinct().collect()]
     if lengths:
         plain = documents.where("text is not null").select("doc_id", text, F.transform(_words(_joined_numbers(F.col("text"))), lambda x: F.xxhash64(x)).alias("t"))
-        met = met.unionByName(_windows(plain, ["doc_id", "lk_text"], lengths).join(hint(keys.where("exact")), ["h", "size"]))
-    met = cut(met.select("doc_id", "lk_text", "item_id", "size", "at", "b_at", "exact", "has").distinct(), "met")
+        keys = own.where("plain").select(F.col("raw_h").alias("h"), "size", "item_id", "b_at", "few", F.lit(False).alias("has"))
+        met = met.unionByName(_windows(plain, ["doc_id", "lk_text"], lengths).join(hint(keys), ["h", "size"]))
+    # where a window is met by form, too, its slots decide
+    met = cut(met.groupBy("doc_id", "lk_text", "item_id", "size", "at", "b_at", "few").agg(F.bool_or("has").alias("has")), "met")
     # values of slots, of the few documents with a match that has any
     some = met.where("has").select("doc_id", "lk_text").distinct()
     number = lambda c: F.countDistinct(F.when(c, F.col("b_at")))
-    fits = met.groupBy("doc_id", "lk_text", "item_id").agg(number(~F.col("has") & ~F.col("exact")).alias("n_form"), number(F.col("exact")).alias("n_exact"))
+    # windows met by form without slots, those of few literal words, and all that are met word by word
+    fits = met.groupBy("doc_id", "lk_text", "item_id").agg(number(~F.col("has") & ~F.col("few")).alias("n_plain"), number(F.col("few")).alias("n_few"))
+    fits = fits.withColumn("n_form", F.col("n_plain"))
     if some.isEmpty():
         fits = fits.withColumn("n_slots", F.lit(0).cast("long"))
     else:
@@ -128,7 +134,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
         texts = documents.where("text is not null").select("doc_id", text, "text")
         wanted = F.broadcast(some) if few else some
         raws = texts.join(wanted, same(texts, wanted), "left_semi").distinct().select("doc_id", "lk_text", _words(_joined_numbers(F.col("text"))).alias("raw"))
-        full = met.where("has").join(hint(own.select("item_id", "b_at", "b_raw", "slot")), ["item_id", "b_at"])
+        parts = own.select(F.col("item_id").alias("o_item"), F.col("b_at").alias("o_at"), "b_raw", "slot")
+        full = met.where("has").join(hint(parts), F.col("item_id").eqNullSafe(F.col("o_item")) & (F.col("b_at") == F.col("o_at")))
         full = full.alias("f").join(raws.alias("r"), (F.col("f.doc_id").eqNullSafe(F.col("r.doc_id"))) & (F.col("f.lk_text") == F.col("r.lk_text")))
         pair = F.arrays_zip("slot", F.col("b_raw").alias("b"), F.slice("raw", F.col("at") + 1, F.col("size")).alias("d"))
         values = full.select("f.doc_id", "f.lk_text", "item_id", (F.col("at") - F.col("b_at")).alias("place"), "b_at", F.explode(F.filter(pair, lambda p: p["slot"])).alias("p"))
@@ -136,10 +143,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
         best = best.select(F.col("doc_id").alias("c_doc"), F.col("lk_text").alias("c_text"), F.col("item_id").alias("c_item"), "n", "pairs")
         joined = fits.join(best, fits.doc_id.eqNullSafe(F.col("c_doc")) & (fits.lk_text == F.col("c_text")) & fits.item_id.eqNullSafe(F.col("c_item")), "left")
         zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-        fits = joined.select("doc_id", "lk_text", "item_id", (F.col("n_form") + zero("n")).alias("n_form"), "n_exact", zero("pairs").alias("n_slots"))
+        fits = joined.select("doc_id", "lk_text", "item_id", (F.col("n_form") + zero("n")).alias("n_form"), "n_plain", "n_few", zero("pairs").alias("n_slots"))
     # a changed copy can only be found by the windows that are met by form
     enough = lambda n, of: (F.col(of) > 0) & (n >= F.least(F.lit(least_windows), F.col(of)))
-    found = F.col("n_form") + F.col("n_exact")
+    found = F.greatest("n_form", "n_plain") + F.col("n_few")
     leak = enough(F.col("n_form"), "form_windows") | enough(found, "item_windows")
     return fits.join(hint(counted), fits.item_id.eqNullSafe(counted.item_id)).where(leak).select("doc_id", fits.item_id, found.alias("n_windows"), "item_windows", "n_slots", "lk_text")
 

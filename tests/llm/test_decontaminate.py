@@ -65,6 +65,12 @@ def test_each_occurrence_is_checked_alone(spark):
     assert got == [("1", 100), ("2", 100), ("3", 101), ("4", 100), ("5", 100)]
 
 
+def test_lower_case_and_items_without_id(spark):
+    changed = ITEM.replace("8", "9").replace("120", "300").replace("40", "77").replace("Anna", "Berta").replace("Paris", "Rome")
+    got, _ = run(spark, [(1, ITEM.lower()), (2, "So: " + ITEM.upper()), (3, changed), (4, changed.lower())], [(None, ITEM)])
+    assert got == [("1", None), ("2", None), ("3", None)]  # other names can't be told from other words in lower case
+
+
 def test_windows_of_few_literal_words_match_exactly(spark):
     table = "12 45 78 Rome 9 km and 31 44 7 euros 18 52"
     mixed = "9 8 7 6 5 4 3 2 the wheel of fortune turned on"
