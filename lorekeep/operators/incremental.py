@@ -1,4 +1,7 @@
-"""Indexing of what changed: files are compared with the last commit by hash, and all tables change in one commit."""
+"""Indexing of what changed: files are compared with the last commit by hash, and all tables change in one commit.
+
+A commit adds segments with the changed files' chunks, postings and hashes, and lists the files whose older rows are gone.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +12,15 @@ from pyspark.sql import functions as F
 
 from lorekeep import schemas
 from lorekeep.functions.embed import EmbeddingProvider, embed, zero_vector
+from lorekeep.functions.text import terms
 from lorekeep.operators import fts
 from lorekeep.operators.codechunk import chunk_sources
 from lorekeep.operators.markdown import chunk_notes
-from lorekeep.operators.store import Store, delete
+from lorekeep.operators.store import Changes, Snapshot, Store
+
+
+#: A table of more segments is written as one.
+MOST_SEGMENTS = 24
 
 
 class Done(NamedTuple):
@@ -38,28 +46,45 @@ def _with_vectors(chunks: DataFrame, provider: EmbeddingProvider | None, text) -
 
 
 def _index(store: Store, name: str, schema, scan: DataFrame, chunk, provider, force: bool, within: str | None = None) -> Done:
-    files = f"{name}_files"
-    index = store.table(files, schemas.FILE_INDEX)
-    scope = index if within is None else index.where(F.col("source_file").startswith(within.rstrip("/") + "/"))
-    new, gone = changed(scan, index, force).cache(), stale(scan, scope).cache()
-    try:
-        n_files, n_gone = new.count(), gone.count()
+    done = Done(0, 0, 0)
+
+    def make(now: Snapshot) -> Changes | None:
+        nonlocal done
+        index = now.table(f"{name}_files", schemas.FILE_INDEX)
+        scope = index if within is None else index.where(F.col("source_file").startswith(within.rstrip("/") + "/"))
+        # of each file path, hash and what is to be done; contents are read again where they are chunked
+        new, gone = changed(scan, index, force), stale(scan, scope)
+        touched = new.select("source_file", "content_hash").unionByName(gone.select("source_file", F.lit(None).cast("string").alias("content_hash")))
+        touched = store.scratch(touched, f"{name}-touched")
+        n_files, n_gone = touched.agg(F.count("content_hash"), F.count_if(F.col("content_hash").isNull())).first()
         if not n_files and not n_gone:
-            return Done(0, 0, 0)
-        made = _with_vectors(*chunk(new, provider)).select(*schema.names)
-        touched = new.select("source_file").unionByName(gone.select("source_file"))
-        table = delete(store.table(name, schema), touched, ["source_file"]).unionByName(made)
-        kept = delete(index, touched, ["source_file"]).unionByName(new.select("source_file", "content_hash"))
-        store.commit({name: table, files: kept})
-        # the index of terms is made of the committed table, in a second commit
-        built = fts.build(store.table(name, schema))
-        store.commit({f"{name}_postings": built.postings, f"{name}_lengths": built.lengths})
-        n_chunks = store.table(name, schema).join(F.broadcast(new.select("source_file")) if n_files < 100_000 else new.select("source_file"), "source_file", "left_semi")
-        with_chunks = n_chunks.agg(F.count("*").alias("c"), F.countDistinct("source_file").alias("f")).first()
-        return Done(with_chunks.f if name == "code" else n_files, with_chunks.c, n_gone)
-    finally:
-        new.unpersist()
-        gone.unpersist()
+            done = Done(0, 0, 0)
+            return None
+        fresh = touched.where("content_hash is not null")
+        chunks = store.scratch(_with_vectors(*chunk(scan.join(fresh, ["source_file", "content_hash"], "left_semi"), provider)).select(*schema.names), f"{name}-chunks")
+        postings, _ = fts.counts(chunks)
+        postings = postings.join(chunks.select("id", "source_file"), "id")
+        # n and total: what the touched files had goes, what the new chunks have comes
+        length = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(terms(F.col("text")))), F.lit(0)).alias("total")).first()
+        had = length(now.table(name, schema).join(touched.select("source_file"), "source_file", "left_semi"))
+        has, before = length(chunks), now.rows(f"{name}_corpus")
+        n, total = before.first() if before is not None else (0, 0)
+        corpus = store.spark.range(1).select(F.lit(n - had.n + has.n).cast("long").alias("n"), F.lit(total - had.total + has.total).cast("long").alias("total"))
+        with_chunks = chunks.select(F.countDistinct("source_file")).first()[0]
+        done = Done(with_chunks if name == "code" else n_files, has.n, n_gone)
+        out = ("source_file", touched)
+        return Changes(
+            replace={f"{name}_corpus": corpus},
+            append={name: chunks, f"{name}_files": fresh, f"{name}_postings": fts.by_bucket(postings)},
+            gone={name: out, f"{name}_files": out, f"{name}_postings": out},
+            partition_by={f"{name}_postings": ["bucket"]},
+        )
+
+    store.transact(make)
+    for table, by in ((name, None), (f"{name}_files", None), (f"{name}_postings", ["bucket"])):
+        if len(store.now().tables.get(table, {}).get("segments", ())) > MOST_SEGMENTS:
+            store.compact(table, by)
+    return done
 
 
 def index_notes(store: Store, scan: DataFrame, provider: EmbeddingProvider | None = None, force: bool = False, within: str | None = None) -> Done:

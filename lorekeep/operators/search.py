@@ -16,10 +16,21 @@ MODES = ("text", "vector", "hybrid")
 RRF_K = 60
 
 
-def text_search(df: DataFrame, query: str, top_k: int = 10, condition: Column | None = None, key: str = "id", text: str = "text") -> DataFrame:
-    """The top_k rows by BM25, with score and score_kind; ties by key. The vector is not read."""
-    hits = fts.bm25(df.drop("vector"), query, key, text, condition).orderBy(F.desc("score"), key).limit(top_k)
-    rows = df.drop("vector").join(F.broadcast(hits), key)  # at most top_k rows
+def _text_hits(df: DataFrame, query: str, top_k: int, condition: Column | None, key: str, text: str, index: fts.Index | None) -> DataFrame:
+    """key, score of the top_k rows; counts are of all rows, condition restricts the hits."""
+    if index is None:
+        hits = fts.bm25(df, query, key, text, condition)
+    else:
+        hits = fts.bm25_indexed(index, query, key)
+        if condition is not None:
+            hits = hits.join(df.where(condition).select(key), key, "left_semi")
+    return hits.orderBy(F.desc("score"), key).limit(top_k)
+
+
+def text_search(df: DataFrame, query: str, top_k: int = 10, condition: Column | None = None, key: str = "id", text: str = "text", index: fts.Index | None = None) -> DataFrame:
+    """The top_k rows by BM25, with score and score_kind; ties by key. The vector is not read. index: of df's texts; without one all texts are read."""
+    df = df.drop("vector")
+    rows = df.join(F.broadcast(_text_hits(df, query, top_k, condition, key, text, index)), key)  # at most top_k rows
     return rows.withColumn("score_kind", F.lit("bm25")).orderBy(F.desc("score"), key)
 
 
@@ -107,24 +118,25 @@ def _ranked(hits: DataFrame, order: list) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # over at most top_k rows
 
 
-def hybrid_search(df: DataFrame, query: str, query_vector: Sequence[float], top_k: int = 10, condition: Column | None = None, rrf_k: int = RRF_K, metric: str = "l2", key: str = "id", text: str = "text", vector: str = "vector") -> DataFrame:
+def hybrid_search(df: DataFrame, query: str, query_vector: Sequence[float], top_k: int = 10, condition: Column | None = None, rrf_k: int = RRF_K, metric: str = "l2", key: str = "id", text: str = "text", vector: str = "vector", index: fts.Index | None = None) -> DataFrame:
     """Both searches with one top_k and condition, fused."""
-    t = fts.bm25(df.drop(vector), query, key, text, condition).orderBy(F.desc("score"), key).limit(top_k)
+    t = _text_hits(df.drop(vector), query, top_k, condition, key, text, index)
     v = vector_search(df.select("*"), query_vector, top_k, condition, metric, key, vector).select(key, "score")
     fused = fuse(_ranked(t, [F.desc("score"), key]), _ranked(v, ["score", key]), top_k, rrf_k, key)
     rows = df.drop(vector).join(F.broadcast(fused), key)  # at most top_k rows
     return rows.withColumn("score_kind", F.lit("rrf")).orderBy(F.desc("score"), F.asc_nulls_last("text_rank"), F.asc_nulls_last("vector_rank")).drop("text_rank", "vector_rank")
 
 
-def _dispatch(df, query, top_k, mode, condition, embedder, **how):
+def _dispatch(df, query, top_k, mode, condition, embedder, index=None, **how):
+    """how: names of columns and what else the searches take."""
     if mode not in MODES:
         raise ValueError(f"Unsupported search mode: {mode!r}. Supported: {', '.join(MODES)}")
     if mode != "text" and embedder is None:
         raise ValueError(f"Search mode {mode!r} requires an embedder")
     if mode == "text":
-        return text_search(df, query, top_k, condition)
+        return text_search(df, query, top_k, condition, index=index, **how)
     v = embedder.embed_query(query)
-    return vector_search(df, v, top_k, condition, **how) if mode == "vector" else hybrid_search(df, query, v, top_k, condition, **how)
+    return vector_search(df, v, top_k, condition, **how) if mode == "vector" else hybrid_search(df, query, v, top_k, condition, index=index, **how)
 
 
 def search_notes(notes: DataFrame, query: str, *, top_k: int = 10, mode: str = "text", project: str | None = None, session_id: str | None = None, tags: str | None = None, exact_tags: bool = False, embedder: EmbeddingProvider | None = None, **how) -> DataFrame:
@@ -135,8 +147,8 @@ def search_code(code: DataFrame, query: str, *, top_k: int = 10, mode: str = "te
     return _dispatch(code, query, top_k, mode, code_filter(language, chunk_type, repo_name), embedder, **how)
 
 
-def find_similar(code: DataFrame, snippet: str, embedder: EmbeddingProvider, *, top_k: int = 10, language: str | None = None, repo_name: str | None = None) -> DataFrame:
-    return vector_search(code, embedder.embed_query(snippet), top_k, code_filter(language, None, repo_name))
+def find_similar(code: DataFrame, snippet: str, embedder: EmbeddingProvider, *, top_k: int = 10, language: str | None = None, repo_name: str | None = None, **how) -> DataFrame:
+    return vector_search(code, embedder.embed_query(snippet), top_k, code_filter(language, None, repo_name), **how)
 
 
 def search_everything(notes: DataFrame, code: DataFrame, query: str, *, top_k: int = 10, **how) -> DataFrame:

@@ -6,9 +6,10 @@ import pytest
 
 from lorekeep.functions.embed import CallableProvider, HashingProvider, get_provider
 from lorekeep.operators import fts, search
+from lorekeep.operators.store import Store
 
-NOTES = [("1", "a.md", "Async", "python asyncio event loop", "s1", "backend", "python,async"), ("2", "b.md", "Own", "rust ownership borrow checker", "s2", "systems", "rust"), ("3", "c.md", "Mix", "python and rust, python", "s3", "backend", "python,trust")]
-CODE = [("1", "def authenticate_user(username, password):\n    pass", "auth.py", "backend", "python", "function"), ("2", "export class UserController { getUser() {} }", "user.ts", "frontend", "typescript", "class"), ("3", "def connect_db(): pass", "db.py", "backend", "python", "function")]
+NOTES = [("1", "apples.md", "Apples", "cider apples ripen in autumn", "s1", "orchard", "apples,autumn"), ("2", "bees.md", "Bees", "honey from the heather hive", "s2", "apiary", "honey"), ("3", "mead.md", "Mead", "apples and honey, more apples", "s3", "orchard", "apples,honeydew")]
+CODE = [("1", "def press_cider(apples, barrels):\n    pass", "press.py", "orchard", "python", "function"), ("2", "export class HiveMap { findQueen() {} }", "hive.ts", "apiary", "typescript", "class"), ("3", "def fill_jar(): pass", "jar.py", "orchard", "python", "function")]
 
 
 @pytest.fixture(scope="module")
@@ -29,10 +30,10 @@ def ids(df):
 
 
 def test_notes_by_text(notes):
-    assert ids(search.search_notes(notes, "python"))[0] == "3" and "vector" not in search.search_notes(notes, "python").columns
-    assert ids(search.search_notes(notes, "python", project="systems")) == []
-    assert ids(search.search_notes(notes, "rust python", tags="python, rust")) == ["3"]  # LIKE: trust
-    assert ids(search.search_notes(notes, "rust python", tags="python, rust", exact_tags=True)) == []
+    assert ids(search.search_notes(notes, "apples"))[0] == "3" and "vector" not in search.search_notes(notes, "apples").columns
+    assert ids(search.search_notes(notes, "apples", project="apiary")) == []
+    assert ids(search.search_notes(notes, "honey apples", tags="apples, honey")) == ["3"]  # LIKE: honeydew
+    assert ids(search.search_notes(notes, "honey apples", tags="apples, honey", exact_tags=True)) == []
     assert ids(search.search_notes(notes, "", top_k=3)) == [] and ids(search.search_notes(notes, "zebra")) == []
 
 
@@ -44,19 +45,19 @@ def test_modes(notes):
     e = HashingProvider(16)
     r = search.search_notes(notes, NOTES[1][3], mode="vector", embedder=e, top_k=2).collect()
     assert r[0].id == "2" and r[0].score < 1e-9 and r[0].score_kind == "distance" and r[0].score <= r[1].score
-    h = search.search_notes(notes, "rust", mode="hybrid", embedder=e).collect()
+    h = search.search_notes(notes, "honey", mode="hybrid", embedder=e).collect()
     assert {x.id for x in h} == {"1", "2", "3"} and h[0].score_kind == "rrf"
 
 
 def test_code(code):
-    assert ids(search.search_code(code, "authenticate")) == ["1"] and ids(search.search_code(code, "UserController")) == ["2"]
-    assert ids(search.search_code(code, "getUser")) == ["2"] and ids(search.search_code(code, "connect_db")) == ["3"]
-    assert ids(search.search_code(code, "def", language="typescript")) == [] and ids(search.search_code(code, "def", repo_name="backend", chunk_type="function")) == ["3", "1"]
+    assert ids(search.search_code(code, "press_cider")) == ["1"] and ids(search.search_code(code, "HiveMap")) == ["2"]
+    assert ids(search.search_code(code, "findQueen")) == ["2"] and ids(search.search_code(code, "fill_jar")) == ["3"]
+    assert ids(search.search_code(code, "def", language="typescript")) == [] and ids(search.search_code(code, "def", repo_name="orchard", chunk_type="function")) == ["3", "1"]
     assert ids(search.find_similar(code, CODE[2][1], HashingProvider(16), top_k=1)) == ["3"]
 
 
 def test_everything(notes, code):
-    r = search.search_everything(notes, code, "python def", top_k=5).collect()
+    r = search.search_everything(notes, code, "apples def", top_k=5).collect()
     assert {x.kind for x in r} == {"note", "code"}
 
 
@@ -98,6 +99,23 @@ def test_bm25_both_ways(spark):
     assert {x.id: round(x.score, 9) for x in fts.search(fts.build(df), qs).collect()} == {i: round(s, 9) for i, s in want.items()}
 
 
+def test_stored_index(spark, tmp_path, notes):
+    """The same hits with an index that is read from folders as without one; only the folders of the query's terms are read."""
+    s = Store(spark, str(tmp_path / "st"))
+    postings, lengths = fts.counts(notes)
+    s.commit({"notes_postings": fts.by_bucket(postings), "notes_corpus": lengths.selectExpr("count(*) AS n", "sum(dl) AS total")}, {"notes_postings": ["bucket"]})
+    index = fts.stored(s.now(), "notes")
+    assert fts.stored(s.now(), "code") is None
+    for query, how in (("apples", {}), ("honey apples hive", {"project": "orchard"}), ("zebra", {}), ("", {}), ("HONEY hive", {"tags": "honey"})):
+        a, b = ([(r.id, round(r.score, 9)) for r in search.search_notes(notes, query, index=x, **how).collect()] for x in (index, None))
+        assert a == b
+    qs = spark.createDataFrame([(7, "honey apples"), (8, "nothing")], "query_id int, query string")
+    a, b = ({(r.query_id, r.id, round(r.score, 9)) for r in fts.search(x, qs).collect()} for x in (index, fts.build(notes)))
+    assert a == b and a
+    plan = fts.bm25_indexed(index, "honey")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,honey)" in plan
+
+
 def test_batch_as_single(spark, notes):
     q = notes.select(notes.id.alias("query_id"), "vector")
     got = {(x.query_id, x.rank): (x.id, round(x.score, 5)) for x in search.vector_search_batch(notes, q, 2).collect()}
@@ -118,9 +136,9 @@ def test_batch_ties_and_near_copies(spark):
 def test_plans(spark, tmp_path, notes):
     notes.write.mode("overwrite").parquet(str(tmp_path / "n"))
     df = spark.read.parquet(str(tmp_path / "n"))
-    plan = search.vector_search(df, [0.0] * 16, 3, df.project == "backend")._jdf.queryExecution().toString()
-    assert "TakeOrderedAndProject" in plan and "EqualTo(project,backend)" in plan and "Exchange" not in plan
-    assert "vector" not in fts.bm25(df, "python").inputFiles() and "vector:array" not in search.text_search(df, "python")._jdf.queryExecution().executedPlan().toString()
+    plan = search.vector_search(df, [0.0] * 16, 3, df.project == "orchard")._jdf.queryExecution().toString()
+    assert "TakeOrderedAndProject" in plan and "EqualTo(project,orchard)" in plan and "Exchange" not in plan
+    assert "vector" not in fts.bm25(df, "apples").inputFiles() and "vector:array" not in search.text_search(df, "apples")._jdf.queryExecution().executedPlan().toString()
 
 
 def test_providers():

@@ -4,9 +4,9 @@ from hypothesis import strategies as st
 
 from lorekeep import schemas
 from lorekeep.functions.embed import HashingProvider
-from lorekeep.operators import incremental, search
+from lorekeep.operators import fts, incremental, search
 from lorekeep.operators.codechunk import chunk_text
-from lorekeep.operators.store import Store
+from lorekeep.operators.store import Changes, Conflict, Store
 from lorekeep.sources import files
 
 
@@ -25,11 +25,15 @@ def test_store(spark, tmp_path):
     assert {r.id: r.text for r in s.table("notes", schemas.NOTES).collect()} == {"a": "new", "b": "t"}
     s.delete_ids("notes", ["a"], schemas.NOTES)
     s.delete_ids("notes", [], schemas.NOTES)
+    assert s.count("notes") == 1 and s.vacuum(older_than=-1) == 0
+    s.compact("notes")
     assert s.count("notes") == 1 and s.vacuum(older_than=-1) > 0 and s.count("notes") == 1
     s.commit({"x": spark.range(3)})
     assert s.table("x", schemas.NOTES).count() == 0  # lacks columns: made anew
     with s.lock(), pytest.raises(TimeoutError), s.lock(patience=0.1):
         pass
+    s.upsert("notes", rows(note("d", "one"), note("d", "two")), schemas.NOTES)
+    assert s.table("notes", schemas.NOTES).where("id = 'd'").count() == 1
     s.drop("notes")
     assert not s.exists("notes")
     (tmp_path / "store" / ".manifest.json.crc").unlink(missing_ok=True)
@@ -37,11 +41,46 @@ def test_store(spark, tmp_path):
     assert s.manifest() == {}
 
 
+def test_writers_side_by_side(spark, tmp_path):
+    """A commit that another one overtakes is made again on what that one left; a writer that is overtaken each time gives up."""
+    a, b = (Store(spark, str(tmp_path / "st")) for _ in range(2))
+    rows = lambda *ids: spark.createDataFrame([note(i) for i in ids], schemas.NOTES)
+    a.upsert("notes", rows("x"), schemas.NOTES)
+    seen = []
+
+    def make(now):
+        n = now.count("notes")
+        seen.append(n)
+        if len(seen) == 1:
+            b.upsert("notes", rows("y"), schemas.NOTES)
+        return Changes(replace={"notes": now.rows("notes").unionByName(rows(f"z{n}"))})
+
+    a.transact(make)
+    assert seen == [1, 2] and sorted(r.id for r in a.table("notes", schemas.NOTES).collect()) == ["x", "y", "z2"]
+    with pytest.raises(Conflict):
+        a.transact(lambda _: b.upsert("notes", rows("w"), schemas.NOTES) or Changes(replace={"other": rows("v")}), tries=2)
+    assert not a.exists("other")
+
+
+def test_segments(spark, tmp_path):
+    """Rows that were deleted and come back count; compaction changes nothing."""
+    s = Store(spark, str(tmp_path / "st"))
+    rows = lambda *xs: spark.createDataFrame([note(*x) for x in xs], schemas.NOTES)
+    for step in ([("a", "1"), ("b", "1")], [("a", "2")], [("c", "3"), ("b", "3")]):
+        s.upsert("notes", rows(*step), schemas.NOTES)
+    s.delete_ids("notes", ["a", "c"], schemas.NOTES)
+    s.upsert("notes", rows(("a", "5")), schemas.NOTES)
+    text = lambda: {r.id: r.text for r in s.table("notes", schemas.NOTES).collect()}
+    assert text() == {"a": "5", "b": "3"} and len(s.now().tables["notes"]["segments"]) == 4
+    s.compact("notes")
+    assert text() == {"a": "5", "b": "3"} and len(s.now().tables["notes"]["segments"]) == 1
+
+
 def test_vault(spark, tmp_path):
     v, s = tmp_path / "vault", Store(spark, str(tmp_path / "st"))
     (v / ".obsidian").mkdir(parents=True)
     (v / "_sub").mkdir()
-    (v / "a.md").write_text("## One\nalpha\n\n## Two\nbeta\n")
+    (v / "a.md").write_text("## One\nalpha\n\n## Two\nbeta and more\n")
     (v / "_sub" / "b.md").write_text("## Three\ngamma\n")
     (v / ".obsidian" / "x.md").write_text("no")
     (v / "c.txt").write_text("no")
@@ -54,7 +93,12 @@ def test_vault(spark, tmp_path):
     assert sorted(r.heading for r in t.collect()) == ["One", "Three"]  # old chunks of an edited note are gone
     assert [r.heading for r in search.search_notes(t, "delta", mode="hybrid", embedder=e, top_k=1).collect()] == ["One"]
     (v / "_sub" / "b.md").unlink()
-    assert incremental.index_notes(s, scan(), e) == (0, 0, 1) and s.count("notes") == 1 and s.count("notes_postings") > 0
+    assert incremental.index_notes(s, scan(), e) == (0, 0, 1) and s.count("notes") == 1
+    # the stored index follows: the same hits as from the texts
+    t, index = s.table("notes", schemas.NOTES), fts.stored(s.now(), "notes")
+    assert index.corpus.first().n == 1 and index.postings.count() == 2
+    hits = [[(r.heading, round(r.score, 9)) for r in search.search_notes(t, "delta gamma alpha", index=x).collect()] for x in (index, None)]
+    assert hits[0] == hits[1] and hits[0][0][0] == "One"
 
 
 def test_repos(spark, tmp_path):
