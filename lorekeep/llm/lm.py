@@ -309,7 +309,7 @@ def _train(table: DataFrame, model: Gru, n_tokens: int, share: int, rounds: int)
         shape = "shard long, block int, weight double, x binary"
         some = table.where(~F.col("held_out") & (F.pmod(F.shiftright("key", 8), F.lit(share)) == r)).select("key", "ids")
         found = made = cut(some.repartition(shards, "key").sortWithinPartitions("key").select("ids").mapInArrow(train, shape), "shards")
-        n = shards
+        n = (made.agg(F.max("shard")).first()[0] or 0) + 1
         while n > 1:
             group = F.floor(F.col("shard") / FAN_IN).alias("up")
             found = found.withColumn("up", group).groupBy("block", "up").applyInPandas(mean, shape)
@@ -339,16 +339,18 @@ def score(documents: DataFrame, kept: int = KEPT, hot_words: int = HOT_WORDS, sh
     sums, ends = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first(), training.count()
     N, V = (sums.n or 0) + ends, sums.v + (ends > 0)
     bound, _ = hot_bound(words, hot_words)
-    hot = sorted(((r.n, bytes(r.word)) for r in words.where(F.col("n") >= bound).collect()), key=lambda r: (-r[0], r[1]))
-    top = hot[:kept]
-    rare_total = N - ends - sum(n for n, _ in top) + (sums.v - len(top)) + 1
-    counts = np.array([ends + 1, rare_total] + [n + 1 for n, _ in top], np.float64)
-    known = spark.sparkContext.broadcast(([w for _, w in hot], np.array([n for n, _ in hot], np.int64)))
-    log_z, log_rare, n_top = np.log10(N + V + 1.0), np.log10(float(rare_total)), len(top)
+    hot = words.where(F.col("n") >= bound).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
+    top = hot.column("n").to_numpy()[:kept]
+    n_top = len(top)
+    rare_total = N - ends - int(top.sum()) + (sums.v - n_top) + 1
+    counts = np.concatenate([[ends + 1, rare_total], top + 1]).astype(np.float64)
+    known = spark.sparkContext.broadcast((hot.column("word"), hot.column("n").to_numpy()))
+    del hot
+    log_z, log_rare = np.log10(N + V + 1.0), np.log10(float(rare_total))
     kind = dict(documents.dtypes)["doc_id"]
 
     def tell(batches):
-        ws, n = known.value
+        ws, n = known.value[0].to_pylist(), known.value[1]
         index, log_n = dict(zip(ws, range(2, len(ws) + 2))), np.concatenate([[np.log10(ends + 1.0), 0.0], np.log10(n + 1.0)])
         serial = TaskContext.get().partitionId() << 36
         for b in batches:
