@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -45,25 +46,44 @@ def path_features(tag: str, attrs: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(x.encode()) % PATHS for x in parts)
 
 
-def blocks(html: str | None) -> list[tuple[tuple, str, int]]:
-    """(path features, text, characters within links) of each leaf block with text, in page order; white space is one space each."""
+class Page(list):
+    """(node, text, characters within links) of each leaf block with text, in page order. A node of the page's tree is its parent, its depth and its features; the first has none."""
+
+    def __init__(self):
+        super().__init__()
+        self.nodes: list[tuple[int, int, tuple[int, ...]]] = [(0, 0, ())]
+
+
+#: Elements that end another of their kind, or that bar this, when they begin.
+MARKS = frozenset(ENDS) | {"ul", "ol", "table", "dl", "article", "section", "div", "menu", "nav"}
+RAW_END = {tag: re.compile(rf"</{tag}", re.I) for tag in RAW}
+
+
+def blocks(html: str | None) -> Page:
+    """The blocks of a page; white space within one is one space each. Time and memory are linear in the page, however deep its elements lie."""
+    out = Page()
     if not html:
-        return []
-    out, stack, parts, linked, at, silent, inside_a = [], [], [], 0, 0, 0, 0
+        return out
+    stack, marks, parts, linked, at, silent, inside_a = [], [], [], 0, 0, 0, 0  # marks: places in the stack of MARKS
+    open_: Counter = Counter()
     n, search = len(html), TAG.search
 
     def close_block():
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((tuple(f for t in stack for f in t[1]), text, linked))
+            out.append((stack[-1][1] if stack else 0, text, linked))
         parts, linked = [], 0
 
     def pop():
         nonlocal silent, inside_a
         tag = stack.pop()[0]
+        open_[tag] -= 1
+        if marks and marks[-1] == len(stack):
+            marks.pop()
         silent -= tag in SILENT
         inside_a -= tag == "a"
+        return tag
 
     def text(s):
         nonlocal linked
@@ -86,48 +106,86 @@ def blocks(html: str | None) -> list[tuple[tuple, str, int]]:
         if m[1]:
             if tag in BLOCK:
                 close_block()
-            if any(t[0] == tag for t in stack):
-                stop = False
-                while not stop:
-                    stop = stack[-1][0] == tag
-                    pop()
+            while open_[tag] and pop() != tag:
+                pass
             continue
         if tag == "br":
             text(" ")
             continue
         if tag in BLOCK:
             close_block()
-            if tag in ENDS_P and any(t[0] == "p" for t in stack):
-                while stack[-1][0] != "p":
-                    pop()
-                pop()
+            if tag in ENDS_P:
+                while open_["p"] and pop() != "p":
+                    pass
             ends = ENDS.get(tag, "").split()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    while len(stack) > k:
+            k = len(marks) - 1
+            while k >= 0 and any(open_[e] for e in ends):
+                name = stack[marks[k]][0]
+                if name in ends:
+                    keep = marks[k]
+                    while len(stack) > keep:
                         pop()
-                elif stack[k][0] in ("ul", "ol", "table", "dl", "article", "section", "div", "menu", "nav"):
+                elif name not in ENDS:
                     break
+                k -= 1
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         if tag == "body":
             while stack and stack[-1][0] != "html":
                 pop()
-        stack.append((tag, path_features(tag, m[3])))
+        if tag in MARKS:
+            marks.append(len(stack))
+        out.nodes.append((stack[-1][1] if stack else 0, len(stack) + 1, path_features(tag, m[3])))
+        stack.append((tag, len(out.nodes) - 1))
+        open_[tag] += 1
         silent += tag in SILENT
         inside_a += tag == "a"
         if tag in RAW:
-            end = re.compile(rf"</{tag}", re.I).search(html, at)
+            end = RAW_END[tag].search(html, at)
             at = end.start() if end else n
     close_block()
     return out
 
 
-def features(pages: list[list[tuple]]) -> tuple[np.ndarray, ...]:
-    """Flat buckets of paths and words with their sizes, and numbers on form, of all blocks of all pages."""
+class Paths:
+    """The nodes of pages, those of each depth together: sums of features run down the trees, gradients run up."""
+
+    def __init__(self, pages: list[Page]):
+        first = np.cumsum([0, *(len(p.nodes) for p in pages)])
+        flat = [x for p in pages for x in p.nodes]
+        self.parent = np.fromiter((x[0] for x in flat), np.int64, len(flat)) + np.repeat(first[:-1], np.diff(first))
+        depth = np.fromiter((x[1] for x in flat), np.int64, len(flat))
+        self.size = np.fromiter((len(x[2]) for x in flat), np.int64, len(flat))
+        self.ids = np.fromiter((f for x in flat for f in x[2]), np.int64, self.size.sum())
+        self.of = np.fromiter((b[0] + o for p, o in zip(pages, first.tolist()) for b in p), np.int64, sum(map(len, pages)))
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)[1:] if len(flat) else []
+        total = self.down(self.size.astype(float)[:, None])[:, 0]
+        self.total = np.maximum(total[self.of], 1)[:, None]
+
+    def down(self, x: np.ndarray) -> np.ndarray:
+        for own in self.levels:
+            x[own] += x[self.parent[own]]
+        return x
+
+    def means(self, table: np.ndarray) -> np.ndarray:
+        """For each block the mean of its path's features."""
+        owner = np.repeat(np.arange(len(self.size)), self.size)
+        sums = np.stack([np.bincount(owner, table[self.ids, d], len(self.size)) for d in range(table.shape[1])], 1)
+        return (self.down(sums)[self.of] / self.total).astype(np.float32)
+
+    def gradient(self, dx: np.ndarray, n: int) -> np.ndarray:
+        """Of the table, from that of the means."""
+        g = np.stack([np.bincount(self.of, c, len(self.size)) for c in (dx / self.total).T], 1)
+        for own in reversed(self.levels):
+            np.add.at(g, self.parent[own], g[own])
+        per = np.repeat(g, self.size, 0)
+        return np.stack([np.bincount(self.ids, c, n) for c in per.T], 1).astype(np.float32)
+
+
+def features(pages: list[Page]) -> tuple:
+    """Paths, flat buckets of words with their sizes, and numbers on form, of all blocks of all pages."""
     flat = [b for p in pages for b in p]
-    paths = np.fromiter((f for b in flat for f in b[0]), np.int64, sum(len(b[0]) for b in flat))
-    n_path = np.fromiter((len(b[0]) for b in flat), np.int64, len(flat))
     words = [b[1].lower().split() for b in flat]
     memo = {w: zlib.crc32(w.encode("utf-8", "replace")) % WORDS for w in {w for ws in words for w in ws}}
     word = np.fromiter((memo[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
@@ -137,7 +195,7 @@ def features(pages: list[list[tuple]]) -> tuple[np.ndarray, ...]:
     link = np.array([b[2] for b in flat], float)
     place = np.array([i / max(len(p) - 1, 1) for p in pages for i in range(len(p))], float)
     shape = np.stack([np.log1p(n_word) / 4, np.minimum(link / np.maximum(chars, 1), 1), np.minimum(ends / np.maximum(n_word, 1), 1), place, np.log1p(chars) / 6, np.array([b[1][-1:] in ".!?" for b in flat], float), np.array(["©" in b[1] for b in flat], float), np.ones(len(flat))], 1) if flat else np.zeros((0, SHAPE_DIM))
-    return paths, n_path, word, n_word, shape.astype(np.float32)
+    return Paths(pages), word, n_word, shape.astype(np.float32)
 
 
 def mean(table: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -159,7 +217,7 @@ class Labeller:
             self.p |= {d + "x": n(self.IN, 4 * HIDDEN), d + "h": n(HIDDEN, 4 * HIDDEN), d + "b": np.repeat([0, 1, 0, 0], HIDDEN).astype(np.float32)}
 
     def inputs(self, f) -> np.ndarray:
-        return np.concatenate([mean(self.p["P"], f[0], f[1]), mean(self.p["W"], f[2], f[3]), f[4]], 1)
+        return np.concatenate([f[0].means(self.p["P"]), mean(self.p["W"], f[1], f[2]), f[3]], 1)
 
     def run(self, x: np.ndarray, lengths: np.ndarray, keep: bool = False):
         """States of both directions at each block; x holds the pages' blocks one after the other. Pages go side by side, longest first."""
@@ -188,7 +246,7 @@ class Labeller:
     def logits(self, x: np.ndarray, states: np.ndarray) -> np.ndarray:
         return (states @ self.p["o"] + x @ self.p["q"] + self.p["c"])[:, 0]
 
-    def label(self, pages: list[list[tuple]]) -> list[np.ndarray]:
+    def label(self, pages: list[Page]) -> list[np.ndarray]:
         lengths = np.array([len(p) for p in pages], np.int64)
         if not lengths.sum():
             return [np.zeros(0, bool) for _ in pages]
@@ -196,7 +254,7 @@ class Labeller:
         z = self.logits(x, self.run(x, lengths)[0]) > 0
         return np.split(z, np.cumsum(lengths)[:-1])
 
-    def step(self, pages: list[list[tuple]], y: np.ndarray, past: dict) -> float:
+    def step(self, pages: list[Page], y: np.ndarray, past: dict) -> float:
         """One step of gradient descent on a batch of pages."""
         f, lengths = features(pages), np.array([len(p) for p in pages], np.int64)
         x = self.inputs(f)
@@ -218,9 +276,9 @@ class Labeller:
                 dh[:a], dc[:a] = dg @ wh.T, q * fo
             g |= {d + "x": x.T @ dproj, d + "h": gh, d + "b": dproj.sum(0)}
             dx = dx + dproj @ self.p[d + "x"].T
-        for k, ids, sizes, cols in (("P", f[0], f[1], slice(0, PATH_DIM)), ("W", f[2], f[3], slice(PATH_DIM, PATH_DIM + WORD_DIM))):
-            per = np.repeat(dx[:, cols] / np.maximum(sizes, 1)[:, None], sizes, 0)
-            g[k] = np.stack([np.bincount(ids, per[:, d], len(self.p[k])) for d in range(per.shape[1])], 1).astype(np.float32)
+        g["P"] = f[0].gradient(dx[:, :PATH_DIM], PATHS)
+        per = np.repeat(dx[:, PATH_DIM : PATH_DIM + WORD_DIM] / np.maximum(f[2], 1)[:, None], f[2], 0)
+        g["W"] = np.stack([np.bincount(f[1], per[:, d], WORDS) for d in range(WORD_DIM)], 1).astype(np.float32)
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         for k, v in g.items():
             v = v * min(1.0, 1.0 / (norm + 1e-9))
@@ -373,6 +431,12 @@ def train(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11) -> Lab
     return model
 
 
+@lru_cache(1)
+def standard() -> Labeller:
+    """The model of the standard made-up pages, which are the same each time: it is trained once a session."""
+    return train()
+
+
 def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html).
 
@@ -382,7 +446,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     small_batches(spark)
-    model = model or train()
+    model = model or standard()
     out = io.BytesIO()
     np.savez(out, **model.p)
     sent = spark.sparkContext.broadcast(out.getvalue())
