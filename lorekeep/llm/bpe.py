@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lorekeep.llm.common import settled, small_batches
 
 #: Characters and parts of texts that are split at a time, words and distinct words of a block, about.
-SLICE_CHARS, SLICE_PARTS, BLOCK_WORDS, BLOCK_DISTINCT = 1 << 19, 1 << 14, 5_000_000, 600_000
+SLICE_CHARS, SLICE_PARTS, BLOCK_WORDS, BLOCK_DISTINCT = 1 << 19, 1 << 14, 3_000_000, 400_000
 #: Buckets of distinct words for each shuffle partition, and words of which a bucket keeps the ids.
 BUCKETS, KEPT_WORDS = 8, 500_000
 #: The characters of the property White_Space.
