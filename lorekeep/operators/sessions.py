@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep import schemas
 from lorekeep.functions.text import bounded, content_hash
-from lorekeep.operators import markdown, transcripts
-from lorekeep.operators.store import insert_absent
+from lorekeep.operators import incremental, markdown, transcripts
+from lorekeep.operators.store import Changes, Snapshot, Store, insert_absent
+from lorekeep.sources import files
 
 
 def register(registry: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -84,3 +86,50 @@ def backfill(lines: DataFrame, registry: DataFrame, *, force: bool = False, min_
     rows = rows.withColumn("outcome", outcome).drop("lk_s", "lk_h")
     fresh = register(registry, rows.where("outcome <> 'completed'"))
     return rows, end(fresh, rows.where("outcome = 'processed'").select("session_id", "transcript_hash", F.col("rel_path").alias("path"))).select(*schemas.REGISTRY.names)
+
+
+class Outcomes(NamedTuple):
+    processed: int
+    skipped: int
+    failed: int
+
+
+def finalize(store: Store, lines: DataFrame, sessions: DataFrame, root: str, folder: str = "", now: datetime | None = None, auto_index: bool = True) -> int:
+    """Writes the notes of sessions (session_id, cwd) below root, a section to the note of one that has a note, then the registry, and indexes the notes; how many sessions.
+
+    The notes come first and the registry in one commit after them, so a run that breaks off is made good by the next.
+    """
+    spark, now = store.spark, now or datetime.now(timezone.utc)
+    made = store.scratch(notes_of(lines, sessions, folder, now), "finalized")
+    registry = store.table("registry", schemas.REGISTRY)
+    rows = made.join(registry.where("markdown_path <> ''").select("session_id", "markdown_path"), "session_id", "left")
+    rows = store.scratch(rows, "finalized")
+    files.write_notes(rows.where("markdown_path is null").select("rel_path", "body"), root)
+    files.write_notes(rows.where("markdown_path is not null").select(F.col("markdown_path").alias("rel_path"), F.col("section").alias("body")), root, append=True)
+    ended = rows.select("session_id", "transcript_hash", F.coalesce("markdown_path", "rel_path").alias("path"))
+
+    def make(at: Snapshot) -> Changes:
+        fresh = register(at.table("registry", schemas.REGISTRY), rows)
+        return Changes(replace={"registry": end(fresh, ended).select(*schemas.REGISTRY.names)})
+
+    store.transact(make)
+    if auto_index:
+        incremental.index_notes(store, files.vault(spark, [root]))
+    return rows.count()
+
+
+def backfill_into(store: Store, lines: DataFrame, root: str, *, dry_run: bool = False, force: bool = False, min_messages: int = 3, folder: str = "", now: datetime | None = None) -> Outcomes:
+    """backfill() and finalize() of what it finds; a dry run counts alone. Filtered sessions are registered as active; all sessions fail together or none."""
+    now = now or datetime.now(timezone.utc)
+    outcomes = store.scratch(backfill(lines, store.table("registry", schemas.REGISTRY), force=force, min_messages=min_messages, folder=folder, now=now)[0].select("session_id", "cwd", "started_at", "outcome"), "outcomes")
+    n = {r.outcome: r["count"] for r in outcomes.groupBy("outcome").count().collect()}
+    done = Outcomes(n.get("processed", 0), sum(v for k, v in n.items() if k != "processed"), 0)
+    if dry_run:
+        return done
+    store.transact(lambda at: Changes(replace={"registry": register(at.table("registry", schemas.REGISTRY), outcomes.where("outcome <> 'completed'"))}))
+    try:
+        if done.processed:
+            finalize(store, lines, outcomes.where("outcome = 'processed'").select("session_id", "cwd"), root, folder, now)
+    except Exception:  # as for a single session, what fails is counted
+        return Outcomes(0, done.skipped, done.processed)
+    return done

@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import shutil
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path, PurePath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -164,23 +167,48 @@ class RepoSource(_Source):
         return _Reader(self._roots(), check)
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    """A task's folder of bodies and the paths they are for."""
+
+    folder: str
+    paths: list[str]
+
+
 class _NoteWriter(DataSourceWriter):
+    """Tasks write bodies into folders of their own; only what the commit is given becomes notes, so a task that runs twice counts once. The root must be a folder that driver and executors share."""
+
     def __init__(self, root: str, append: bool):
         self.root, self.append = root, append
 
     def write(self, rows):
+        folder, paths = Path(self.root, f".lk-{uuid.uuid4().hex}"), []
+        folder.mkdir(parents=True)
         for r in rows:
-            path = Path(self.root, r.rel_path)
-            path.parent.mkdir(parents=True, exist_ok=True)
-            before = path.read_text("utf-8") if self.append and path.exists() else ""
-            temp = path.with_name(path.name + ".tmp")
-            temp.write_text(before + r.body, "utf-8")
-            temp.rename(path)
-        return WriterCommitMessage()
+            Path(folder, str(len(paths))).write_text(r.body, "utf-8")
+            paths.append(r.rel_path)
+        return _Written(str(folder), paths)
+
+    def commit(self, messages):
+        for m in messages:
+            if m is None:
+                continue
+            for k, rel in enumerate(m.paths):
+                path, body = Path(self.root, rel), Path(m.folder, str(k))
+                path.parent.mkdir(parents=True, exist_ok=True)
+                if self.append and path.exists():
+                    body.write_text(path.read_text("utf-8") + body.read_text("utf-8"), "utf-8")
+                body.replace(path)
+        self.abort(messages)
+
+    def abort(self, messages):
+        for m in messages:
+            if m is not None:
+                shutil.rmtree(m.folder, ignore_errors=True)
 
 
 class NoteSink(DataSource):
-    """Writes (rel_path, body) as files below option root, each by a temporary file and a rename; mode append adds to existing ones."""
+    """Writes (rel_path, body) as files below option root, when all tasks are done; mode append adds to existing ones."""
 
     @classmethod
     def name(cls):

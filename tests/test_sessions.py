@@ -2,7 +2,8 @@ import json
 from datetime import datetime, timezone
 
 from lorekeep import schemas
-from lorekeep.operators import sessions, transcripts
+from lorekeep.operators import fts, sessions, transcripts
+from lorekeep.operators.store import Store
 
 LINES = [
     {"type": "summary", "summary": "Draft"},
@@ -105,3 +106,21 @@ def test_backfill(spark, tmp_path):
     assert {r.session_id: r.status for r in reg.collect()} == {SID: "completed", other: "active"}
     rows, _ = sessions.backfill(ls, spark.createDataFrame(reg.collect(), schemas.REGISTRY), now=now, min_messages=0)
     assert {r.session_id: r.outcome for r in rows.collect()} == {SID: "completed", other: "processed"}
+
+
+def test_finalize_and_backfill(spark, tmp_path):
+    """Notes, registry and index in one go; a second run appends what went on; a dry run writes nothing."""
+    few = json.dumps({"type": "user", "message": {"content": "hi"}, "cwd": "/x/y"})
+    other = "22345678-1234-1234-1234-123456789012"
+    ls, s, root = lines(spark, tmp_path, [(f"{other}.jsonl", few)]), Store(spark, str(tmp_path / "st")), tmp_path / "notes"
+    now = datetime(2026, 4, 1, tzinfo=timezone.utc)
+    assert sessions.backfill_into(s, ls, str(root), dry_run=True, now=now) == (1, 1, 0) and not root.exists() and not s.exists("registry")
+    assert sessions.backfill_into(s, ls, str(root), now=now) == (1, 1, 0)
+    note = root / "2025-11-20_12345678_garden.md"
+    assert "14 beans" in note.read_text() and {r.session_id: r.status for r in s.table("registry", schemas.REGISTRY).collect()} == {SID: "completed", other: "active"}
+    t, before = s.table("notes", schemas.NOTES), note.read_text()
+    assert t.where("project = 'garden'").count() > 1 and fts.stored(s.now(), "notes").corpus.first().n == t.count()
+    assert sessions.backfill_into(s, ls, str(root), now=now) == (0, 2, 0)
+    found = sessions.discover(ls).where(f"session_id = '{SID}'")
+    assert sessions.finalize(s, ls, found, str(root), now=now) == 1
+    assert note.read_text().startswith(before) and "## Resumed (2026-04-01" in note.read_text() and not list(root.glob(".lk-*"))
