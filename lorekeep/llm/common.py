@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
+import traceback
 import uuid
 from collections import Counter
 
@@ -21,9 +24,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all run in one process."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="lorekeep-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -90,14 +95,40 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: d
 
 
 def fitted(sample: DataFrame, fit) -> bytes:
-    """What fit, given (text, label) of a bounded sample one after the other, returns: it runs in one task, so the driver holds no text."""
+    """What fit, given (text, label) of a bounded sample one after the other, returns. It runs in one task, so the driver holds no text, and there in a process of its own, whose memory ends with it."""
 
     def run(batches):
-        model = fit((t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+        rows = [(t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([_apart(fit, rows)], pa.binary())], names=["model"])
 
     rows = sample.mapInArrow(run, "model binary").collect()
-    return bytes(rows[0].model) if rows else fit(iter(()))
+    return bytes(rows[0].model) if rows else fit([])
+
+
+def _apart(f, x) -> bytes:
+    """f(x), computed by a fork of this process; an error there is raised here."""
+    out, into = os.pipe()
+    child = os.fork()
+    if not child:
+        code = 1
+        try:
+            os.close(out)
+            try:
+                data = b"+" + f(x)
+            except BaseException:
+                data = b"-" + traceback.format_exc().encode()
+            with os.fdopen(into, "wb") as w:
+                w.write(data)
+            code = 0
+        finally:
+            os._exit(code)
+    os.close(into)
+    with os.fdopen(out, "rb") as r:
+        data = r.read()
+    os.waitpid(child, 0)
+    if data[:1] != b"+":
+        raise RuntimeError(data[1:].decode() or "the fitting process ended early")
+    return data[1:]
 
 
 def counted(batches, split, kind=pa.string()):

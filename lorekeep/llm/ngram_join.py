@@ -26,7 +26,7 @@ BROADCAST_IDS, BROADCAST_GONE = 2_000_000, 500_000
 #: time, and occurrences among these from which on it reports one. They only steer how sets are dealt into parts.
 HOT_TERMS, COUNTED, REPORTED = 200_000, 4_000_000, 3
 #: Words whose hashes a task keeps.
-MEMO = 500_000
+MEMO = 250_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -172,10 +172,13 @@ def linked(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None
     size = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(size, kind="stable")
     flat = np.concatenate([sets[i] for i in order]) if n else np.zeros(0, np.uint64)
-    terms, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), size[order])
-    by = np.argsort(inverse, kind="stable")
-    lists, begin = owner[by], np.cumsum(df) - df  # a term's list: positions in order, ascending
+    by = np.argsort(flat, kind="stable")
+    lists = np.repeat(np.arange(n, dtype=np.int32), size[order])[by]  # a term's list: positions in order, ascending
+    flat = flat[by]
+    begin = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    df, inverse = np.diff(np.append(begin, len(flat))), np.empty(len(flat), np.int32)
+    inverse[by] = np.repeat(np.arange(len(df), dtype=np.int32), df)
+    del flat, by
     ends, side = np.cumsum(size[order]), None if sides is None else sides[order]
     sizes = size[order]
 
@@ -243,9 +246,13 @@ def _hot_terms(documents: DataFrame, words: int) -> np.ndarray:
         shingler, held, n = Shingler(words), [], 0
 
         def out():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
+            h = np.concatenate(held)
+            held.clear()
+            h.sort()
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            c = np.diff(np.append(first, len(h)))
             often = c >= REPORTED
-            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names=["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(h[first[often]].view(np.int64)), pa.array(c[often].astype(np.int64))], names=["h", "n"])
 
         for b in batches:
             sets = shingler.sets(b.column(0).to_pylist())
@@ -253,7 +260,7 @@ def _hot_terms(documents: DataFrame, words: int) -> np.ndarray:
             n += sum(map(len, sets))
             if n > COUNTED:
                 yield out()
-                held, n = [], 0
+                n = 0
         if held:
             yield out()
 

@@ -35,6 +35,8 @@ MORE = {
 KINDS = [*BASE, *MORE]
 #: Text before and after a candidate that is looked at.
 BEFORE, AFTER = 24, 8
+#: Spans and texts with spans that are broadcast by redact(); beyond, documents are shuffled by a hash of the text.
+BROADCAST_MARKS = 500_000
 EXAMPLES, TREES, DEPTH, RATE, LEAST_PRECISION = 900, 16, 3, 0.4, 0.97
 
 
@@ -288,6 +290,8 @@ def redact(documents: DataFrame) -> DataFrame:
     marks = chosen.groupBy("row").agg(F.first("lk_a").alias("lk_a"), F.first("lk_b").alias("lk_b"), F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias("marks"))
     marks = cut(marks.groupBy("lk_a", "lk_b").agg(F.first("marks").alias("marks")), "marks")
     drop(rows)
+    if (marks.agg(F.sum(F.size("marks") + 1)).first()[0] or 0) <= BROADCAST_MARKS:
+        marks = F.broadcast(marks)
     text, found = F.col("d.text"), F.col("m.marks")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("done"))
 

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -69,6 +70,39 @@ def test_kneser_ney_by_hand():
     assert np.allclose(again.ratios(again.ids([[b"a", b"b", b"zz"]])), m.ratios([np.array([0, 1, 3])]))
 
 
+def test_document_scores_as_brute_force():
+    """Ratio and excess of whole documents, with probabilities from dictionaries of counts."""
+    r = np.random.default_rng(6)
+    texts = [[b"w%d" % x for x in r.zipf(1.4, r.integers(1, 40)) % 30] for _ in range(160)]
+    labels = [int(x) for x in r.random(160) < 0.4]
+    vocab: dict = {}
+    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in t]) for t in texts]
+    m = toxicity.KneserNey(ids, labels, vocab)
+    count, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    for t, y in zip(texts, labels):
+        count[y].update(t)
+        pairs[y].update(set(zip([None, *t], t)))
+    follows = Counter(w for _, w in set(pairs[0]) | set(pairs[1]))
+    every = sum(follows.values()) + len(vocab) + 1
+
+    def p1(y, w):
+        total = sum(count[y].values())
+        return max(count[y][w] - toxicity.D1, 0) / total + toxicity.D1 * len(count[y]) / total * (follows[w] + 1) / every
+
+    def p2(y, v, w):
+        own = {k: c for k, c in pairs[y].items() if k[0] == v}
+        if not own:
+            return p1(y, w)
+        total = sum(own.values())
+        return max(own.get((v, w), 0) - toxicity.D2, 0) / total + sum(min(c, toxicity.D2) for c in own.values()) / total * p1(y, w)
+
+    for t in [*texts[:40], [b"w1", b"unseen", b"w2"], [b"unseen"] * 3]:  # a word of no sample has the mass of one that never follows
+        known = [w if w in vocab else b"?" for w in t]
+        before = [None, *(w if w in vocab else None for w in t)]
+        llr = [np.log(p2(1, v, w) / p2(0, v, w)) for v, w in zip(before, known)]
+        assert np.allclose(m.ratios(m.ids([t]))[0], [np.mean(llr), np.mean(np.maximum(np.array(llr) - toxicity.MARGIN, 0))], atol=1e-4)
+
+
 def test_expressions_of_ordinary_words_count():
     x, y, z = 0, 1, 2
     docs = [np.array([z, x, y, z])] * 10 + [np.array([z, y, x, z])] * 10
