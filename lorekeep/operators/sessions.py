@@ -38,6 +38,11 @@ def not_completed(sessions: DataFrame, registry: DataFrame, force: bool = False)
     return sessions if force else sessions.join(registry.where("status = 'completed'").select("session_id"), "session_id", "left_anti")
 
 
+def long_enough(spans: DataFrame, least: int) -> DataFrame:
+    """Sessions of at least so many messages; spans: with n_messages. None or less keeps all."""
+    return spans.where(F.col("n_messages") >= least) if least and least > 0 else spans
+
+
 def recent(registry: DataFrame, limit: int = 10, project: str | None = None) -> DataFrame:
     """The latest entries by started_at as text; project: within cwd, whatever its case."""
     rows = registry.where(F.lower("cwd").contains(project.lower())) if project else registry

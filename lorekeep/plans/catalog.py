@@ -302,22 +302,6 @@ def _messages(spark, d):
     return _t(spark, d, "conversations").where(F.col("role").isin("user", "assistant"))
 
 
-@query(f"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS n, role, text FROM {_MSGS}")
-def messages(spark, d):
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    return _messages(spark, d).select("conv_id", (F.row_number().over(order) - 1).alias("n"), "role", "text")
-
-
-@query(f"SELECT conv_id, count(*) AS n_messages FROM {_MSGS} GROUP BY conv_id")
-def message_counts(spark, d):
-    return _messages(spark, d).groupBy("conv_id").agg(F.count("*").alias("n_messages"))
-
-
-@query(f"SELECT conv_id, count(*) AS n_messages FROM {_MSGS} GROUP BY conv_id HAVING count(*) >= 5")
-def min_messages_filter(spark, d):
-    return message_counts(spark, d).where("n_messages >= 5")
-
-
 def _talks(spark, d):
     return markdown.conversations(_messages(spark, d), "conv_id", "turn", markdown.message(F.col("role"), F.col("text")))
 
@@ -433,6 +417,12 @@ def transcript_spans(spark, d):
     return spans.select("session_id", when("started_at"), when("ended_at"), "n_messages")
 
 
+@query(f"SELECT {_SESSION} AS session_id, count(*) AS n_messages FROM {_MSGS} GROUP BY conv_id HAVING count(*) >= 5")
+def min_messages_filter(spark, d):
+    spans = transcripts.session_spans(transcripts.messages(transcripts.parse(_lines(spark, d))))
+    return sessions.long_enough(spans, 5).select("session_id", "n_messages")
+
+
 _CONVS = f"(SELECT conv_id, {_SESSION} AS session_id, count(*) AS n FROM {_MSGS} GROUP BY conv_id HAVING max(turn) >= 2)"
 
 
