@@ -578,6 +578,31 @@ def html_chunks(spark, d):
     return chunk_sources(pages)
 
 
+#: White space as Python has it, for both engines.
+_BLANK = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _covered(files):
+    """Of each file the number of its chunks' characters that are no white space, and a hash of them in order."""
+    made = chunk_sources(files).groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda c: c["text"]), "").alias("t"))
+    bare = F.regexp_replace("t", _BLANK, "")
+    return made.select("source_file", F.length(bare).cast("long").alias("n"), F.sha2(bare, 256).alias("sha"))
+
+
+@query(f"SELECT page_id || '.html' AS source_file, CAST(length(t) AS BIGINT) AS n, sha256(t) AS sha FROM (SELECT page_id, regexp_replace(html, '{_BLANK}', '', 'g') AS t FROM pages) WHERE t <> ''")
+def html_chunk_cover(spark, d):
+    pages = _t(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("source_file"), F.lit("pages").alias("repo_name"), F.col("html").alias("content"), content_hash(F.col("html")).alias("content_hash"))
+    return _covered(pages)
+
+
+@query(f"SELECT 'f' || doc_id || (['.py', '.cs', '.ts', '.tsx', '.html', '.css'])[doc_id % 6 + 1] AS source_file, CAST(length(t) AS BIGINT) AS n, sha256(t) AS sha FROM (SELECT doc_id, regexp_replace(text, '{_BLANK}', '', 'g') AS t FROM documents) WHERE t <> ''")
+def code_chunk_cover(spark, d):
+    """All documents, taken as sources in six languages: no character is lost, whatever the parsers make of them."""
+    suffix = F.element_at(F.array(*(F.lit(x) for x in (".py", ".cs", ".ts", ".tsx", ".html", ".css"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    docs = _t(spark, d, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), suffix).alias("source_file"), F.lit("docs").alias("repo_name"), F.col("text").alias("content"), content_hash(F.col("text")).alias("content_hash"))
+    return _covered(docs)
+
+
 @query()
 def embed_hashing(spark, d):
     return _t(spark, d, "documents").select("doc_id", embed(HashingProvider(64), F.col("text")).alias("vector"))
