@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import io
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,9 @@ class Gru:
         self.p = {k: z[k] for k in cls.NAMES}
         return self
 
+    def size(self) -> int:
+        return sum(self.p[k].size for k in self.NAMES)
+
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.NAMES])
 
@@ -197,7 +201,7 @@ class Gru:
             h0 = hs[-1].copy()
             g = {k: np.zeros_like(p[k]) for k in ("C", "c", "O", "o")}
             share = (weight / max(weight.sum(), 1)).ravel()
-            _, dh_out = self.outputs(hs.reshape(-1, H), y.ravel(), g, share)
+            _, dh_out = self.outputs(hs.reshape(-1, H), y.ravel(), g, share, self.safe())
             dh_out = dh_out.reshape(T, lanes, H)
             z, r = zr[..., :H], zr[..., H:]
             by_z, by_n = (prev - n) * z * (1 - z), (1 - z) * (1 - n * n)
@@ -280,7 +284,7 @@ class Gru:
         return total
 
 
-def _train(table: DataFrame, model: Gru, n_tokens: int, share: int, rounds: int) -> None:
+def _train(table: DataFrame, model: Gru, n_tokens: int, share: int, rounds: int, id_type: str) -> None:
     """Rounds of training in tasks over the table's training rows; each starts from the mean of the last round's weights."""
     spark = table.sparkSession
     shards = max(1, n_tokens // share // SHARD_TOKENS)
@@ -288,16 +292,12 @@ def _train(table: DataFrame, model: Gru, n_tokens: int, share: int, rounds: int)
     for r in range(rounds):
         start = spark.sparkContext.broadcast(model.dump())
 
-        def train(batches, rate=RATE * (1 - 0.8 * r / share)):
-            docs, own = [np.frombuffer(x, "<u4") for b in batches for x in b.column(0).to_pylist()], Gru.load(start.value)
-            if not docs:
-                return
-            flat = np.concatenate(docs).astype(np.int32)
-            del docs
-            own.train(flat, rate)
-            x, weight = own.flat(), float(len(flat))
-            n, shard = -(-len(x) // block), TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([weight] * n), pa.array([x[i * block : (i + 1) * block].tobytes() for i in range(n)], pa.binary())], names=["shard", "block", "weight", "x"])
+        def train(shard):
+            own, number = Gru.load(start.value), shard.column("shard")[0].as_py()
+            flat = np.frombuffer(b"".join(shard.sort_by("key").column("ids").to_pylist()), id_type).astype(np.int32)
+            own.train(flat, RATE * (1 - 0.8 * r / share))
+            x, n = own.flat(), -(-own.size() // block)
+            return pa.table({"shard": pa.array([number] * n, pa.int64()), "block": pa.array(range(n), pa.int32()), "weight": [float(len(flat))] * n, "x": pa.array([x[i * block : (i + 1) * block].tobytes() for i in range(n)], pa.binary())})
 
         def mean(key, pdf):
             import pandas as pd
@@ -307,8 +307,9 @@ def _train(table: DataFrame, model: Gru, n_tokens: int, share: int, rounds: int)
             return pd.DataFrame({"shard": [key[1]], "block": [key[0]], "weight": [total], "x": [x.astype(np.float32).tobytes()]})
 
         shape = "shard long, block int, weight double, x binary"
-        some = table.where(~F.col("held_out") & (F.pmod(F.shiftright("key", 8), F.lit(share)) == r)).select("key", "ids")
-        found = made = cut(some.repartition(shards, "key").sortWithinPartitions("key").select("ids").mapInArrow(train, shape), "shards")
+        mine = ~F.col("held_out") & (F.pmod(F.shiftright("key", 8), F.lit(share)) == r)
+        some = table.where(mine).select("key", "ids", F.pmod(F.shiftright("key", 20), F.lit(shards)).alias("shard"))
+        found = made = cut(some.groupBy("shard").applyInArrow(train, shape), "shards")
         n = (made.agg(F.max("shard")).first()[0] or 0) + 1
         while n > 1:
             group = F.floor(F.col("shard") / FAN_IN).alias("up")
@@ -346,34 +347,37 @@ def score(documents: DataFrame, kept: int = KEPT, hot_words: int = HOT_WORDS, sh
     counts = np.concatenate([[ends + 1, rare_total], top + 1]).astype(np.float64)
     known = spark.sparkContext.broadcast((hot.column("word"), hot.column("n").to_numpy()))
     del hot
-    log_z, log_rare = np.log10(N + V + 1.0), np.log10(float(rare_total))
+    log_z, log_rare, id_type = np.log10(N + V + 1.0), np.log10(float(rare_total)), "<u2" if n_top < 60_000 else "<u4"
     kind = dict(documents.dtypes)["doc_id"]
 
     def tell(batches):
         ws, n = known.value[0].to_pylist(), known.value[1]
-        index, log_n = dict(zip(ws, range(2, len(ws) + 2))), np.concatenate([[np.log10(ends + 1.0), 0.0], np.log10(n + 1.0)])
+        get, log_n = dict(zip(ws, range(2, len(ws) + 2))).get, np.concatenate([[np.log10(ends + 1.0), 0.0], np.log10(n + 1.0)])
         serial = TaskContext.get().partitionId() << 36
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for t in b.column(3).to_pylist():
-                ws = tokens(t)
-                x = np.fromiter([index.get(w, 1) for w in ws], np.int32, len(ws))
-                others = [ws[i] for i in np.flatnonzero(x == 1)]
-                rare = x > n_top + 1
-                base, shared = log_n[x].sum() + log_n[0] - log_z * (len(ws) + 1), log_n[x[rare]].sum() - log_rare * (rare.sum() + len(others))
-                x[rare] = 1
-                for c, v in zip(cols, (serial, len(ws) + 1, len(ws) - len(others) + (ends > 0), base, shared, others, np.append(x, np.int32(0)).astype("<u4").tobytes())):
-                    c.append(v)
-                serial += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.binary())
-            made = [pa.array(c, k) for c, k in zip(cols, kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *made], names=["doc_id", "held_out", "key", "row", "n_tokens", "n_known", "base", "shared", "others", "ids"])
+            docs = [tokens(t) for t in b.column(3).to_pylist()]
+            sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+            flat = list(chain.from_iterable(docs))
+            x, owner = np.fromiter(map(get, flat, repeat(1)), np.int32, len(flat)), np.repeat(np.arange(len(docs)), sizes)
+            total = lambda v: np.bincount(owner, v, len(docs))  # noqa: E731, B023
+            other, rare, weight = x == 1, x > n_top + 1, log_n[x]
+            n_other, place = total(other).astype(np.int64), np.concatenate([[0], np.cumsum(sizes + 1)])
+            base = total(weight) + log_n[0] - log_z * (sizes + 1)
+            shared = total(np.where(rare, weight, 0.0)) - log_rare * (total(rare) + n_other)
+            x[rare] = 1
+            ids = np.zeros(place[-1], id_type)  # each document ends with 0
+            ids[np.arange(len(flat)) + owner] = x
+            others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_other)]).astype(np.int32)), pa.array([flat[i] for i in np.flatnonzero(other).tolist()], pa.binary()))
+            packed = pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer((place * ids.itemsize).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+            made = [pa.array(c) for c in (serial + np.arange(len(docs)), sizes + 1, sizes - n_other + (ends > 0), base, shared)]
+            serial += len(docs)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *made, others, packed], names=["doc_id", "held_out", "key", "row", "n_tokens", "n_known", "base", "shared", "others", "ids"])
 
     key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("key")
     rows = documents.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), key, "text")
     table = cut(rows.mapInArrow(tell, f"doc_id {kind}, held_out boolean, key long, row long, n_tokens long, n_known long, base double, shared double, others array<binary>, ids binary"), "lm-ids")
     model = Gru(counts, np.random.default_rng(seed))
-    _train(table, model, N, share, share if rounds is None else rounds)
+    _train(table, model, N, share, share if rounds is None else rounds, id_type)
     sent = spark.sparkContext.broadcast(model.dump())
 
     def run(batches):
@@ -386,7 +390,7 @@ def score(documents: DataFrame, kept: int = KEPT, hot_words: int = HOT_WORDS, sh
                 at += b.num_rows
 
         for b in batches:
-            ids += [np.frombuffer(x, "<u4").astype(np.uint16 if n_top < 60_000 else np.uint32) for x in b.column(1).to_pylist()]
+            ids += [np.frombuffer(x, id_type) for x in b.column(1).to_pylist()]
             held.append(b.select([0]))
             n += sum(map(len, ids[-b.num_rows :])) if b.num_rows else 0
             if n > BUFFER:

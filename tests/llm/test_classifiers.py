@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lorekeep.llm import quality, toxicity
+from lorekeep.llm import common, quality, toxicity
 
 
 def corpus(spark, seed=0, n=500, mark="idiot"):
@@ -134,3 +134,9 @@ def test_scores_are_means_over_whole_texts():
         h = np.concatenate([h, np.full(quality.SAME * sum(a == b for a, b in zip(ws, ws[1:])), quality.BUCKETS)]).astype(int)
         z = (m.weights[h].mean() if len(h) else 0.0) + 0.3
         assert np.isclose(s, 1 / (1 + np.exp(-z)), atol=1e-5)
+
+
+def test_fitting_apart():
+    assert common._apart(lambda x: x * 100_000, b"ab") == b"ab" * 100_000
+    with pytest.raises(RuntimeError, match="ZeroDivisionError"):
+        common._apart(lambda x: x // 0, 1)
