@@ -19,7 +19,6 @@ import json
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -28,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lorekeep.llm.common import settled, small_batches
+from lorekeep.llm.common import settled, small_batches, trim, trimmed
 
 #: Characters and parts of texts that are split at a time, words and distinct words of a block, about.
-SLICE_CHARS, SLICE_PARTS, BLOCK_WORDS, BLOCK_DISTINCT = 1 << 19, 1 << 14, 3_000_000, 400_000
+SLICE_CHARS, SLICE_PARTS, BLOCK_WORDS, BLOCK_DISTINCT = 1 << 19, 1 << 14, 1_500_000, 250_000
 #: Buckets of distinct words for each shuffle partition, and words of which a bucket keeps the ids.
-BUCKETS, KEPT_WORDS = 8, 500_000
+BUCKETS, KEPT_WORDS = 8, 200_000
 #: The characters of the property White_Space.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -102,9 +101,7 @@ def numbered(parts: list[tuple[str, bool]]) -> tuple[list[str], np.ndarray, np.n
     x ^= x >> np.uint64(31)
     x *= M3
     x ^= x >> np.uint64(29)
-    codes, uniq = pd.factorize(np.add.reduceat(x, starts))
-    at = np.empty(len(uniq), np.int64)
-    at[codes[::-1]] = np.arange(len(codes))[::-1]
+    _, at, codes = np.unique(np.add.reduceat(x, starts), return_index=True, return_inverse=True)
     words = [text[s:e] for s, e in zip(starts[at].tolist(), stops[at].tolist())]
     if "".join([words[i] for i in codes.tolist()]) != text:  # words of one hash
         known: dict[str, int] = {}
@@ -217,7 +214,9 @@ def _rows(blocks: Blocks, batches, names: list[str], kinds: list):
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             for rows in blocks.add(key, text):
                 yield from out(rows)
+                trim()
     yield from out(blocks.close())
+    trim()
 
 
 def _encoded_words(spec: str, batches):
@@ -347,11 +346,11 @@ def _encoded(documents: DataFrame, path: str, digests: bool) -> DataFrame:
         return _rows(Blocks(voc.value, TaskContext.get().partitionId() << 32), batches, ["block", "rank", "mark", "keys", "sizes", "open", "data"], kinds)
 
     def encoded(batches):
-        return _encoded_words(voc.value.spec, batches)
+        return trimmed(_encoded_words(voc.value.spec, batches))
 
     def finish(batches):
         names, kinds = (["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [key_type, pa.int64(), pa.string(), pa.string()]) if digests else (["doc_id", "ids", "decoded"], [key_type, pa.binary(), pa.binary()])
-        return _documents(voc.value, digests, batches, names, kinds)
+        return trimmed(_documents(voc.value, digests, batches, names, kinds))
 
     table = rows.mapInArrow(words, "bucket int, block long, mark long, slots binary, words binary").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(encoded, "block long, mark long, slots binary, data binary")
     places = rows.mapInArrow(numbers, f"block long, rank int, mark long, keys array<{kind}>, sizes array<long>, open boolean, data binary")

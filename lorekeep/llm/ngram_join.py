@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import cut, drop, hot_bound, small_batches
+from lorekeep.llm.common import cut, drop, hot_bound, small_batches, trimmed
 from lorekeep.llm.graph import components
 
 #: A piece of a large candidate component has about so many sets and shingles.
@@ -264,7 +264,7 @@ def _hot_terms(documents: DataFrame, words: int) -> np.ndarray:
         if held:
             yield out()
 
-    table = cut(documents.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * REPORTED), "frequent")
+    table = cut(documents.where(F.col("text").isNotNull()).select("text").mapInArrow(lambda batches: trimmed(run(batches)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * REPORTED), "frequent")
     found = table.where(F.col("n") >= hot_bound(table, HOT_TERMS)[0]).select("h").toArrow()
     drop(table)
     return np.sort(np.array(found.column(0).to_pylist(), np.int64).view(np.uint64))
@@ -291,7 +291,7 @@ def _sets_table(documents: DataFrame, words: int, percent: int, hot: np.ndarray
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "alike", "n", "node", "key", "sigs"])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return cut(documents.select("doc_id", _alike(), "text").mapInArrow(run, f"doc_id {kind}, alike long, n long, node binary, key long, sigs binary"), "sets")
+    return cut(documents.select("doc_id", _alike(), "text").mapInArrow(lambda batches: trimmed(run(batches)), f"doc_id {kind}, alike long, n long, node binary, key long, sigs binary"), "sets")
 
 
 def _alike():
@@ -329,9 +329,9 @@ def _candidates(sets: DataFrame) -> DataFrame:
             if len(seen) > 1_000_000:
                 seen = set()
 
-    rows = sets.where("sigs is not null").select("key", "sigs").mapInArrow(spread, "sig long, key long")
+    rows = sets.where("sigs is not null").select("key", "sigs").mapInArrow(lambda batches: trimmed(spread(batches)), "sig long, key long")
     n = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return rows.repartition(n, "sig").sortWithinPartitions("sig", "key").mapInArrow(edges, "a long, b long")
+    return rows.repartition(n, "sig").sortWithinPartitions("sig", "key").mapInArrow(lambda batches: trimmed(edges(batches)), "a long, b long")
 
 
 def _exact(documents: DataFrame, sets: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
@@ -359,7 +359,7 @@ def _exact(documents: DataFrame, sets: DataFrame, candidates: DataFrame, words:
             yield pa.RecordBatch.from_arrays([b.column(1).filter(keep), b.column(2).filter(keep), b.column(3).filter(keep), pa.array([h.tobytes() for h, o in zip(hs, ok) if o], pa.binary())], names=["node", "root", "k", "h"])
 
     docs = documents.select("doc_id", _alike(), "text").where("text is not null")
-    full = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("alike") == F.col("same"))).select("text", "want", "root", "k").mapInArrow(texts, "node binary, root long, k int, h binary")
+    full = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("alike") == F.col("same"))).select("text", "want", "root", "k").mapInArrow(lambda batches: trimmed(texts(batches)), "node binary, root long, k int, h binary")
     piece = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     other = F.explode(F.expr("sequence(0, k - 1)"))
     dealt = full.withColumn("p", piece).withColumn("o", other).select("root", "k", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "node", "h")
@@ -393,7 +393,7 @@ def _exact(documents: DataFrame, sets: DataFrame, candidates: DataFrame, words:
             yield out(rows)
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return dealt.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(join, "a binary, b binary")
+    return dealt.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(lambda batches: trimmed(join(batches)), "a binary, b binary")
 
 
 def _groups(documents: DataFrame, words: int, percent: int, frequent: bool) -> tuple[DataFrame, list[DataFrame]]:

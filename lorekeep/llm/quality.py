@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lorekeep.llm.common import crc_mod, fitted, labelled_sample, small_batches
+from lorekeep.llm.common import crc_mod, fitted, labelled_sample, small_batches, trimmed
 
 #: Labelled rows of each label that are learnt from, at most.
 ROWS_EACH = 2500
@@ -22,7 +22,7 @@ SIZES = (2, 3, 4)
 #: A word that equals the one before it also counts as so many features of one more vector, which learns repetition.
 SAME = 8
 #: Words whose summed features a worker keeps.
-MEMO = 400_000
+MEMO = 250_000
 
 
 def features(ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,4 +169,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality", r
         for b in batches:
             yield b.filter(pa.array(own.scores(b.column(at).to_pylist()) >= threshold, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lambda batches: trimmed(run(batches)), documents.schema)
