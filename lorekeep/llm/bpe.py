@@ -31,9 +31,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lorekeep.llm.common import settled, small_batches, trim, trimmed
 
 #: Characters and parts of texts that are split at a time, words and distinct words of a block, about.
-SLICE_CHARS, SLICE_PARTS, BLOCK_WORDS, BLOCK_DISTINCT = 1 << 18, 1 << 13, 800_000, 130_000
+SLICE_CHARS, SLICE_PARTS, BLOCK_WORDS, BLOCK_DISTINCT = 1 << 18, 1 << 13, 1_500_000, 250_000
 #: Buckets of distinct words for each shuffle partition, and words of which a bucket keeps the ids.
-BUCKETS, KEPT_WORDS = 8, 50_000
+BUCKETS, KEPT_WORDS = 4, 100_000
 #: The characters of the property White_Space.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
