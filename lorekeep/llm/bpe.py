@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lorekeep.llm.common import settled, small_batches, trim, trimmed
 
 #: Characters and parts of texts that are split at a time, words and distinct words of a block, about.
-SLICE_CHARS, SLICE_PARTS, BLOCK_WORDS, BLOCK_DISTINCT = 1 << 18, 1 << 13, 1_500_000, 250_000
+SLICE_CHARS, SLICE_PARTS, BLOCK_WORDS, BLOCK_DISTINCT = 1 << 18, 1 << 13, 2_000_000, 300_000
 #: Buckets of distinct words for each shuffle partition, and words of which a bucket keeps the ids.
 BUCKETS, KEPT_WORDS = 4, 100_000
 #: The characters of the property White_Space.
@@ -127,7 +127,7 @@ class Blocks:
         """serial: of the first block; buckets: of words, or None for rows of documents."""
         self.cuts = re.compile("(" + "|".join(map(re.escape, vocabulary.added)) + ")") if vocabulary.added else None
         self.added, self.serial, self.buckets = vocabulary.added, serial, buckets
-        self.pack = zstandard.ZstdCompressor(level=1).compress
+        self.pack = zstandard.ZstdCompressor(level=6).compress
         self.keys, self.owner, self.parts, self.chars = [], [], [], 0
         self.clear()
 
@@ -224,7 +224,7 @@ def _rows(blocks: Blocks, batches, names: list[str], kinds: list):
 def _encoded_words(spec: str, batches):
     """The ids of the words of rows (bucket, block, mark, slots, words), sorted by bucket; within a bucket each word is encoded once."""
     own, known, now = encoder(spec), {}, None
-    pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+    pack, unpack = zstandard.ZstdCompressor(level=6).compress, zstandard.ZstdDecompressor().decompress
     for b in batches:
         out = []
         for bucket, block, mark, slots, words in zip(*(c.to_pylist() for c in b.columns)):
