@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 300_000
+#: Whether Spark deletes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and returns the table: lineage ends there, and a lost executor costs nothing."""
+def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and returns the table: lineage ends there, and a lost executor costs nothing.
+
+    free: what the writing shuffled is deleted at its end, not when the driver's memory is next collected.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    if free:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lorekeep_path = path
     return out

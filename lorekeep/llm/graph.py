@@ -28,13 +28,13 @@ def components(edges: DataFrame) -> DataFrame:
     Null ends and loops are left out. A hub's edges only meet in sums that are combined before the shuffle and in joins
     that are salted.
     """
-    now = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", free=True)
     state = None
     while True:
         r = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (r.n, r.h) == state or not r.n:
             break
         state, before = (r.n, r.h), now
-        now = cut(_stars(before), "edges")
+        now = cut(_stars(before), "edges", free=True)
         drop(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

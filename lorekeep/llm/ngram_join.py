@@ -2,17 +2,21 @@
 
 Documents with one set of shingles are one class. A class's set is dealt into parts by hash, more parts than two
 linked sets can have differing elements; so linked sets agree on a part, and classes that share a part's hash are
-candidates. Components of candidates meet in a task (large ones in pairs of pieces), where inverted lists are
-searched: a set's short lists are merged, its longest ones probed, and sets that occur often enough are linked.
-Nothing is dropped: the parts find every linked pair, the search is exact up to collisions of 64-bit hashes.
+candidates. Components too large for a task are split by prefixes: of two linked sets, the rarest common shingle is
+among the rarest fifth (or what the threshold leaves) of both. Components of candidates meet in a task (those still
+large in pairs of pieces), where inverted lists are searched: a set's short lists are merged, its longest ones probed,
+and sets that occur often enough are linked. Nothing is dropped: parts and prefixes find every linked pair, the search
+is exact up to collisions of 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import cut, drop, hot_bound, small_batches, trimmed
@@ -25,6 +29,8 @@ BROADCAST_IDS, BROADCAST_GONE = 2_000_000, 500_000
 #: Frequent shingles, of which a fixed number share one part, and how a task finds them: shingles that it counts at a
 #: time, and occurrences among these from which on it reports one. They only steer how sets are dealt into parts.
 HOT_TERMS, COUNTED, REPORTED = 200_000, 4_000_000, 3
+#: Signatures are shuffled in rounds of about so many, in so many rounds at most: each deletes its files before the next.
+ROUND, ROUNDS = 12_000_000, 6
 #: Words whose hashes a task keeps.
 MEMO = 250_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -264,7 +270,7 @@ def _hot_terms(documents: DataFrame, words: int) -> np.ndarray:
         if held:
             yield out()
 
-    table = cut(documents.where(F.col("text").isNotNull()).select("text").mapInArrow(lambda batches: trimmed(run(batches)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * REPORTED), "frequent")
+    table = cut(documents.where(F.col("text").isNotNull()).select("text").mapInArrow(lambda batches: trimmed(run(batches)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * REPORTED), "frequent", free=True)
     found = table.where(F.col("n") >= hot_bound(table, HOT_TERMS)[0]).select("h").toArrow()
     drop(table)
     return np.sort(np.array(found.column(0).to_pylist(), np.int64).view(np.uint64))
@@ -299,16 +305,8 @@ def _alike():
     return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("alike")
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """a, b: for each hash of a part, edges from the least class that has it to the others; repeated edges meet once a task."""
-
-    def spread(batches):
-        for b in batches:
-            keys = np.array(b.column(0).to_pylist(), np.int64)
-            parts = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
-            sig = np.concatenate([np.zeros(0, np.int64), *parts])
-            for k in range(0, len(sig), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[k : k + (1 << 16)]), pa.array(np.repeat(keys, [len(p) for p in parts])[k : k + (1 << 16)])], names=["sig", "key"])
+def _heads(rows: DataFrame) -> DataFrame:
+    """a, b: for each sig of rows (sig, key), edges from the least key that has it to the others; repeated edges meet once a task."""
 
     def edges(batches):
         last, head, seen = None, None, set()
@@ -329,23 +327,39 @@ def _candidates(sets: DataFrame) -> DataFrame:
             if len(seen) > 1_000_000:
                 seen = set()
 
-    rows = sets.where("sigs is not null").select("key", "sigs").mapInArrow(lambda batches: trimmed(spread(batches)), "sig long, key long")
-    n = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return rows.repartition(n, "sig").sortWithinPartitions("sig", "key").mapInArrow(lambda batches: trimmed(edges(batches)), "a long, b long")
 
 
-def _exact(documents: DataFrame, sets: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b (128-bit classes): links that join all classes which links join within each task's piece."""
-    spark = documents.sparkSession
-    # a row of each class: one with an id, if there is any
-    who = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "alike")).alias("who")
-    chosen = sets.where("node is not null").join(candidates.withColumnRenamed("node", "key"), "key").groupBy("node").agg(who, F.first("root").alias("root"), F.first("n").alias("n"))
-    chosen = cut(chosen.select("node", F.col("who.doc_id").alias("id"), F.col("who.alike").alias("alike"), "root", "n"), "chosen")
-    totals = chosen.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
+def _candidates(sets: DataFrame) -> list[DataFrame]:
+    """Tables of a, b: for each hash of a part, edges from the least class that has it to the others; each table has the hashes of a round."""
+    total = sets.agg(F.sum(F.length("sigs"))).first()[0] or 0
+    rounds = int(min(max(-(-total // (8 * ROUND)), 1), ROUNDS))
+
+    def spread(batches, this):
+        for b in batches:
+            keys = np.array(b.column(0).to_pylist(), np.int64)
+            parts = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            sig = np.concatenate([np.zeros(0, np.int64), *parts])
+            key = np.repeat(keys, [len(p) for p in parts])
+            if rounds > 1:
+                mine = (sig.view(np.uint64) >> np.uint64(32)) % np.uint64(rounds) == this
+                sig, key = sig[mine], key[mine]
+            for k in range(0, len(sig), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(sig[k : k + (1 << 16)]), pa.array(key[k : k + (1 << 16)])], names=["sig", "key"])
+
+    given = sets.where("sigs is not null").select("key", "sigs")
+    return [cut(_heads(given.mapInArrow(lambda batches, this=this: trimmed(spread(batches, this)), "sig long, key long")), "candidates", free=True) for this in range(rounds)]
+
+
+def _sized(chosen: DataFrame) -> DataFrame:
+    """root and k, the pieces it takes, of each root that two or more classes have."""
     pieces = F.greatest(F.ceil(F.col("m") / PIECE_SETS), F.ceil(F.col("total") / PIECE_SHINGLES)).cast("int")
-    plan = chosen.join(totals.select("root", pieces.alias("k")), "root")
-    few = chosen.count() <= BROADCAST_IDS
-    ids = plan.select("id", F.col("alike").alias("same"), F.col("node").alias("want"), "root", "k")
+    return chosen.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1").select("root", pieces.alias("k"))
+
+
+def _texts(documents: DataFrame, plan: DataFrame, few: bool, words: int) -> DataFrame:
+    """node, root, k and h, the set's shingles, of each class of plan."""
 
     def texts(batches):
         shingler, seen = Shingler(words), set()
@@ -358,8 +372,62 @@ def _exact(documents: DataFrame, sets: DataFrame, candidates: DataFrame, words:
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(1).filter(keep), b.column(2).filter(keep), b.column(3).filter(keep), pa.array([h.tobytes() for h, o in zip(hs, ok) if o], pa.binary())], names=["node", "root", "k", "h"])
 
+    ids = plan.select("id", F.col("alike").alias("same"), F.col("node").alias("want"), "root", "k")
     docs = documents.select("doc_id", _alike(), "text").where("text is not null")
-    full = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("alike") == F.col("same"))).select("text", "want", "root", "k").mapInArrow(lambda batches: trimmed(texts(batches)), "node binary, root long, k int, h binary")
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("alike") == F.col("same"))).select("text", "want", "root", "k").mapInArrow(lambda batches: trimmed(texts(batches)), "node binary, root long, k int, h binary")
+
+
+def _split(full: DataFrame, percent: int) -> DataFrame:
+    """node (key of a class), root: the components of full's classes that are left when only classes meet that share a shingle of both prefixes.
+
+    A set's prefix has the n - ceil(n * percent / 100) + 1 shingles that the fewest sets of its component have. Two
+    linked sets have at least n * percent / 100 elements in common, so their rarest common one is in both prefixes.
+    Shingles of one set alone meet nothing; sizes in bands keep sets apart that can't link. Classes without an edge link
+    with none.
+    """
+
+    def terms(batches):
+        for b in batches:
+            for node, root, h in zip(*(b.column(c).to_pylist() for c in ("node", "root", "h"))):
+                term = mixed(np.frombuffer(h, np.uint64) ^ np.uint64(root * int(M1) % (1 << 64))).view(np.int64)
+                key = int.from_bytes(node[:8], "little", signed=True)
+                for k in range(0, len(term), 1 << 16):
+                    some = term[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), key)), pa.array(np.full(len(some), len(term), np.int32))], names=["term", "key", "n"])
+
+    bands = Bands(percent, 1 << 40)
+
+    def banded(batches):
+        for b in batches:
+            term, size = b.column(0).to_numpy().view(np.uint64), b.column(2).to_numpy()
+            band = (np.searchsorted(bands.low, size, "right") - 1).astype(np.uint64)
+            for up in (0, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(mixed(term ^ (band + np.uint64(up)) * M2).view(np.int64)), b.column(1)], names=["sig", "key"])
+
+    one_term, one_set = Window.partitionBy("term"), Window.partitionBy("key")
+    shared = full.select("node", "root", "h").mapInArrow(lambda batches: trimmed(terms(batches)), "term long, key long, n int").withColumn("df", F.count("*").over(one_term)).where("df > 1")
+    ranked = shared.withColumn("common", F.count("*").over(one_set)).withColumn("rank", F.row_number().over(one_set.orderBy("df", "term")))
+    prefix = ranked.where(F.expr(f"rank + (n - common) <= n - (n * {percent}L + 99) div 100 + 1")).select("term", "key", "n")
+    edges = cut(_heads(prefix.mapInArrow(lambda batches: trimmed(banded(batches)), "sig long, key long")), "prefixes", free=True)
+    out = components(edges)
+    drop(edges)
+    return out
+
+
+def _exact(documents: DataFrame, sets: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b (128-bit classes): links that join all classes which links join within each task's piece."""
+    spark = documents.sparkSession
+    # a row of each class: one with an id, if there is any
+    who = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "alike")).alias("who")
+    chosen = sets.where("node is not null").join(candidates.withColumnRenamed("node", "key"), "key").groupBy("node").agg(who, F.first("root").alias("root"), F.first("n").alias("n"), F.first("key").alias("key"))
+    chosen = cut(chosen.select("node", F.col("who.doc_id").alias("id"), F.col("who.alike").alias("alike"), "root", "n", "key"), "chosen", free=True)
+    few = chosen.count() <= BROADCAST_IDS
+    large = _sized(chosen).where("k > 1")
+    if large.limit(1).count():
+        closer = _split(_texts(documents, chosen.join(large, "root"), few, words), percent)
+        rest = chosen.join(large, "root", "left_anti")
+        chosen = cut(rest.unionByName(chosen.join(large, "root", "left_semi").drop("root").join(closer.withColumnRenamed("node", "key"), "key")), "chosen", free=True)
+    full = _texts(documents, chosen.join(_sized(chosen), "root"), few, words)
     piece = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     other = F.explode(F.expr("sequence(0, k - 1)"))
     dealt = full.withColumn("p", piece).withColumn("o", other).select("root", "k", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "node", "h")
@@ -401,11 +469,14 @@ def _groups(documents: DataFrame, words: int, percent: int, frequent: bool) -> t
     small_batches(documents.sparkSession)
     hot = _hot_terms(documents, words) if frequent else None
     sets = _sets_table(documents, words, percent, hot)
-    roots = components(_candidates(sets))
+    edges = _candidates(sets)
+    roots = components(reduce(DataFrame.unionByName, edges))
+    whole, sets = sets, cut(sets.drop("sigs"), "sets")
+    drop(whole, *edges)
     links = components(_exact(documents, sets, roots, words, percent))
     classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"))
     joined = classes.join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = cut(joined.join(joined.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id"), "classes")
+    least = cut(joined.join(joined.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id"), "classes", free=True)
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "node").join(least, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out, [sets, least]
 
@@ -428,7 +499,7 @@ def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> Data
     The ids that go are broadcast up to BROADCAST_GONE; beyond, documents are shuffled by id.
     """
     found, tables = _groups(documents, words, percent, True)
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone", free=True)
     drop(*tables)
     hint = F.broadcast if gone.count() <= BROADCAST_GONE else lambda df: df
     return documents.alias("d").join(hint(gone).alias("g"), F.col("d.doc_id") == F.col("g.doc_id"), "left_anti")

@@ -91,3 +91,28 @@ def test_linked_sets_share_a_signature():
             if len(b) and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
                 for h in (None, hot):
                     assert len(np.intersect1d(N.signatures(a, bands, h), N.signatures(b, bands, h)))
+
+
+def test_large_components_are_split_and_shuffles_deleted(spark, monkeypatch):
+    """Documents with a passage in common are candidates of each other: only those that may link meet again, and no shuffled data of a step is left after it."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager
+
+    def shuffled():
+        found = files().getAllFiles()
+        return sum(f.length() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_"))
+
+    monkeypatch.setattr(N, "PIECE_SETS", 20)
+    monkeypatch.setattr(N, "ROUND", 1000, raising=False)
+    tables, cut = [], N.cut
+    monkeypatch.setattr(N, "cut", lambda df, name, **more: tables.append((name, cut(df, name, **more))) or tables[-1][1])
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"o{i}-{j}" for j in range(20))) for i in range(120)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 120, 10)] + [(2000 + i, rows[i][1] + " more and more") for i in range(0, 120, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = shuffled()
+    got = sorted(tuple(r) for r in N.groups(df).collect())
+    left = shuffled() - before
+    assert got == brute(rows, 5, 80) and len({r[2] for r in got}) == 120
+    sizes = [t.groupBy("root").count().toPandas()["count"].max() for name, t in tables if name == "chosen"]
+    assert sizes[0] > 100 and sizes[-1] == 3
+    assert sum(name == "candidates" for name, _ in tables) == N.ROUNDS and left < 100_000, left
