@@ -30,7 +30,7 @@ BROADCAST_IDS, BROADCAST_GONE = 2_000_000, 500_000
 #: time, and occurrences among these from which on it reports one. They only steer how sets are dealt into parts.
 HOT_TERMS, COUNTED, REPORTED = 200_000, 4_000_000, 3
 #: Signatures are shuffled in rounds of about so many, in so many rounds at most: each deletes its files before the next.
-ROUND, ROUNDS = 12_000_000, 6
+ROUND, ROUNDS = 24_000_000, 6
 #: Words whose hashes a task keeps.
 MEMO = 250_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -305,8 +305,8 @@ def _alike():
     return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("alike")
 
 
-def _heads(rows: DataFrame) -> DataFrame:
-    """a, b: for each sig of rows (sig, key), edges from the least key that has it to the others; repeated edges meet once a task."""
+def _heads(rows: DataFrame, rounds: int = 1) -> DataFrame:
+    """a, b: for each sig of rows (sig, key), edges from the least key that has it to the others; repeated edges meet once a task. One of so many rounds takes fewer tasks, so that what they send packs as well."""
 
     def edges(batches):
         last, head, seen = None, None, set()
@@ -328,6 +328,7 @@ def _heads(rows: DataFrame) -> DataFrame:
                 seen = set()
 
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = max(-(-n // rounds), min(n, 24))
     return rows.repartition(n, "sig").sortWithinPartitions("sig", "key").mapInArrow(lambda batches: trimmed(edges(batches)), "a long, b long")
 
 
@@ -349,7 +350,7 @@ def _candidates(sets: DataFrame) -> list[DataFrame]:
                 yield pa.RecordBatch.from_arrays([pa.array(sig[k : k + (1 << 16)]), pa.array(key[k : k + (1 << 16)])], names=["sig", "key"])
 
     given = sets.where("sigs is not null").select("key", "sigs")
-    return [cut(_heads(given.mapInArrow(lambda batches, this=this: trimmed(spread(batches, this)), "sig long, key long")), "candidates", free=True) for this in range(rounds)]
+    return [cut(_heads(given.mapInArrow(lambda batches, this=this: trimmed(spread(batches, this)), "sig long, key long"), rounds), "candidates", free=True) for this in range(rounds)]
 
 
 def _sized(chosen: DataFrame) -> DataFrame:
