@@ -8,7 +8,6 @@ import re
 import tempfile
 import traceback
 import uuid
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +15,6 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: bound a Python worker's memory where texts are very long.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
-#: Distinct words that a task counts before it hands them on.
-FLUSH = 300_000
 #: Whether Spark deletes an execution's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -156,23 +153,6 @@ def _apart(f, x) -> bytes:
     return data[1:]
 
 
-def counted(batches, split, kind=pa.string()):
-    """(word, n) of the words of texts; a word may come several times."""
-    seen: Counter = Counter()
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), kind), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            seen.update(split(t))
-        if len(seen) > FLUSH:
-            yield out()
-            seen.clear()
-    if seen:
-        yield out()
-
-
 def hot_bound(table: DataFrame, most: int) -> tuple[int, bool]:
     """The least count from which on there are at most so many words, and whether rarer words exist."""
     steps = table.groupBy(F.floor(F.log2("n") * 16).cast("int").alias("s")).agg(F.count("*").alias("c"), F.min("n").alias("least")).collect()

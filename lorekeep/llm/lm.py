@@ -14,15 +14,15 @@ from __future__ import annotations
 
 import heapq
 import io
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import counted, crc_mod, cut, drop, hot_bound, small_batches
+from lorekeep.llm.common import crc_mod, cut, drop, hot_bound, small_batches
 
 #: Words of the softmax, a class's words at most, words whose counts are broadcast: fixed bounds at any size of the corpus.
 KEPT, CLASS_SIZE, HOT_WORDS = 8_192, 512, 1 << 18
@@ -32,12 +32,41 @@ SHARE = 6
 #: Tokens of a shard, about, and shards whose weights a task averages.
 SHARD_TOKENS, FAN_IN = 1_200_000, 32
 RATE, DECAY, CLIP = 0.03, 0.95, 1.0
+#: Bytes of text whose words a task holds to count or number them at once.
+GROUP = 24 << 20
 #: Scoring: tokens in memory, documents side by side, steps of a window.
 BUFFER, SCORE_LANES, SCORE_WINDOW = 4_000_000, 512, 32
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after the other, as bytes with A-Z in lower case, and the number of each text's."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, sizes = parts.flatten(), np.diff(parts.offsets.to_numpy()).astype(np.int64)
+    real = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    if not real.all():  # white space at a text's ends leaves empty parts
+        sizes = np.bincount(np.repeat(np.arange(len(texts)), sizes)[real], minlength=len(texts))
+        flat = flat.filter(pa.array(real))
+    return flat.cast(pa.binary()), sizes
+
+
+def groups(batches, column: int):
+    """Lists of (batch, words, sizes) of the column's texts, with about GROUP bytes of text each; what their making took is given back at the end."""
+    group, size = [], 0
+    for b in batches:
+        group.append((b.drop_columns([b.schema.names[column]]), *words_of(b.column(column))))
+        size += b.column(column).nbytes
+        if size > GROUP:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+    del group
+    pa.default_memory_pool().release_unused()
+
+
+def counts_of(group) -> pa.RecordBatch:
+    """word, n of a group's distinct words."""
+    return pa.RecordBatch.from_arrays(pc.value_counts(pa.chunked_array([flat for _, flat, _ in group])).flatten(), names=["word", "n"])
 
 
 def classes(counts: np.ndarray) -> np.ndarray:
@@ -49,6 +78,15 @@ def classes(counts: np.ndarray) -> np.ndarray:
     return np.array(edges)
 
 
+def sigmoid(x: np.ndarray) -> None:
+    """In place. By exp, which takes less time than tanh; where it overflows, 0 is right."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
 class Gru:
     """Ids: 0 the end, 1 any rare word, then the kept words by falling count. Weights by name in p; those of outputs, O and o, lie by place."""
 
@@ -68,7 +106,7 @@ class Gru:
     def order_classes(self, counts: np.ndarray) -> None:
         """Ids get places by falling count, such that a class is a range of places."""
         by = np.argsort(-counts, kind="stable")
-        self.place = np.empty(len(counts), np.int32)
+        self.place = np.empty(len(counts), np.uint16 if len(counts) <= 1 << 16 else np.int32)  # 16 bits sort in linear time
         self.place[by] = np.arange(len(counts))
         self.edges = classes(counts[by])
         self.cls = (np.searchsorted(self.edges, self.place, "right") - 1).astype(np.uint16)
@@ -105,59 +143,67 @@ class Gru:
         return max(float((abs(p["C"]).sum(0) + abs(p["c"])).max()), float((abs(p["O"]).sum(1) + abs(p["o"])).max())) < 60
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None, weight: np.ndarray | None = None, safe: bool = False):
-        """Natural log-probabilities of ids y after states h; with grads, their gradients are added and that of h returned."""
-        p, cls = self.p, self.cls[y]
-        order = np.argsort(cls, kind="stable")  # by class, so that each is a slice
-        h, cls, place = h[order], cls[order], self.place[y][order]
-        z = h @ p["C"]
-        z += p["c"]
+        """Natural log-probabilities of ids y after states h; with grads, their gradients are added and that of h returned.
+
+        Inside, a state is a column that ends with 1, so that one product makes biases and their gradients too, and sums over outputs are products with ones.
+        """
+        p, place, (n, H) = self.p, self.place[y], h.shape
+        order = np.argsort(place, kind="stable")  # by place, so that each class is a slice
+        place, hs, logp = place[order], np.ones((H + 1, n), np.float32), np.empty(n, np.float32)
+        np.take(h.T, order, 1, out=hs[:H], mode="clip")
+        ends = [*np.searchsorted(place, self.edges[:-1].astype(place.dtype)).tolist(), n]
+        spans = [(k, slice(ends[k], ends[k + 1])) for k in range(self.n_classes) if ends[k] < ends[k + 1]]
+        z = np.concatenate([p["C"], p["c"][None]]).T @ hs
         if not safe:
-            z -= z.max(1, keepdims=True)
-        rows = np.arange(len(y))
-        logp = z[rows, cls]
+            z -= z.max(0)
+        for k, at in spans:
+            logp[at] = z[k, at]
         np.exp(z, out=z)
-        total = z.sum(1)
-        dh = None
+        total, dh = np.ones(len(z), np.float32) @ z, None
         if grads is not None:
             weight = weight[order]
-            z *= (weight / total)[:, None]
-            z[rows, cls] -= weight
-            grads["C"] += h.T @ z
-            grads["c"] += z.sum(0)
-            dh = z @ p["C"].T
-        ends = np.searchsorted(cls, np.arange(self.n_classes + 1))
-        for k in np.flatnonzero(np.diff(ends)).tolist():
-            at, ids = slice(ends[k], ends[k + 1]), slice(self.edges[k], self.edges[k + 1])
+            scale = weight / total
+            for k, at in spans:
+                z[k, at] -= total[at]
+            g = (hs * scale) @ z.T
+            grads["C"] += g[:H]
+            grads["c"] += g[H]
+            dh = p["C"] @ z
+            dh *= scale
+        outs, rows = np.concatenate([p["O"], p["o"][:, None]], 1), np.arange(n)
+        for k, at in spans:
+            ids, hk = slice(self.edges[k], self.edges[k + 1]), hs[:, at]
             if ids.stop - ids.start == 1:
                 continue  # the class is the word
-            own, hk = p["O"][ids], h[at]
-            z = hk @ own.T
-            z += p["o"][ids]
+            z = outs[ids] @ hk
             if not safe:
-                z -= z.max(1, keepdims=True)
-            r, c = rows[: len(hk)], place[at] - ids.start
-            logp[at] += z[r, c]
+                z -= z.max(0)
+            flat, own = z.reshape(-1), (place[at] - place.dtype.type(ids.start)) * np.intp(at.stop - at.start)
+            own += rows[: len(own)]
+            logp[at] += flat[own]
             np.exp(z, out=z)
-            sums = z.sum(1)
-            total[at] *= sums
+            sums = np.ones(len(z), np.float32) @ z
             if grads is not None:
-                w = weight[at]
-                z *= (w / sums)[:, None]
-                z[r, c] -= w
-                grads["O"][ids] += z.T @ hk
-                grads["o"][ids] += z.sum(0)
-                dh[at] += z @ own
+                scale = weight[at] / sums
+                flat[own] -= sums
+                g = z @ (hk * scale).T
+                grads["O"][ids] += g[:, :H]
+                grads["o"][ids] += g[:, H]
+                back = p["O"][ids].T @ z
+                back *= scale
+                dh[:, at] += back
+            total[at] *= sums
         logp -= np.log(total)
         out = np.empty_like(logp)
         out[order] = logp
         if dh is not None:
-            back = np.empty_like(dh)
-            back[order] = dh
-            dh = back
+            back = np.empty_like(order)
+            back[order] = rows
+            dh = np.take(dh, back, 1).T
         return out, dh
 
     def train(self, flat: np.ndarray, rate: float = RATE) -> None:
-        """One pass of truncated backpropagation over ids of documents, each ending with 0. The state is carried from window to window and cleared at a document's end."""
+        """One pass of truncated backpropagation over ids of documents, each ending with 0. The state is carried from window to window and cleared at a document's end. Lanes are columns."""
         if not len(flat):
             return
         p, H = self.p, self.p["U"].shape[0]
@@ -165,79 +211,91 @@ class Gru:
         steps = -(-len(flat) // lanes)
         y_all, real = np.zeros(steps * lanes, np.int32), np.zeros(steps * lanes, np.float32)
         y_all[: len(flat)], real[: len(flat)] = flat, 1  # what fills up the last lane has no weight
-        y_all, real = y_all.reshape(lanes, steps).T, real.reshape(lanes, steps).T
+        y_all, real = np.ascontiguousarray(y_all.reshape(lanes, steps).T), np.ascontiguousarray(real.reshape(lanes, steps).T)
         x_all = np.concatenate([np.zeros((1, lanes), np.int32), y_all[:-1]])
         x_all[0, 1:] = y_all[-1, :-1]  # a lane goes on where the one before ends
         past = {k: np.full(p[k].shape, 1e-6, np.float32) for k in self.NAMES}
-        h0 = np.zeros((lanes, H), np.float32)
+        h = np.zeros((H, lanes), np.float32)
         windows = -(-steps // WINDOW)
         for w in range(windows):
             at = slice(w * WINDOW, (w + 1) * WINDOW)
             x, y, weight = x_all[at], y_all[at], real[at]
             T = len(x)
             xs = np.take(p["E"], x, 0)
-            proj = xs.reshape(-1, H) @ p["Wx"]
-            proj += p["b"]
-            proj = proj.reshape(T, lanes, 3 * H)
-            keep = (x != 0).astype(np.float32)[..., None]
-            prev, zr, n, un, hs = (np.empty((T, lanes, k), np.float32) for k in (H, 2 * H, H, H, H))
-            h = h0
+            keep = (x != 0).astype(np.float32)
+            prev, zr, n, un = (np.empty((T, k, lanes), np.float32) for k in (H, 2 * H, H, H))
+            hs, into, bias = np.empty((H, T, lanes), np.float32), np.ascontiguousarray(p["Wx"].T), p["b"][:, None]
+            own = np.ascontiguousarray(p["U"].T)
             for t in range(T):
                 np.multiply(h, keep[t], out=prev[t])
-                u = prev[t] @ p["U"]
-                g = u[:, : 2 * H]
-                g += proj[t][:, : 2 * H]
-                g *= 0.5
-                np.tanh(g, out=g)
-                g += 1
-                np.multiply(g, 0.5, out=zr[t])
-                un[t] = u[:, 2 * H :]
-                a = zr[t][:, H:] * un[t]
-                a += proj[t][:, 2 * H :]
-                np.tanh(a, out=n[t])
-                np.subtract(prev[t], n[t], out=a)
-                a *= zr[t][:, :H]
-                h = np.add(a, n[t], out=hs[t])
-            h0 = hs[-1].copy()
-            g = {k: np.zeros_like(p[k]) for k in ("C", "c", "O", "o")}
+                e, u = into @ xs[t].T, own @ prev[t]
+                e += bias
+                g = np.add(e[: 2 * H], u[: 2 * H], out=zr[t])
+                sigmoid(g)
+                un[t] = u[2 * H :]
+                a = np.multiply(g[H:], un[t], out=n[t])
+                a += e[2 * H :]
+                np.tanh(a, out=a)
+                h = prev[t] - a
+                h *= g[:H]
+                h += a
+                hs[:, t] = h
+            g = {k: np.zeros_like(p[k]) for k in ("C", "c", "O", "o", "U")}
             share = (weight / max(weight.sum(), 1)).ravel()
-            _, dh_out = self.outputs(hs.reshape(-1, H), y.ravel(), g, share, self.safe())
-            dh_out = dh_out.reshape(T, lanes, H)
-            z, r = zr[..., :H], zr[..., H:]
-            by_z, by_n = (prev - n) * z * (1 - z), (1 - z) * (1 - n * n)
-            by_r = un * r * (1 - r)
-            d, du = np.empty((T, lanes, 3 * H), np.float32), np.empty((T, lanes, 3 * H), np.float32)
-            dh, back = np.zeros((lanes, H), np.float32), np.ascontiguousarray(p["U"].T)
+            _, dh_out = self.outputs(hs.reshape(H, -1).T, y.ravel(), g, share, self.safe())
+            dh_out = dh_out.T.reshape(H, T, lanes)
+            d, du, dx = np.empty((3 * H, lanes), np.float32), np.empty((3 * H, lanes), np.float32), np.empty((T, lanes, H), np.float32)
+            dh, g["Wx"], g["b"] = np.zeros((H, lanes), np.float32), np.zeros_like(p["Wx"]), np.zeros_like(p["b"])
+            ones = np.ones(lanes, np.float32)
             for t in reversed(range(T)):
-                dh += dh_out[t]
-                dn = np.multiply(dh, by_n[t], out=d[t][:, 2 * H :])
-                np.multiply(dh, by_z[t], out=d[t][:, :H])
-                np.multiply(dn, by_r[t], out=d[t][:, H : 2 * H])
-                du[t][:, : 2 * H] = d[t][:, : 2 * H]
-                np.multiply(dn, r[t], out=du[t][:, 2 * H :])
-                dh *= z[t]
-                dh += du[t] @ back
+                z, r = zr[t][:H], zr[t][H:]
+                dh += dh_out[:, t]
+                left = 1 - z
+                dz = np.multiply(prev[t] - n[t], z, out=d[:H])
+                dz *= left
+                dz *= dh
+                dn = np.multiply(n[t], n[t], out=d[2 * H :])
+                np.subtract(1, dn, out=dn)
+                dn *= left
+                dn *= dh
+                dr = np.subtract(1, r, out=d[H : 2 * H])
+                dr *= r
+                dr *= un[t]
+                dr *= dn
+                du[: 2 * H] = d[: 2 * H]
+                np.multiply(dn, r, out=du[2 * H :])
+                g["U"] += prev[t] @ du.T
+                g["Wx"] += xs[t].T @ d.T
+                g["b"] += d @ ones
+                np.matmul(d.T, into, out=dx[t])
+                dh *= z
+                dh += p["U"] @ du
                 dh *= keep[t]
-            d, du = d.reshape(-1, 3 * H), du.reshape(-1, 3 * H)
-            g["U"], g["Wx"], g["b"] = prev.reshape(-1, H).T @ du, xs.reshape(-1, H).T @ d, d.sum(0)
             order = np.argsort(x.ravel().astype(np.uint16) if len(self.counts) <= 1 << 16 else x.ravel(), kind="stable")
             own = x.ravel()[order]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            ids, gE = own[first], np.add.reduceat((d @ p["Wx"].T)[order], first, axis=0)
-            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()) + float((gE * gE).sum()))
+            ids, gE = own[first], np.add.reduceat(np.take(dx.reshape(-1, H), order, 0), first, axis=0)
+            norm = np.sqrt(sum(float(np.vdot(v, v)) for v in (*g.values(), gE)))
             scale, step = min(1.0, CLIP / (norm + 1e-9)), rate * (1 - 0.9 * w / windows)
             for k in self.NAMES:
-                grad = (gE if k == "E" else g[k]) * np.float32(scale)
-                rows = ids if k == "E" else slice(None)
-                past[k][rows] = DECAY * past[k][rows] + (1 - DECAY) * grad * grad
-                p[k][rows] -= step * grad / (np.sqrt(past[k][rows]) + 1e-4)
+                grad = gE if k == "E" else g[k]
+                grad *= np.float32(scale)
+                mean = past[k][ids] if k == "E" else past[k]
+                mean *= np.float32(DECAY)
+                mean += np.float32(1 - DECAY) * grad * grad
+                if k == "E":
+                    past[k][ids] = mean
+                by = np.sqrt(mean)
+                by += np.float32(1e-4)
+                np.divide(grad, by, out=by)
+                by *= np.float32(step)
+                p[k][ids if k == "E" else slice(None)] -= by
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log-probability of each document of ids that ends with 0, over its whole length. Memory is that of all ids and of a window."""
         if not docs:
             return np.zeros(0)
         p, H, safe = self.p, self.p["U"].shape[0], self.safe()
-        table = (p["E"] @ p["Wx"] + p["b"]).astype(np.float32)
         size = np.array([len(d) for d in docs])
         # documents go to lanes, longest first, each to the shortest lane
         heap = [(0, k) for k in range(min(SCORE_LANES, len(docs)))]
@@ -249,35 +307,35 @@ class Gru:
         lanes.sort(key=lambda own: -int(size[own].sum()))
         order = np.concatenate(lanes)
         flat = np.concatenate([docs[i] for i in order])
+        before = np.concatenate([np.zeros(1, flat.dtype), flat[:-1]])  # each lane begins after an end, too
         filled = np.array([int(size[own].sum()) for own in lanes])
         begin, steps = np.cumsum(filled) - filled, int(filled[0])
         active = len(lanes) - np.searchsorted(filled[::-1], np.arange(steps), "right")
-        logp, h = np.empty(len(flat), np.float32), np.zeros((len(lanes), H), np.float32)
-        before, U = np.zeros(len(lanes), np.int32), p["U"]
+        logp, h = np.empty(len(flat), np.float32), np.zeros((H, len(lanes)), np.float32)
+        into, bias, own = np.ascontiguousarray(p["Wx"].T), p["b"][:, None], np.ascontiguousarray(p["U"].T)
         for w in range(0, steps, SCORE_WINDOW):
-            states, places = [], []
-            for t in range(w, min(w + SCORE_WINDOW, steps)):
-                a = int(active[t])
-                x, hp, at = before[:a], h[:a], begin[:a] + t
-                hp[x == 0] = 0
-                u, e = hp @ U, np.take(table, x, 0)
-                zr = e[:, : 2 * H]
-                zr += u[:, : 2 * H]
-                zr *= 0.5
-                np.tanh(zr, out=zr)
-                zr += 1
-                zr *= 0.5
-                n = u[:, 2 * H :]
-                n *= zr[:, H:]
-                n += e[:, 2 * H :]
+            ends = active[w : w + SCORE_WINDOW].tolist()
+            hs, done, places = np.empty((H, sum(ends)), np.float32), 0, []
+            for t, a in enumerate(ends, w):
+                places.append(begin[:a] + t)
+                x, h = before[places[-1]], h[:, :a]
+                h = h * (x != 0)
+                e, u = into @ np.take(p["E"], x, 0).T, own @ h
+                e += bias
+                zr = e[: 2 * H]
+                zr += u[: 2 * H]
+                sigmoid(zr)
+                n = u[2 * H :]
+                n *= zr[H:]
+                n += e[2 * H :]
                 np.tanh(n, out=n)
-                hp -= n
-                hp *= zr[:, :H]
-                hp += n
-                states.append(hp.copy()), places.append(at)
-                before[:a] = flat[at]
+                h -= n
+                h *= zr[:H]
+                h += n
+                hs[:, done : done + a] = h
+                done += a
             places = np.concatenate(places)
-            logp[places] = self.outputs(np.concatenate(states), flat[places], safe=safe)[0]
+            logp[places] = self.outputs(hs.T, flat[places], safe=safe)[0]
         own = size[order]
         total = np.empty(len(docs))
         total[order] = np.add.reduceat(logp.astype(np.float64), np.cumsum(own) - own)
@@ -334,7 +392,7 @@ def score(documents: DataFrame, kept: int = KEPT, hot_words: int = HOT_WORDS, sh
     training = documents.where(crc_mod("doc_id", 7) != 2)
 
     def count(batches):
-        yield from counted(batches, tokens, pa.binary())
+        yield from map(counts_of, groups(batches, 0))
 
     words = cut(training.where(F.col("text").isNotNull()).select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     sums, ends = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first(), training.count()
@@ -345,33 +403,34 @@ def score(documents: DataFrame, kept: int = KEPT, hot_words: int = HOT_WORDS, sh
     n_top = len(top)
     rare_total = N - ends - int(top.sum()) + (sums.v - n_top) + 1
     counts = np.concatenate([[ends + 1, rare_total], top + 1]).astype(np.float64)
-    known = spark.sparkContext.broadcast((hot.column("word"), hot.column("n").to_numpy()))
+    known = spark.sparkContext.broadcast((hot.column("word").combine_chunks(), hot.column("n").to_numpy()))
     del hot
     log_z, log_rare, id_type = np.log10(N + V + 1.0), np.log10(float(rare_total)), "<u2" if n_top < 60_000 else "<u4"
     kind = dict(documents.dtypes)["doc_id"]
 
     def tell(batches):
-        ws, n = known.value[0].to_pylist(), known.value[1]
-        get, log_n = dict(zip(ws, range(2, len(ws) + 2))).get, np.concatenate([[np.log10(ends + 1.0), 0.0], np.log10(n + 1.0)])
+        hot, n = known.value
+        log_n = np.concatenate([[np.log10(ends + 1.0), 0.0], np.log10(n + 1.0)])
         serial = TaskContext.get().partitionId() << 36
-        for b in batches:
-            docs = [tokens(t) for t in b.column(3).to_pylist()]
-            sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-            flat = list(chain.from_iterable(docs))
-            x, owner = np.fromiter(map(get, flat, repeat(1)), np.int32, len(flat)), np.repeat(np.arange(len(docs)), sizes)
-            total = lambda v: np.bincount(owner, v, len(docs))  # noqa: E731, B023
-            other, rare, weight = x == 1, x > n_top + 1, log_n[x]
-            n_other, place = total(other).astype(np.int64), np.concatenate([[0], np.cumsum(sizes + 1)])
-            base = total(weight) + log_n[0] - log_z * (sizes + 1)
-            shared = total(np.where(rare, weight, 0.0)) - log_rare * (total(rare) + n_other)
-            x[rare] = 1
-            ids = np.zeros(place[-1], id_type)  # each document ends with 0
-            ids[np.arange(len(flat)) + owner] = x
-            others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_other)]).astype(np.int32)), pa.array([flat[i] for i in np.flatnonzero(other).tolist()], pa.binary()))
-            packed = pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer((place * ids.itemsize).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
-            made = [pa.array(c) for c in (serial + np.arange(len(docs)), sizes + 1, sizes - n_other + (ends > 0), base, shared)]
-            serial += len(docs)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *made, others, packed], names=["doc_id", "held_out", "key", "row", "n_tokens", "n_known", "base", "shared", "others", "ids"])
+        for group in groups(batches, 3):
+            found = pc.index_in(pa.chunked_array([flat for _, flat, _ in group]), value_set=hot)  # makes a table of hot words, so once a group
+            found, done = pc.fill_null(found, -1).to_numpy() + 2, 0
+            for b, flat, sizes in group:
+                x, owner = found[done : done + len(flat)], np.repeat(np.arange(len(sizes)), sizes)
+                done += len(flat)
+                total = lambda v: np.bincount(owner, v, len(sizes))  # noqa: E731, B023
+                other, rare, weight = x == 1, x > n_top + 1, log_n[x]
+                n_other, place = total(other).astype(np.int64), np.concatenate([[0], np.cumsum(sizes + 1)])
+                base = total(weight) + log_n[0] - log_z * (sizes + 1)
+                shared = total(np.where(rare, weight, 0.0)) - log_rare * (total(rare) + n_other)
+                x[rare] = 1
+                ids = np.zeros(place[-1], id_type)  # each document ends with 0
+                ids[np.arange(len(x)) + owner] = x
+                others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_other)]).astype(np.int32)), flat.filter(pa.array(other)))
+                packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((place * ids.itemsize).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+                made = [pa.array(c) for c in (serial + np.arange(len(sizes)), sizes + 1, sizes - n_other + (ends > 0), base, shared)]
+                serial += len(sizes)
+                yield pa.RecordBatch.from_arrays([*b.columns, *made, others, packed], names=["doc_id", "held_out", "key", "row", "n_tokens", "n_known", "base", "shared", "others", "ids"])
 
     key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("key")
     rows = documents.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), key, "text")

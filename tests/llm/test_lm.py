@@ -1,9 +1,11 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lorekeep.llm import lm
@@ -85,3 +87,60 @@ def test_all_training_documents_are_trained_on(spark):
     other = [(i, " ".join(sorted(t.split())) if i in far else t) for i, t in docs]
     a, b = ({x.doc_id: x.score for x in lm.score(make(rows)).where("held_out").collect()} for rows in (docs, other))
     assert a and all(abs(a[i] - b[i]) > 1e-6 for i in a)
+
+
+def test_words_as_in_python():
+    r = random.Random(6)
+    texts = ["".join(r.choice("aZ éÉİ\x00\x1c\x1f\x85\xa0\u3000\t\n\x0b\x0c\r Q") for _ in range(r.randrange(25))) for _ in range(3000)] + [None, "", " ", "a", " a "]
+    want = [(t or "").encode().lower().split() for t in texts]
+    words, sizes = lm.words_of(pa.array(texts))
+    assert words.to_pylist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+
+
+def test_sigmoid():
+    x = np.array([-1e30, -200, -5, 0, 3, 200, 1e30], np.float32)
+    want = [0, 0, 1 / (1 + math.exp(5)), 0.5, 1 / (1 + math.exp(-3)), 1, 1]
+    with np.errstate(all="raise", under="ignore"):
+        lm.sigmoid(x)
+    assert np.allclose(x, want, atol=1e-6)
+
+
+def test_words_are_counted_in_half_of_pythons_time():
+    r = random.Random(7)
+    texts = [" ".join(f"W{int(r.paretovariate(0.5)) % 200_000}" for _ in range(400)) for _ in range(1000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 250])], names=["text"]) for k in range(0, 1000, 250)]
+
+    def plain():
+        seen = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                seen.update(t.encode().lower().split())
+        return seen
+
+    def counted():
+        (group,) = lm.groups(batches, 0)
+        return lm.counts_of(group)
+
+    took = [[], []]
+    for _ in range(5):
+        for f, own in zip((plain, counted), took):
+            began = time.thread_time()
+            got = f()
+            own.append(time.thread_time() - began)
+    assert dict(zip(got.column("word").to_pylist(), got.column("n").to_pylist())) == plain()
+    assert min(took[1]) < 0.7 * min(took[0])
+
+
+def test_steps_and_outputs_as_written_out():
+    """Ids of any order and classes of one word; the logarithms as of plain softmaxes, before and after training."""
+    r = np.random.default_rng(8)
+    m = lm.Gru(np.array([900.0, 5, 700, 3, 3, 2, 40, 1, 1, 9]), r)
+    docs = [np.append(r.integers(1, 10, 50), 0).astype(np.uint16) for _ in range(60)]
+    for _ in range(2):
+        h, y = np.tanh(r.standard_normal((50, lm.HIDDEN))).astype(np.float32), r.integers(0, 10, 50)
+        c, o = h @ m.p["C"] + m.p["c"], h @ m.p["O"].T + m.p["o"]
+        same = np.repeat(np.arange(m.n_classes), np.diff(m.edges))
+        want = [c[i, same[k]] - np.log(np.exp(c[i]).sum()) + o[i, k] - np.log(np.exp(o[i, same == same[k]]).sum()) for i, k in enumerate(m.place[y])]
+        for safe in (False, True):
+            assert np.allclose(m.outputs(h, y, safe=safe)[0], want, atol=1e-4)
+        m.train(np.concatenate(docs).astype(np.int32))
